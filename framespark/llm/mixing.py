@@ -50,9 +50,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
     everything = Window.partitionBy()
     s = s.withColumn("total", F.sum("source_size").over(everything) * share)
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing)))
-    # the level is that of the first source, in order of filling up, that the total doesn't fill
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
+    # these levels rise up to that of the first source that the total doesn't fill, and fall from there
+    target = F.least("cap", F.max("level").over(everything) * F.col("weight"))
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -155,8 +154,8 @@ s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 W
 s2 AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS full_at, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s1),
 s3 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
           / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s2),
-s4 AS (SELECT *, min(CASE WHEN lv <= full_at THEN lv END) OVER () AS level FROM s3),
-t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM s4),
+s4 AS (SELECT *, max(lv) OVER () AS level FROM s3),
+t AS (SELECT source, source_size, least(cap, level * weight) AS target FROM s4),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - source_size - start)) AS BIGINT) AS taken
