@@ -76,13 +76,19 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
-def fit(counts: list[tuple[int, int, int]], smoothing: float = 0.5) -> np.ndarray:
-    """Log-likelihood ratio (random against ordinary) of each character pair, from at most 2 * 69**2 counts. Without samples of a kind that model is uniform."""
-    table_ = np.full((2, START + 1, START), smoothing)
-    for label, pair, n in counts:
+def fit(counts: list[tuple[int, int, int]], smoothing: float = 0.5, backing: float = 20.0) -> np.ndarray:
+    """Log-likelihood ratio (random against ordinary) of each character pair, from at most 2 * 69**2 counts.
+
+    A pair's probability is backed by that of its second character, which is smoothed towards the uniform one, so a model
+    without samples is uniform.
+    """
+    n = np.zeros((2, START + 1, START))
+    for label, pair, count in counts:
         if pair % (START + 1) < START:
-            table_[label, pair // (START + 1), pair % (START + 1)] += n
-    logs = np.log(table_ / table_.sum(axis=2, keepdims=True))
+            n[label, pair // (START + 1), pair % (START + 1)] += count
+    single = n.sum(axis=1, keepdims=True) + smoothing
+    single /= single.sum(axis=2, keepdims=True)
+    logs = np.log((n + backing * single) / (n.sum(axis=2, keepdims=True) + backing))
     ratio = np.zeros((START + 1, START + 1))
     ratio[:, :START] = logs[1] - logs[0]
     return ratio.ravel()

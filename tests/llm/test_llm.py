@@ -129,9 +129,11 @@ def test_secret_scan(spark):
     rng = random.Random(2)
     bits = ["token", " = ", '"', "PassWord", ":", "secret", "AKIA", "A1B2C3D4E5F6", "0123456789abcdef" * 2, " ", "api_key", "apikey=", "short", "longervalue123", "é", "'", "\n", "x9/+_.=-", "ToKen ſecret"]
     drawn = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
-    texts = [None, "", *[f"token = {drawn()}" for _ in range(200)], *["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(600)], "getUserName internationalization snake_case_name " * 5 + " xK9q27Lm4Zt8Wp3Rv6Yb1 " + "token = " + "9f" * 20]
+    names = lambda: "".join(rng.choice(["user", "name", "get", "data", "value", "index"]) for _ in range(4))
+    labelled = frame(spark, [(i, f"token = {drawn()} {names()} {names()}", "s") for i in range(400)])
+    texts = [None, "", *["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(600)], "getUserName internationalization snake_case_name " * 5 + " xK9q27Lm4Zt8Wp3Rv6Yb1 " + "token = " + "9f" * 20]
     docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    ratio = secret_scan.train(docs)
+    ratio = secret_scan.train(labelled)
     got = {r.doc_id: r for r in secret_scan.scan_secrets(docs, ratio).collect()}
     kinds = ("assign", "access", "hex", "markov")
     for i, t in enumerate(texts):
