@@ -1,0 +1 @@
+"""Spark operators for the data side of detector-image machine learning."""
