@@ -324,7 +324,7 @@ def t4(s, d):
 
 @query("t5_rotate_90", digest_sql("list_transform(range(64), lambda i: px[(i % 8) * 8 + 7 - i // 8 + 1])"))
 def t5(s, d):
-    return digest(T.rotate(frames(s, d), F.lit(-90.0)))
+    return digest(T.rotate(frames(s, d), F.lit(90.0)))
 
 
 @query("t5_random_rotate")

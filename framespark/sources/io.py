@@ -72,18 +72,35 @@ def decode_chunk(data: bytes, meta: dict) -> np.ndarray:
     return np.frombuffer(data, meta["dtype"]).reshape(meta["chunks"], order=meta.get("order", "C"))
 
 
+def array_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(store, array, meta): the .zarray texts of the stores directly below `path`. Spark's readers leave out hidden files, so they are opened through its file system, one small file for each array."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*.zarr/*/.zarray")
+    fs = pattern.getFileSystem(conf)
+    for status in fs.globStatus(pattern) or []:
+        stream = fs.open(status.getPath())
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        array = status.getPath().getParent()
+        found.append((array.getParent().getName(), array.getName(), text))
+    return spark.createDataFrame(found, "_s string, _a string, meta string")
+
+
 def ingest_containers(spark: SparkSession, path: str, image: str = "images", label: str = "labels") -> DataFrame:
     """S5. (store, item_idx, h, w, pixels, label, error): frames of the zarr v2 stores and safetensors files below `path`, one row a frame. A file that can't be read is a row with an error.
 
-    A zarr chunk holds whole frames: chunks are (n, h, w). Chunks of images and labels meet by store and chunk number;
-    array metadata, one small file for each array, joins to its chunks. safetensors files have one frame (image, label).
+    A zarr chunk holds whole frames: chunks are (n, h, w). Frames of images and labels meet by store and number; array
+    metadata, one row an array, joins to its chunks. safetensors files have one frame (image, label).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     zarr = r"^(.*\.zarr)/([^/]+)/([^/]+)$"
     named = files.select("path", "content", *[F.regexp_extract("path", zarr, i).alias(n) for i, n in ((1, "store"), (2, "array"), (3, "file"))])
-    metas = named.where("file = '.zarray'").select(F.col("store").alias("_s"), F.col("array").alias("_a"), F.col("content").cast("string").alias("meta"))
+    metas = array_metadata(spark, path)
     chunks = named.where(F.col("array").isin(image, label) & F.col("file").rlike(r"^\d+\.0\.0$"))
-    chunks = chunks.join(metas, (F.col("store") == F.col("_s")) & (F.col("array") == F.col("_a")), "left").select("store", "array", F.split("file", r"\.")[0].cast("long").alias("chunk"), "content", "meta")
+    chunks = chunks.join(metas, (F.regexp_extract("store", "[^/]+$", 0) == F.col("_s")) & (F.col("array") == F.col("_a")), "left").select("store", "array", F.split("file", r"\.")[0].cast("long").alias("chunk"), "content", "meta")
 
     def frames(it):
         for pdf in it:
