@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +76,12 @@ def moved_sql(h: int, w: int, y: str, x: str, px: str = "px", ih: int = 8, iw: i
     """SQL for one-channel frames of h x w that take pixel (y, x) of the input, expressions of oy and ox, or 0."""
     y, x = (s.replace("oy", f"(i // {w})").replace("ox", f"(i % {w})") for s in (y, x))
     return f"list_transform(range({h * w}), lambda i: CASE WHEN {y} >= 0 AND {y} < {ih} AND {x} >= 0 AND {x} < {iw} THEN {px}[({y}) * {iw} + {x} + 1] ELSE 0.0::DOUBLE END)"
+
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir or, where it is unset (tests), a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", tempfile.mkdtemp(prefix="framespark-"))
+    return f"{base.rstrip('/')}/framespark/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # registers all queries
 from framespark.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
