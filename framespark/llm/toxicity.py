@@ -32,7 +32,7 @@ WORD = re.compile(r"[^\W\d_]+")
 class Hasher:
     """Distinct hashed terms of a text or, given `terms`, the positions in them of those it has. Words are remembered, up to a bound."""
 
-    def __init__(self, terms: np.ndarray | None = None, most: int = 300_000):
+    def __init__(self, terms: np.ndarray | None = None, most: int = 150_000):
         self.known: dict[str, tuple[int, ...]] = {}
         self.place = None if terms is None else {int(t): i for i, t in enumerate(terms)}
         self.most = most
@@ -67,9 +67,11 @@ def term_sets(rows: DataFrame) -> DataFrame:
 def select_terms(sets: list[np.ndarray], labels: np.ndarray, most: int = TERMS, least_rows: int = 5, least_chi2: float = 12.0) -> np.ndarray:
     """Sorted buckets with the highest chi-square statistic against the label."""
     n, positive = len(labels), max(1, labels.sum())
-    every = np.concatenate(sets) if n else np.zeros(0, np.int64)
-    hits = np.bincount(every, minlength=BUCKETS).astype(float)
-    toxic = np.bincount(np.concatenate([s for s, y in zip(sets, labels, strict=True) if y] or [every[:0]]), minlength=BUCKETS).astype(float)
+    hits, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for terms, label in zip(sets, labels, strict=True):  # each term is in a set once
+        hits[terms] += 1
+        if label:
+            toxic[terms] += 1
     expected = hits * positive / max(n, 1)
     chi2 = np.divide((toxic - expected) ** 2, expected * (1 - positive / max(n, 1)) + 1e-9, out=np.zeros(BUCKETS), where=hits >= least_rows)
     best = np.lexsort((np.arange(BUCKETS), -chi2))[:most]
@@ -84,7 +86,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epoc
     mean = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = float(np.log(mean / (1 - mean)))
     if len(terms) and 0 < labels.sum() < len(labels):
-        at = [index_terms(s, terms) for s in sets]
+        at = [index_terms(s.astype(np.int64), terms) for s in sets]
         gw, gv, gb = np.full(w.shape, 1e-6), np.full(v.shape, 1e-6), 1e-6
         # rows without a selected term only move the bias: they enter as one weighted row
         has = np.array([len(a) > 0 for a in at])
@@ -133,10 +135,17 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, id_col: s
     known = known.where(fold) if fold is not None else known
     sample = bounded_sample(known, "doc_id", bound, known.count()).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # the sample is bounded, so it is broadcast and the texts are not shuffled
-    got = term_sets(rows.join(F.broadcast(sample), "doc_id").select("text", "label")).collect()
-    got = sorted((r.terms, r.label) for r in got)  # the order of tasks must not matter
-    return fit([np.frombuffer(t, "<u4").astype(np.int64) for t, _ in got], np.array([y for _, y in got], float))
+    # the sample is bounded, so it is broadcast, the texts are not shuffled, and the term sets fit one task
+    sets = term_sets(rows.join(F.broadcast(sample), "doc_id").select("text", "label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((t, y) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))  # the order of tasks must not matter
+        model = fit([np.frombuffer(t, "<u4") for t, _ in got], np.array([y for _, y in got], float))
+        columns = [pa.array([model["terms"].astype("<i8").tobytes()]), pa.array([model["w"].tobytes()]), pa.array([model["v"].tobytes()]), pa.array([model["bias"]])]
+        yield pa.RecordBatch.from_arrays(columns, names=["terms", "w", "v", "bias"])
+
+    row = map_batches(sets.repartition(1), run, "terms binary, w binary, v binary, bias double").first()
+    return {"terms": np.frombuffer(row.terms, "<i8"), "w": np.frombuffer(row.w), "v": np.frombuffer(row.v).reshape(-1, FACTORS), "bias": row.bias}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
@@ -156,7 +165,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
     if keep:
-        return docs.mapInArrow(run, docs.schema)
+        return map_batches(docs, run, docs.schema)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return map_batches(rows, run, "doc_id long, score double, predicted int")
 
