@@ -52,8 +52,15 @@ def bounded_sample(df: DataFrame, key: str, bound: int, rows: int, seed: int = 7
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_003)) < int(share * 1_000_003))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; spark.sql.execution.arrow.maxBytesPerBatch (64 MB) bounds a batch of long texts."""
+#: Rows in an Arrow batch of texts, unless the session asks for fewer. maxBytesPerBatch (64 MB) bounds batches of long texts.
+BATCH_ROWS = 500
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches that keep Python workers small."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
     return df.mapInArrow(fn, schema)
 
 
