@@ -33,57 +33,73 @@ MAX_SYMBOLS = 65_536
 ROUNDS = 10
 MIN_COUNT = 8
 #: Words that a worker remembers, about 200 bytes each; then it starts anew.
-MAX_WORDS = 500_000
+MAX_WORDS = 1_000_000
 #: part_first: the first id of the range that a shard belongs to; ids_before: ids of the range before the shard.
 SHARD_SCHEMA = "part_first long, ids_before long, n_ids long, doc_ids binary, doc_nulls binary, doc_symbols binary, doc_lengths binary, symbols binary, width int, left binary, right binary, lengths binary, base int"
 
 
 # --- encoding --------------------------------------------------------------------------------------------------------
 #: A space before one of these characters always begins a pre-token of the byte-level pattern, so a text can be cut there.
-CUT = re.compile("(?= [!-~\xa1-\xac\xae-ᙿ])")
-UNSAFE = re.compile(" (?![!-~\xa1-\xac\xae-ᙿ])")
-ONE_WORD = re.compile(r" [!-~\xa1-\xac\xae-ᙿ][^ ]*")
-
-
-def text_pieces(text: str) -> list[str]:
-    if not UNSAFE.search(text):
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-    return CUT.split(text)
+SAFE = r"[!-~\xa1-\xac\xae-ᙿ]"
+CUT = re.compile(f"(?= {SAFE})")
+#: The last white space before one of them is a pre-token of its own too. Texts without this are lines of words with single spaces.
+UNSAFE = re.compile(rf"[ \n](?!{SAFE})")
 
 
 class Encoder:
-    """ids of texts as the tokenizers library gives them; each distinct piece of text is encoded once while it is remembered."""
+    """ids of texts as the tokenizers library gives them; each distinct word is encoded once while it is remembered."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.most = Tokenizer.from_file(path), {}, max_words
+        self.library, self.most = Tokenizer.from_file(path), max_words
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.plain = not any(" " in s for s in self.special)
         self.spaced = np.zeros(self.library.get_vocab_size(), bool)
         self.spaced[[i for w, i in self.library.get_vocab().items() if w.startswith("\u0120")]] = True  # the byte-level sign of a space
+        self.words: dict[str, bytes] = {}  # ids of words with a space before them
+        self.pieces: dict[str, bytes] = {}  # of pieces as they are
+        self.marks = {m: self.plain([m])[0] for m in ".,"}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        """Words with one space, before them, are encoded many at a time, as one text, and told apart by that space."""
-        words = list(filter(ONE_WORD.fullmatch, new)) if self.plain else []
-        for at in range(0, len(words), 500):
-            some = words[at : at + 500]
-            ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids, "<u4")
+        """Encodes words many at a time, as one text, told apart by the spaces before them; a full stop or comma after a letter is a pre-token of its own."""
+        words = self.words
+        bare = {w[:-1] if w[-1:] in self.marks and w[-2:-1].isalpha() else w for w in new}
+        bare = [w for w in bare if w not in words]
+        for at in range(0, len(bare), 500):
+            some = bare[at : at + 500]
+            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
             heads = np.flatnonzero(self.spaced[ids])
-            if len(heads) == len(some):  # else one holds a special string or some other space
-                self.known.update(zip(some, [x.tobytes() for x in np.split(ids, heads[1:])], strict=True))
-        rest = [w for w in new if w not in self.known]
-        self.known.update(zip(rest, [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
+            if len(heads) == len(some):
+                data, cuts = ids.tobytes(), (heads * 4).tolist()
+                words.update(zip(some, [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
+            else:
+                words.update(zip(some, self.plain([" " + w for w in some]), strict=True))
+        for w in new:
+            if w not in words:
+                words[w] = words[w[:-1]] + self.marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known = {}
-        # a special string may hold cut points of its own
-        pieces = [[t] if any(s in t for s in self.special) else text_pieces(t) for t in texts]
-        known = self.known
-        self.learn([w for w in set().union(*map(set, pieces)) if w not in known])
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in pieces]
+        if len(self.words) + len(self.pieces) > self.most:
+            self.words, self.pieces = {}, {}
+        # per text the lines, each a first piece and words with a space before them; a special string may hold cut points of its own
+        cut = []
+        for t in texts:
+            if any(s in t for s in self.special):
+                cut.append([[t]])
+            elif UNSAFE.search(t):
+                cut.append([[p] for p in CUT.split(t)])
+            else:
+                lines = [line.split(" ") for line in t.split("\n")]
+                cut.append([x for line in lines for x in (["\n"], line)][1:])
+        words, pieces = self.words, self.pieces
+        every = set().union(*(line[1:] for lines in cut for line in lines if len(line) > 1))
+        self.learn([w for w in every if w not in words])
+        heads = [p for p in {line[0] for lines in cut for line in lines} if p not in pieces]
+        pieces.update(zip(heads, self.plain(heads), strict=True))
+        return [np.frombuffer(b"".join([x for line in lines for x in (pieces[line[0]], *map(words.__getitem__, line[1:]))]), "<u4") for lines in cut]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -124,10 +140,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUND
         chosen = np.sort(order[heads[often]])
         shift = 20 if n_symbols <= 1 << 20 else 32
         a, b = chosen >> shift, chosen & ((1 << shift) - 1)
-        found = np.searchsorted(chosen, pairs)
-        found[found == len(chosen)] = 0
-        same = chosen[found] == pairs
-        at = at[same]
+        # most pairs that aren't chosen fail at a table of hashes
+        table_ = np.zeros(1 << 18, bool)
+        table_[_slot(chosen)] = True
+        maybe = np.flatnonzero(table_[_slot(pairs)])
+        found = np.minimum(np.searchsorted(chosen, pairs[maybe]), len(chosen) - 1)
+        same = chosen[found] == pairs[maybe]
+        at = at[maybe[same]]
         s[at] = n_symbols + found[same]
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
@@ -144,6 +163,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUND
     return s, np.searchsorted(where, starts), np.concatenate(left), np.concatenate(right), sizes[base:]
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+
+
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     """The ids of a run of symbols."""
     s = symbols.astype(np.int64)
@@ -157,6 +180,16 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int)
     return s.astype("<u4")
 
 
+def expand_all(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The same for a whole shard: each rule is expanded once, and symbols copy from that."""
+    flat = np.concatenate([np.arange(base, dtype="<u4"), expand(np.arange(base, base + len(left)), left, right, base)])
+    sizes = np.concatenate([np.ones(base, np.int64), lengths])
+    begins = np.cumsum(sizes) - sizes
+    n = sizes[symbols]
+    ends = np.cumsum(n)
+    return flat[np.repeat(begins[symbols] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def stretch(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, base: int, start: int, n: int) -> np.ndarray:
     """ids start to start + n of a document's symbols, expanding only the symbols that hold them."""
     sizes = np.where(symbols < base, 1, lengths[np.maximum(symbols.astype(np.int64) - base, 0)] if len(lengths) else 1)
@@ -215,7 +248,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         for batch in batches:
             for row in batch.to_pylist():
                 left, right = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("left", "right"))
-                ids = expand(np.frombuffer(row["symbols"], f"<u{row['width']}"), left, right, row["base"])
+                ids = expand_all(np.frombuffer(row["symbols"], f"<u{row['width']}"), left, right, np.frombuffer(row["lengths"], "<i8"), row["base"])
                 lengths = np.frombuffer(row["doc_lengths"], "<i8")
                 ends = np.cumsum(lengths)
                 if len(ids) != ends[-1] or ends[-1] != row["n_ids"]:
