@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -22,7 +22,7 @@ MAX_REPEATS = 2
 BLOCK_WORDS = 1024
 SEED = "mix"
 #: Rows in a bucket of the shuffled order, on average.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 500
 #: The golden-ratio sequence on a lattice of a prime number of points: point j is j * GOLDEN mod POINTS.
 POINTS, GOLDEN = 2_147_483_647, 1_327_217_884
 CELLS = 1024
@@ -126,12 +126,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = M
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
     sized = materialize(sized, "mix_sizes")
     targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats), "mix_targets")
-    spans = materialize(shuffled_spans(sized, sized.count(), seed), "mix_spans")
+    # `row` tells identical rows apart; it is fixed by writing it once
+    spans = materialize(shuffled_spans(sized, sized.count(), seed).withColumn("row", F.monotonically_increasing_id()), "mix_spans")
+    discard(sized)
     slots = schedule(targets, block_words)
     uses = slots.groupBy(F.col("source").alias("bs"), F.col("block").alias("bb")).agg(F.collect_list("words").alias("uses"))  # `repeats` at most
     # documents meet the blocks that they lie in; a block has a bounded number of words
     b = block_words
-    spans = spans.withColumn("row", F.monotonically_increasing_id())
     pieces = spans.where("size > 0").withColumn("bb", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     met = pieces.join(uses, F.col("source").eqNullSafe(F.col("bs")) & (pieces["bb"] == uses["bb"])).select("row", "start", "size", (F.col("start") - pieces["bb"] * b).alias("at"), "uses")
     inside = F.aggregate("uses", F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), w) - F.greatest(F.col("at"), F.lit(0))))
