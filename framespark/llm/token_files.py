@@ -33,7 +33,7 @@ MAX_SYMBOLS = 65_536
 ROUNDS = 10
 MIN_COUNT = 8
 #: Words that a worker remembers, about 200 bytes each; then it starts anew.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 1_500_000
 #: part_first: the first id of the range that a shard belongs to; ids_before: ids of the range before the shard.
 SHARD_SCHEMA = "part_first long, ids_before long, n_ids long, doc_ids binary, doc_nulls binary, doc_symbols binary, doc_lengths binary, symbols binary, width int, left binary, right binary, lengths binary, base int"
 
@@ -68,8 +68,8 @@ class Encoder:
         words = self.words
         bare = {w[:-1] if w[-1:] in self.marks and w[-2:-1].isalpha() else w for w in new}
         bare = [w for w in bare if w not in words]
-        for at in range(0, len(bare), 500):
-            some = bare[at : at + 500]
+        for at in range(0, len(bare), 2000):
+            some = bare[at : at + 2000]
             ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
             heads = np.flatnonzero(self.spaced[ids])
             if len(heads) == len(some):
@@ -88,18 +88,28 @@ class Encoder:
         cut = []
         for t in texts:
             if any(s in t for s in self.special):
-                cut.append([[t]])
+                cut.append([(t, ())])
             elif UNSAFE.search(t):
-                cut.append([[p] for p in CUT.split(t)])
+                cut.append([(p, ()) for p in CUT.split(t)])
             else:
-                lines = [line.split(" ") for line in t.split("\n")]
-                cut.append([x for line in lines for x in (["\n"], line)][1:])
+                own = []
+                for line in t.split("\n"):
+                    first, *rest = line.split(" ")
+                    own += [("\n", ()), (first, rest)]
+                cut.append(own[1:])
         words, pieces = self.words, self.pieces
-        every = set().union(*(line[1:] for lines in cut for line in lines if len(line) > 1))
+        every = set().union(*(rest for lines in cut for _, rest in lines if rest))
         self.learn([w for w in every if w not in words])
-        heads = [p for p in {line[0] for lines in cut for line in lines} if p not in pieces]
+        heads = [p for p in {first for lines in cut for first, _ in lines} if p not in pieces]
         pieces.update(zip(heads, self.plain(heads), strict=True))
-        return [np.frombuffer(b"".join([x for line in lines for x in (pieces[line[0]], *map(words.__getitem__, line[1:]))]), "<u4") for lines in cut]
+        out = []
+        for lines in cut:
+            parts = []
+            for first, rest in lines:
+                parts.append(pieces[first])
+                parts += map(words.__getitem__, rest)
+            out.append(np.frombuffer(b"".join(parts), "<u4"))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -254,9 +264,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 if len(ids) != ends[-1] or ends[-1] != row["n_ids"]:
                     raise ValueError(f"damaged shard after {row['ids_before']} ids of the range from {row['part_first']}")
                 keys, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_nulls"], "?")
-                own = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
+                own = [ids[e - n : e] for e, n in zip(ends, lengths, strict=True)]
                 columns = [pa.array(keys, mask=nulls), pa.array([row["part_first"]] * len(keys), pa.int64()), pa.array(row["ids_before"] + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.binary())] * with_ids, names=["doc_id", "part_first", "own_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([x.tobytes() for x in own], pa.binary())] if with_ids else []), names=["doc_id", "part_first", "own_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     files = token_files(spark, path)
     docs = map_batches(files, run, "doc_id long, part_first long, own_start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
