@@ -7,7 +7,9 @@ Texts with equal shingle sets form one class first. A class's values that no oth
 are combined. In a bucket no pairs of all are formed: members meet the bucket's smallest id and their neighbours in
 the order of other minhash values, where near copies are adjacent; a large bucket is split at random into parts whose
 smallest ids meet. Every candidate is verified on the full shingle sets. The best partner of each class is verified first;
-of the others only those that would join components that are still apart.
+of the others only those that would join components that are still apart. Members of a bucket that then are still in
+different components meet in full: their common shingles are counted in blocks of members, so no pair that shares a
+table's key is left out unless it is in one component already.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SIDE, ROWS = 10, 2
 PART = 1000
 #: Neighbours in a bucket's order that a member meets.
 NEIGHBOURS = 2
+#: Shingles, about, in a block of a crowd's members, and what a member counts beside its shingles.
+CROWD, MEMBER = 500_000, 64
 SALTS = 16
 MAX_BLOCKS = 1 << 16
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -146,6 +150,12 @@ def candidates(classes: DataFrame, side: int = SIDE, percent: int = PERCENT, par
     return out
 
 
+def texts_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id is in ids, and few others: those that pass a filter of bounded size by chance."""
+    blocks = block_count(ids.count(), MAX_BLOCKS)
+    return docs.withColumn("block", bloom_block(F.col("id"), blocks)).join(F.broadcast(bloom_table(ids, "id", blocks)), "block").where(bloom_hit(F.col("id"))).select("id", "text")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """(a, b) of those pairs whose full shingle sets are similar enough. docs: (id, text) of all classes."""
 
@@ -161,15 +171,83 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int = PERCENT) ->
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(0), batch.column(1))], names=["a", "b"])
 
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    # texts that are in no pair stay behind at a filter of bounded size; those that pass by chance meet no pair
-    blocks = block_count(2 * pairs.count(), MAX_BLOCKS)
-    held = docs.withColumn("block", bloom_block(F.col("id"), blocks)).join(F.broadcast(bloom_table(ends, "id", blocks)), "block").where(bloom_hit(F.col("id"))).select("id", "text")
+    held = texts_near(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     left = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
+def joining(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, rows: int = 64) -> list[tuple[int, int]]:
+    """Of all similar enough pairs of a left and a right member, as many as join the members' components. The common shingles of every pair are counted: frequent shingles by a matrix product, the others by their lists of members."""
+    component, sizes, links = component.copy(), np.array([len(s) for s in sets]), []
+    _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(sets)), sizes)
+    often, several = (held > 1) & (held * 8 > len(sets)), held > 1
+    dense = np.zeros((len(sets), int(often.sum())), np.float32)
+    at = often[token]
+    dense[member[at], (np.cumsum(often) - 1)[token[at]]] = 1
+    at = several[token] & ~often[token]
+    member, token = member[at], token[at]
+    lists = member[np.argsort(token, kind="stable")]
+    count = np.bincount(token, minlength=len(held))
+    start = np.cumsum(count) - count
+    own = np.searchsorted(member, np.arange(len(sets) + 1))
+    other = dense[right].T
+    for first in range(0, len(left), rows):
+        block = left[first : first + rows]
+        common = np.zeros((len(block), len(right)), np.int64) + np.rint(dense[block] @ other).astype(np.int64)
+        for r, i in enumerate(block):
+            t = token[own[i] : own[i + 1]]
+            if len(t):
+                places = np.repeat(start[t] - (np.cumsum(count[t]) - count[t]), count[t]) + np.arange(count[t].sum())
+                common[r] += np.bincount(lists[places], minlength=len(sets))[right]
+        similar = 100 * common >= percent * (sizes[block][:, None] + sizes[right][None, :] - common)
+        for r, i in enumerate(block):
+            near = right[similar[r]]
+            for c, j in zip(*np.unique(component[near], return_index=True), strict=True):
+                if c != component[i]:
+                    links.append((int(i), int(near[j])))
+                    component[component == c] = component[i]
+    return links
+
+
+def crowd_links(classes: DataFrame, found: DataFrame, docs: DataFrame, k: int, percent: int = PERCENT, side: int = SIDE, most: int = CROWD) -> DataFrame:
+    """(a, b): links that join components among the classes that share a value of collection A.
+
+    Buckets that are one component, or so small that neighbours are all members, are done. In each other one the members
+    outside its largest component meet all members, in blocks of bounded size: every block of theirs meets every block.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("x")) for i, c in enumerate(signature_columns(side)[:side])])
+    placed = classes.join(found, "id", "left").select("id", (F.col("n") + MEMBER).alias("weight"), F.coalesce("component", "id").alias("component"), F.explode(values).alias("e"))
+    entries = placed.select("id", "weight", "component", "e.v", "e.x")
+    sizes = entries.groupBy("v", "x", "component").agg(F.count("*").alias("m"), F.sum("weight").alias("weight"))
+    crowds = sizes.groupBy("v", "x").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.sum("weight").alias("total"), F.max(F.struct("m", "component", "weight")).alias("home"))
+    crowds = crowds.where((F.col("parts") > 1) & (F.col("m") > NEIGHBOURS + 1))
+    whole = F.col("total") <= most
+    outer = F.when(whole, 1).otherwise(F.ceil((F.col("total") - F.col("home.weight")) / most))
+    inner = F.when(whole, 0).otherwise(F.ceil(F.col("home.weight") / most))
+    crowds = crowds.select("v", "x", F.col("home.component").alias("home"), whole.alias("whole"), outer.cast("int").alias("outer"), inner.cast("int").alias("inner"))
+    rows = entries.join(crowds, ["v", "x"]).withColumn("away", F.col("component") != F.col("home"))
+    part = lambda of: F.pmod(F.xxhash64("id", "v"), F.greatest(F.col(of), F.lit(1))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("whole"), 0).when(F.col("away"), part("outer")).otherwise(F.col("outer") + part("inner")))
+    met = F.when(F.col("block") < F.col("outer"), F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
+    rows = rows.select("id", "component", "away", "block", "v", "x", F.explode(F.sequence(F.lit(0), met)).alias("with"))
+    rows = materialize(rows.select("id", "component", "away", "block", "v", "x", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q")), "minhash_crowds")
+
+    def run(group: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        ids, component, away, block, p, q = (group.column(c).to_numpy() for c in ("id", "component", "away", "block", "p", "q"))
+        sets = [shingles(t, k, hashes) for t in group.column("text").to_pylist()]
+        left = np.flatnonzero(away & (block == p))
+        links = joining(sets, component, left, np.flatnonzero(block == q), percent)
+        return pa.table({"a": pa.array([int(ids[i]) for i, _ in links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in links], pa.int64())})
+
+    with_texts = rows.join(texts_near(docs, rows.select("id").distinct()), "id")
+    links = materialize(with_texts.groupBy("v", "x", "p", "q").applyInArrow(run, "a long, b long"), "minhash_crowd_links")
+    discard(rows)
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, of every id in links (a, b). Rounds of least neighbours and shortcuts, each written to the shared folder."""
     both = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
@@ -209,12 +287,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     comp = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
     rest = pairs.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").join(comp("a"), "a", "left").join(comp("b"), "b", "left")
     rest = materialize(rest.where("coalesce(a_component, a) <> coalesce(b_component, b)").select("a", "b").distinct(), "minhash_rest")
-    links = first.unionByName(verify(rest, texts, k, percent))
+    second = materialize(first.unionByName(verify(rest, texts, k, percent)), "minhash_links")
+    # members of a bucket that are still apart
+    nearly = components(second)
+    third = crowd_links(classes.select("id", "n", *names), nearly, texts, k, percent, side)
+    links = second.unionByName(third)
     # a repeated doc_id joins the classes of its texts
     repeated = signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2", "doc_id").count().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id")
     same = signed.where("n > 0").join(repeated, "doc_id").join(classes.select("n", "h1", "h2", "id"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     last = materialize(links.unionByName(same).distinct(), "minhash_links")
-    for done in (pairs, best, first, rest, found):
+    for done in (pairs, best, first, rest, found, second, nearly, third):
         discard(done)
     found = components(last)
     discard(last)

@@ -357,6 +357,22 @@ def test_near_duplicates_in_split_buckets(spark):
     assert sorted(got) == sorted(brute_components(rows, 4))
 
 
+def test_near_duplicates_in_a_template_crowd(spark):
+    """Pairs at 0.82 inside a crowd that shares a template and whose other pairs are at 0.78, once in one block and once in several."""
+    ids = random.Random(4).sample(range(10_000), 1000)
+    template = [f"t{j}" for j in range(79)]
+    rows = [(d, " ".join(template + [f"p{i // 2}x", f"p{i // 2}y"] + [f"d{i}v{j}" for j in range(9)]), None) for i, d in enumerate(ids)]
+    want = sorted((d, 90, min(ids[i - i % 2], ids[i - i % 2 + 1]), d == min(ids[i - i % 2], ids[i - i % 2 + 1])) for i, d in enumerate(ids))
+    assert sorted(collect(near_dedup.near_duplicates(frame(spark, rows), 1))) == want
+    few = rows[:60]
+    classes = frame(spark, few).selectExpr("doc_id AS id", "90L AS n", *[f"7L AS {c}" for c in near_dedup.signature_columns(1)])
+    home = spark.createDataFrame([(d, 0) for d, _, _ in few[:20]], "id long, component long")
+    texts = frame(spark, few).selectExpr("doc_id AS id", "text")
+    for most in (1000, 10**6):
+        links = {tuple(sorted(r)) for r in near_dedup.crowd_links(classes, home, texts, 1, side=1, most=most).collect()}
+        assert links == {tuple(sorted(ids[i : i + 2])) for i in range(20, 60, 2)}
+
+
 # --- decontamination ---
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
