@@ -62,6 +62,17 @@ def decode_safetensors(data: bytes) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(data[8 + size + v["data_offsets"][0] : 8 + size + v["data_offsets"][1]], _npy(v["dtype"])).reshape(v["shape"]) for k, v in header.items() if k != "__metadata__"}
 
 
+def stacked(path: str, image: np.ndarray, label: np.ndarray):
+    """Rows of the frames at each index of the first axis; an error where one of the two ends, or for other shapes than (h, w) or (1, h, w)."""
+    for i in range(max(len(image), len(label))):
+        if i >= min(len(image), len(label)):
+            yield path, i, None, None, None, None, f"image has {len(image)} frames, label {len(label)}"
+        elif image[i].ndim < 2 or image[i].size != np.prod(image[i].shape[-2:]) or label[i].size != image[i].size or label[i].shape[-2:] != image[i].shape[-2:]:
+            yield path, i, None, None, None, None, f"shapes {image.shape} and {label.shape} can't be read"
+        else:
+            yield path, i, *image[i].shape[-2:], image[i].astype(np.float32).ravel(), label[i].astype(np.float32).ravel(), None
+
+
 def decode_chunk(data: bytes, meta: dict) -> np.ndarray:
     """A chunk of a zarr v2 array; codecs other than none, zlib and gzip are an error."""
     codec = (meta.get("compressor") or {}).get("id")
@@ -93,7 +104,7 @@ def ingest_containers(spark: SparkSession, path: str, image: str = "images", lab
     """S5. (store, item_idx, h, w, pixels, label, error): frames of the zarr v2 stores and safetensors files below `path`, one row a frame. A file that can't be read is a row with an error.
 
     A zarr chunk holds whole frames: chunks are (n, h, w). Frames of images and labels meet by store and number; array
-    metadata, one row an array, joins to its chunks. safetensors files have one frame (image, label).
+    metadata, one row an array, joins to its chunks. safetensors files have stacks (image, label) with a frame at each index of the first axis.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     zarr = r"^(.*\.zarr)/([^/]+)/([^/]+)$"
@@ -125,10 +136,11 @@ def ingest_containers(spark: SparkSession, path: str, image: str = "images", lab
             for r in pdf.itertuples():
                 try:
                     got = decode_safetensors(r.content)
-                    row = (r.path, 0, *got["image"].shape[-2:], got["image"].astype(np.float32).ravel(), got["label"].astype(np.float32).ravel(), None)
+                    rows = stacked(r.path, got["image"], got["label"])
                 except Exception as e:  # noqa: BLE001
-                    row = (r.path, 0, None, None, None, None, str(e))
-                yield pd.DataFrame([row], columns=["store", "item_idx", "h", "w", "pixels", "label", "error"])
+                    rows = [(r.path, 0, None, None, None, None, str(e))]
+                for row in rows:
+                    yield pd.DataFrame([row], columns=["store", "item_idx", "h", "w", "pixels", "label", "error"])
 
     single = files.where(F.col("path").endswith(".safetensors")).select("path", "content")
     return from_zarr.unionByName(single.mapInPandas(tensors, "store string, item_idx long, h int, w int, pixels array<float>, label array<float>, error string"))

@@ -403,6 +403,19 @@ def test_containers(spark, tmp_path):
     assert sorted(r.store.split("/")[-1] for r in found) == ["a.zarr", "b.zarr"]
 
 
+def test_safetensors_with_several_frames(spark, tmp_path):
+    a = np.arange(18, dtype="f4").reshape(3, 2, 3)
+    for name, image, label in (("a", a, a + 1), ("b", a[:, None], a[:2]), ("c", a, a[:, :1])):
+        (tmp_path / f"{name}.safetensors").write_bytes(safetensors(image=image, label=label))
+    rows = {(r.store[-13], r.item_idx): r for r in S.ingest_containers(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [(n, i) for n in "abc" for i in range(3)]
+    for i in range(3):
+        assert (rows["a", i].h, rows["a", i].w, rows["a", i].error) == (2, 3, None)
+        assert rows["a", i].pixels == a[i].ravel().tolist() and rows["a", i].label == (a[i] + 1).ravel().tolist()
+        assert rows["c", i].error and rows["c", i].pixels is None
+    assert rows["b", 1].pixels == a[1].ravel().tolist() and rows["b", 1].error is None and "label 2" in rows["b", 2].error
+
+
 def test_frames_and_predictions(spark, tmp_path):
     f = frame(spark, RAMP, RAMP)
     f.write.parquet(str(tmp_path / "f"))
