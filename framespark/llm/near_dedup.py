@@ -5,8 +5,8 @@ either collection key 100 tables from 40 minhashes, where 100 independent bands
 
 Texts with equal shingle sets form one class first. A class's values that no other class shares are dropped before they
 are combined. In a bucket no pairs of all are formed: members meet the bucket's smallest id and their neighbours in
-the order of other minhash values, where near copies are adjacent; a large bucket is split at random into parts whose
-smallest ids meet. Every candidate is verified on the full shingle sets. The best partner of each class is verified first;
+the order of other minhash values, where near copies are adjacent; a large bucket is split by a further minhash value,
+so near copies tend to stay together, into parts whose smallest ids meet. Every candidate is verified on the full shingle sets. The best partner of each class is verified first;
 of the others only those that would join components that are still apart. Members of a bucket that then are still in
 different components meet in full: their common shingles are counted in blocks of members, so no pair that shares a
 table's key is left out unless it is in one component already.
@@ -29,7 +29,7 @@ QUERY_SHINGLE, PERCENT = 4, 80
 SHINGLE = 5
 #: Values in either collection, and minhashes in a value.
 SIDE, ROWS = 10, 2
-#: Members, about, in a part of a split bucket.
+#: Members from which a bucket is split, and about those of a part.
 PART = 1000
 #: Neighbours in a bucket's order that a member meets.
 NEIGHBOURS = 2
@@ -130,9 +130,13 @@ def candidates(classes: DataFrame, side: int = SIDE, percent: int = PERCENT, par
     a_of, b_of = F.col("av")[F.col("i")], F.col("bv")[F.col("j")]
     next_of = lambda side_, at: F.col(side_)[(F.col(at) + 1) % F.size(side_)]["x"]
     near = F.shiftleft(F.hash(next_of("av", "i")).cast("long"), 32) + F.hash(next_of("bv", "j")).cast("long")
-    tables = own.select("*", F.explode(F.sequence(F.lit(0), F.size("av") - 1)).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.size("bv") - 1)).alias("j")).select("id", "n", near.alias("near"), a_of.alias("a"), b_of.alias("b"))
+    tables = own.select("*", F.explode(F.sequence(F.lit(0), F.size("av") - 1)).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.size("bv") - 1)).alias("j")).select("id", "n", next_of("av", "i").alias("next"), near.alias("near"), a_of.alias("a"), b_of.alias("b"))
     most = F.least(F.col("a.m"), F.col("b.m"))
-    keyed = tables.select(F.xxhash64("a.v", "a.x", "b.v", "b.x").alias("key"), F.when(most > part, F.pmod(F.xxhash64("id"), F.ceil(most / part))).otherwise(0).cast("int").alias("part"), (most > part).alias("split"), "near", "id", "n")
+    key, further = F.xxhash64("a.v", "a.x", "b.v", "b.x"), F.xxhash64("a.v", "a.x", "b.v", "b.x", "next")
+    keyed = tables.select(key.alias("key"), further.alias("further"), (most > part).alias("large"), "near", "id", "n")
+    # only what two frequent values key can be large; its own count decides
+    large = keyed.where("large").groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > part)
+    keyed = keyed.join(large, "key", "left").select("key", F.when(F.col("members").isNotNull(), F.pmod("further", F.ceil(F.col("members") / part))).otherwise(0).cast("int").alias("part"), F.col("members").isNotNull().alias("split"), "near", "id", "n")
     bucket, ordered = Window.partitionBy("key", "part"), Window.partitionBy("key", "part").orderBy("near", "id")
     row = F.struct("id", "n")
     before = [F.lag(row, k).over(ordered) for k in range(1, neighbours + 1)]

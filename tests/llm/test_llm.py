@@ -373,6 +373,20 @@ def test_near_duplicates_in_a_template_crowd(spark):
         assert links == {tuple(sorted(ids[i : i + 2])) for i in range(20, 60, 2)}
 
 
+def test_large_buckets_are_split_by_further_values(spark):
+    """In a bucket of 400 twins meet in every table, though their ids fall into different parts; a small bucket of two frequent values isn't split."""
+    names, side = near_dedup.signature_columns(2), 2
+    twins = [(2 * i + j, 50, 1, 100 + i, 2, 200 + i) for i in range(200) for j in range(2)]
+    rows = spark.createDataFrame(twins, "id long, n long, " + ", ".join(f"{c} long" for c in names))
+    met = {(r.a, r.b): r.n for r in near_dedup.candidates(rows, side, part=10).collect()}
+    # each of the three tables with buckets of two gives a pair twice, as neighbour and as smallest id
+    assert all(met[2 * i, 2 * i + 1] >= 7 for i in range(200))
+    # 7 with 8 has three holders, each value twenty-three
+    small = [(i, 50, 7, 8) for i in range(3)] + [(10 + i, 50, 7, 1000 + i) for i in range(20)] + [(40 + i, 50, 2000 + i, 8) for i in range(20)]
+    rows = spark.createDataFrame(small, "id long, n long, a0 long, b0 long")
+    assert {(r.a, r.b) for r in near_dedup.candidates(rows, 1, part=3, neighbours=1).collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
 # --- decontamination ---
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
