@@ -83,53 +83,118 @@ def decode_chunk(data: bytes, meta: dict) -> np.ndarray:
     return np.frombuffer(data, meta["dtype"]).reshape(meta["chunks"], order=meta.get("order", "C"))
 
 
+def zarr_layout(text: str) -> dict:
+    """Metadata of a stack of frames (n, h, w) in zarr v2; other layouts are an error."""
+    meta = json.loads(text)
+    if meta.get("zarr_format", 2) != 2 or meta.get("filters") or len(meta["shape"]) != 3 or len(meta["chunks"]) != 3:
+        raise ValueError(f"shape {meta['shape']}, filters {meta.get('filters')}, format {meta.get('zarr_format')} can't be read")
+    return meta
+
+
 def array_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(store, array, meta): the .zarray texts of the stores directly below `path`. Spark's readers leave out hidden files, so they are opened through its file system, one small file for each array."""
+    """(folder, meta): the .zarray texts at any depth of the stores below `path`. Spark's readers leave out hidden files, so they are opened through its file system, one small file for each array; folders of chunks aren't listed."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = []
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*.zarr/*/.zarray")
-    fs = pattern.getFileSystem(conf)
-    for status in fs.globStatus(pattern) or []:
-        stream = fs.open(status.getPath())
-        try:
-            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        array = status.getPath().getParent()
-        found.append((array.getParent().getName(), array.getName(), text))
-    return spark.createDataFrame(found, "_s string, _a string, meta string")
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found, folders = [], [fs.makeQualified(root)]
+    while folders:
+        folder = folders.pop()
+        at = jvm.org.apache.hadoop.fs.Path(folder, ".zarray")
+        if ".zarr" in folder.toString() and fs.exists(at):
+            stream = fs.open(at)
+            try:
+                found.append((folder.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+        else:
+            folders += [s.getPath() for s in fs.listStatus(folder) if s.isDirectory()]
+    return spark.createDataFrame(found, "folder string, meta string")
 
 
 def ingest_containers(spark: SparkSession, path: str, image: str = "images", label: str = "labels") -> DataFrame:
     """S5. (store, item_idx, h, w, pixels, label, error): frames of the zarr v2 stores and safetensors files below `path`, one row a frame. A file that can't be read is a row with an error.
 
-    A zarr chunk holds whole frames: chunks are (n, h, w). Frames of images and labels meet by store and number; array
-    metadata, one row an array, joins to its chunks. safetensors files have stacks (image, label) with a frame at each index of the first axis.
+    zarr chunks are tiles of stacks (n, h, w), named with '.' or '/', in stores or groups of them (store is then the group's
+    folder); a chunk that isn't there holds fill_value. Frames of images and labels meet by store and number; array
+    metadata, one row an array, joins to its chunks. A frame with a tile that can't be read has an error, as has the chunk,
+    under -1 - its number. safetensors files have stacks (image, label) with a frame at each index of the first axis.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    zarr = r"^(.*\.zarr)/([^/]+)/([^/]+)$"
-    named = files.select("path", "content", *[F.regexp_extract("path", zarr, i).alias(n) for i, n in ((1, "store"), (2, "array"), (3, "file"))])
+    chunk = r"^(.*\.zarr/.+?)/((?:\d+[./])*\d+)$"
+    parts = lambda c: (F.regexp_extract(c, "^(.*)/[^/]+$", 1), F.regexp_extract(c, "[^/]+$", 0))
+    named = files.where(F.col("path").rlike(r"\.zarr/")).select("path", "content", F.regexp_extract("path", chunk, 1).alias("folder"), F.regexp_extract("path", chunk, 2).alias("chunk"))
     metas = array_metadata(spark, path)
-    chunks = named.where(F.col("array").isin(image, label) & F.col("file").rlike(r"^\d+\.0\.0$"))
-    chunks = chunks.join(metas, (F.regexp_extract("store", "[^/]+$", 0) == F.col("_s")) & (F.col("array") == F.col("_a")), "left").select("store", "array", F.split("file", r"\.")[0].cast("long").alias("chunk"), "content", "meta")
-
-    def frames(it):
+    wanted = parts("folder")[1].isin(image, label)
+    # files that are no chunks of an array, and chunks of arrays inside a folder of that name
+    odd = named.where((F.col("folder") == "") | (~wanted & F.col("folder").rlike(rf"\.zarr/(.*/)?({image}|{label})/")))
+    odd = odd.select(F.regexp_extract("path", r"^(.*?\.zarr)/", 1).alias("store"), F.lit(-1).cast("long").alias("item_idx"), F.concat(F.lit("not a chunk of a zarr v2 array: "), "path").alias("error"))
+    chunks = named.where(wanted).join(metas, "folder", "left").select("folder", "chunk", "content", "meta")
+    columns = ["folder", "item_idx", "y", "x", "th", "tw", "tile", "error"]
+
+    def tiles(it):
         for pdf in it:
             for r in pdf.itertuples():
+                at = [int(i) for i in r.chunk.replace("/", ".").split(".")]
+                span = range(0)
                 try:
-                    meta = json.loads(r.meta)
-                    block = decode_chunk(r.content, meta)
-                    n, h, w = meta["shape"]
-                    start = r.chunk * meta["chunks"][0]
-                    rows = [(r.store, r.array, start + i, h, w, block[i, :h, :w].astype(np.float32).ravel(), None) for i in range(min(len(block), n - start))]
+                    if r.meta is None:
+                        raise ValueError("no .zarray")
+                    meta = zarr_layout(r.meta)
+                    if len(at) != 3:
+                        raise ValueError("not a chunk of a stack")
+                    (n, h, w), size = meta["shape"], meta["chunks"]
+                    start, y, x = (i * s for i, s in zip(at, size, strict=True))
+                    if y >= h or x >= w:
+                        continue
+                    span = range(start, min(start + size[0], n))
+                    block = decode_chunk(r.content, meta)[:, : h - y, : w - x].astype(np.float32)
+                    rows = ((r.folder, i, y, x, *block.shape[1:], block[i - start].ravel(), None) for i in span)
                 except Exception as e:  # noqa: BLE001  a bad file must not end the job
-                    rows = [(r.store, r.array, -1 - r.chunk, None, None, None, f"chunk {r.chunk}: {e}")]
-                yield pd.DataFrame(rows, columns=["store", "array", "item_idx", "h", "w", "px", "error"])
+                    why = f"chunk {r.chunk}: {e}"
+                    rows = [(r.folder, i, 0, 0, 0, 0, None, why) for i in (-1 - at[0], *span)]
+                for row in rows:
+                    yield pd.DataFrame([row], columns=columns)
+
+    def expected(it):
+        for pdf in it:
+            for r in pdf.itertuples():
+                try:
+                    rows, why = zarr_layout(r.meta)["shape"][0], None
+                except Exception as e:  # noqa: BLE001
+                    rows, why = 0, str(e)
+                yield pd.DataFrame([(r.folder, rows, why)], columns=["folder", "frames", "error"])
 
-    cut = chunks.mapInPandas(frames, "store string, array string, item_idx long, h int, w int, px array<float>, error string")
-    side = lambda name, to: cut.where(F.col("array") == name).select("store", "item_idx", F.col("h").alias(f"h_{to}"), F.col("w").alias(f"w_{to}"), F.col("px").alias(to), F.col("error").alias(f"e_{to}"))
+    def frames(it):
+        for pdf in it:
+            for r in pdf.itertuples():
+                try:
+                    if bad := [t["error"] for t in r.tiles if t["error"]]:
+                        raise ValueError("; ".join(sorted(bad)))
+                    meta = zarr_layout(r.meta)
+                    _, h, w = meta["shape"]
+                    if len(r.tiles) < -(-h // meta["chunks"][1]) * -(-w // meta["chunks"][2]) and meta.get("fill_value") is None:
+                        raise ValueError("chunks are absent and there is no fill_value")
+                    out = np.full((h, w), float(meta.get("fill_value") or 0), np.float32)
+                    for t in r.tiles:
+                        out[t["y"] : t["y"] + t["th"], t["x"] : t["x"] + t["tw"]] = np.asarray(t["tile"], np.float32).reshape(t["th"], t["tw"])
+                    row = (r.folder, r.item_idx, h, w, out.ravel(), None)
+                except Exception as e:  # noqa: BLE001
+                    row = (r.folder, r.item_idx, None, None, None, str(e))
+                yield pd.DataFrame([row], columns=["folder", "item_idx", "h", "w", "px", "error"])
+
+    cut = chunks.mapInPandas(tiles, "folder string, item_idx long, y int, x int, th int, tw int, tile array<float>, error string")
+    held = cut.where("item_idx >= 0").groupBy("folder", "item_idx").agg(F.collect_list(F.struct("y", "x", "th", "tw", "tile", "error")).alias("tiles"))
+    arrays = metas.where(wanted)
+    sizes = arrays.mapInPandas(expected, "folder string, frames long, error string")
+    items = sizes.where("frames > 0").select("folder", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("item_idx")).join(arrays, "folder")
+    whole = items.join(held, ["folder", "item_idx"], "left").withColumn("tiles", F.coalesce("tiles", F.array()))
+    cut_frames = whole.mapInPandas(frames, "folder string, item_idx long, h int, w int, px array<float>, error string").withColumns({"store": parts("folder")[0], "array": parts("folder")[1]})
+    side = lambda name, to: cut_frames.where(F.col("array") == name).select("store", "item_idx", F.col("h").alias(f"h_{to}"), F.col("w").alias(f"w_{to}"), F.col("px").alias(to), F.col("error").alias(f"e_{to}"))
     both = side(image, "pixels").join(side(label, "label"), ["store", "item_idx"], "full")
     from_zarr = both.select("store", "item_idx", F.coalesce("h_pixels", "h_label").alias("h"), F.coalesce("w_pixels", "w_label").alias("w"), "pixels", "label", F.coalesce("e_pixels", "e_label").alias("error"))
+    broken = cut.where("item_idx < 0").select(parts("folder")[0].alias("store"), "item_idx", "error")
+    broken = broken.unionByName(sizes.where("error is not null").select(parts("folder")[0].alias("store"), F.lit(-1).cast("long").alias("item_idx"), "error")).unionByName(odd)
+    from_zarr = from_zarr.unionByName(broken, allowMissingColumns=True)
 
     def tensors(it):
         for pdf in it:

@@ -416,6 +416,39 @@ def test_safetensors_with_several_frames(spark, tmp_path):
     assert rows["b", 1].pixels == a[1].ravel().tolist() and rows["b", 1].error is None and "label 2" in rows["b", 2].error
 
 
+def test_zarr_tiles_groups_and_absent_chunks(spark, tmp_path):
+    a = np.arange(3 * 3 * 5, dtype="<f4").reshape(3, 3, 5)
+
+    def write(folder, sep, absent=(), fill=7.0, **more):
+        folder.mkdir(parents=True)
+        (folder / ".zarray").write_text(json.dumps({"shape": [3, 3, 5], "chunks": [2, 2, 3], "dtype": "<f4", "fill_value": fill, "zarr_format": 2, "compressor": None, **more}))
+        for at in np.ndindex(2, 2, 2):
+            if at not in absent:
+                block = np.zeros((2, 2, 3), "<f4")
+                part = a[tuple(slice(i * s, (i + 1) * s) for i, s in zip(at, (2, 2, 3), strict=True))]
+                block[tuple(map(slice, part.shape))] = part
+                file = folder / sep.join(map(str, at))
+                file.parent.mkdir(parents=True, exist_ok=True)
+                file.write_bytes(block.tobytes())
+
+    write(tmp_path / "a.zarr" / "images", ".")
+    write(tmp_path / "a.zarr" / "labels", "/")
+    write(tmp_path / "b.zarr" / "group" / "images", "/", absent=[(0, 1, 0), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)])
+    write(tmp_path / "c.zarr" / "images", ".", absent=[(1, 1, 1)], fill=None)
+    write(tmp_path / "d.zarr" / "images", ".", filters=[{"id": "delta"}])
+    (tmp_path / "e.zarr" / "images" / "c" / "0").mkdir(parents=True)
+    (tmp_path / "e.zarr" / "images" / "c" / "0" / "0").write_bytes(b"x")
+    (tmp_path / "e.zarr" / "zarr.json").write_text("{}")
+    rows = {(r.store.split(tmp_path.name + "/")[1], r.item_idx): r for r in S.ingest_containers(spark, str(tmp_path)).collect()}
+    filled = a.copy()
+    filled[:2, 2:, :3] = filled[2] = 7
+    for i in range(3):
+        assert rows["a.zarr", i].pixels == rows["a.zarr", i].label == a[i].ravel().tolist() and rows["a.zarr", i].error is None
+        assert rows["b.zarr/group", i].pixels == filled[i].ravel().tolist() and (rows["b.zarr/group", i].h, rows["b.zarr/group", i].w) == (3, 5)
+    assert rows["c.zarr", 0].pixels == a[0].ravel().tolist() and "absent" in rows["c.zarr", 2].error
+    assert "filters" in rows["d.zarr", -1].error and "not a chunk" in rows["e.zarr", -1].error
+
+
 def test_frames_and_predictions(spark, tmp_path):
     f = frame(spark, RAMP, RAMP)
     f.write.parquet(str(tmp_path / "f"))
