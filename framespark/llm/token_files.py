@@ -1,12 +1,11 @@
 """Token-id files compressed by Re-Pair grammars, with random access.
 
 Documents are range-partitioned by id; each range is cut into shards of a bounded number of ids. In a shard, frequent
-pairs of neighbouring symbols are replaced again and again by new symbols (nonterminals). A row of the files holds one
-shard: its documents' ids and symbol offsets, the symbols, the rules (left, right) in order of creation, and for each rule
-the number of ids that it expands to, so that any stretch of any document can be decoded alone.
+pairs of neighbouring symbols are replaced by new symbols (nonterminals) until no pair is frequent. A row of the files
+holds one shard: its documents' ids and symbol offsets, the symbols, the rules (left, right) in order of creation, and for
+each rule the number of ids that it expands to, so that any stretch of any document can be decoded alone (read_stretch).
 
-Pairs never cross a document's end. Each round replaces many pairs at once: symbols are split into left and right ones,
-which rules out overlaps, and all frequent pairs of a left and a right symbol are replaced in one pass.
+Pairs never cross a document's end. Each round replaces many pairs at once, the most frequent ones first where they overlap.
 """
 
 from __future__ import annotations
@@ -28,14 +27,14 @@ MODEL = "byte_bpe_50k.json"
 END_ID = 0
 #: Ids in a shard, before which it is closed; one longer document makes a shard of its own.
 SHARD_IDS = 1_000_000
-#: Symbols stay below this, so that they take two bytes.
-MAX_SYMBOLS = 65_536
-ROUNDS = 10
+#: Places from which on a pair is frequent: a rule takes about as many bytes as four symbols.
 MIN_COUNT = 8
 #: Words that a worker remembers, about 200 bytes each; then it starts anew.
 MAX_WORDS = 1_500_000
-#: part_first: the first id of the range that a shard belongs to; ids_before: ids of the range before the shard.
-SHARD_SCHEMA = "part_first long, ids_before long, n_ids long, doc_ids binary, doc_nulls binary, doc_symbols binary, doc_lengths binary, symbols binary, width int, left binary, right binary, lengths binary, base int"
+#: Bytes of text in a range of ids, about; there are as many ranges as the session's shuffle partitions at least.
+PART_BYTES = 128 << 20
+#: part: the number of the range that a shard belongs to; ids_before: ids of the range before the shard; first_doc, last_doc: its least and largest id.
+SHARD_SCHEMA = "part int, ids_before long, n_ids long, first_doc long, last_doc long, doc_ids binary, doc_nulls binary, doc_symbols binary, doc_lengths binary, symbols binary, width int, left binary, right binary, lengths binary, base int"
 
 
 # --- encoding --------------------------------------------------------------------------------------------------------
@@ -44,6 +43,15 @@ SAFE = r"[!-~\xa1-\xac\xae-ᙿ]"
 CUT = re.compile(f"(?= {SAFE})")
 #: The last white space before one of them is a pre-token of its own too. Texts without this are lines of words with single spaces.
 UNSAFE = re.compile(rf"[ \n](?!{SAFE})")
+#: A word's letters and the marks after them are pre-tokens of their own.
+TAIL = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{-~]+)")
+
+
+class Words(dict):
+    """ids by word; words that it lacks are noted in `new`."""
+
+    def __missing__(self, word: str) -> None:
+        self.new.append(word)
 
 
 class Encoder:
@@ -56,60 +64,65 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(self.library.get_vocab_size(), bool)
         self.spaced[[i for w, i in self.library.get_vocab().items() if w.startswith("\u0120")]] = True  # the byte-level sign of a space
-        self.words: dict[str, bytes] = {}  # ids of words with a space before them
+        self.words = Words()  # ids of words with a space before them or, if they begin with it, a line break
+        self.words.new = []
         self.pieces: dict[str, bytes] = {}  # of pieces as they are
-        self.marks = {m: self.plain([m])[0] for m in ".,"}
+        self.line = self.plain(["\n"])[0]
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def piece(self, some: list[str]) -> None:
+        new = [p for p in set(some) if p not in self.pieces]
+        self.pieces.update(zip(new, self.plain(new), strict=True))
+
     def learn(self, new: list[str]) -> None:
-        """Encodes words many at a time, as one text, told apart by the spaces before them; a full stop or comma after a letter is a pre-token of its own."""
-        words = self.words
-        bare = {w[:-1] if w[-1:] in self.marks and w[-2:-1].isalpha() else w for w in new}
-        bare = [w for w in bare if w not in words]
+        """Encodes words many at a time, as one text, told apart by the spaces before them."""
+        words, pieces = self.words, self.pieces
+        starts = [w[1:] for w in new if w[:1] == "\n"]
+        self.piece(starts)
+        words.update(("\n" + w, self.line + pieces[w]) for w in starts)
+        cut = {w: TAIL.fullmatch(w) for w in new if w[:1] != "\n"}
+        self.piece([m[2] for m in cut.values() if m])
+        bare = [w for w in {m[1] if m else w for w, m in cut.items()} if w not in words]
         for at in range(0, len(bare), 2000):
             some = bare[at : at + 2000]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.frombuffer(self.plain([" " + " ".join(some)])[0], "<u4")
             heads = np.flatnonzero(self.spaced[ids])
             if len(heads) == len(some):
                 data, cuts = ids.tobytes(), (heads * 4).tolist()
                 words.update(zip(some, [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
             else:
                 words.update(zip(some, self.plain([" " + w for w in some]), strict=True))
-        for w in new:
-            if w not in words:
-                words[w] = words[w[:-1]] + self.marks[w[-1]]
+        words.update((w, words[m[1]] + pieces[m[2]]) for w, m in cut.items() if m)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) + len(self.pieces) > self.most:
-            self.words, self.pieces = {}, {}
-        # per text the lines, each a first piece and words with a space before them; a special string may hold cut points of its own
-        cut = []
+        words = self.words
+        if len(words) + len(self.pieces) > self.most:
+            words.clear()
+            self.pieces.clear()
+        cut, got = [], []
         for t in texts:
+            # a special string may hold cut points of its own
             if any(s in t for s in self.special):
-                cut.append([(t, ())])
+                self.piece([t])
+                cut.append(None)
+                got.append([self.line, self.pieces[t]])
             elif UNSAFE.search(t):
-                cut.append([(p, ()) for p in CUT.split(t)])
-            else:
-                own = []
-                for line in t.split("\n"):
-                    first, *rest = line.split(" ")
-                    own += [("\n", ()), (first, rest)]
-                cut.append(own[1:])
-        words, pieces = self.words, self.pieces
-        every = set().union(*(rest for lines in cut for _, rest in lines if rest))
-        self.learn([w for w in every if w not in words])
-        heads = [p for p in {first for lines in cut for first, _ in lines} if p not in pieces]
-        pieces.update(zip(heads, self.plain(heads), strict=True))
-        out = []
-        for lines in cut:
-            parts = []
-            for first, rest in lines:
-                parts.append(pieces[first])
-                parts += map(words.__getitem__, rest)
-            out.append(np.frombuffer(b"".join(parts), "<u4"))
-        return out
+                some = CUT.split(t)
+                self.piece(some)
+                cut.append(None)
+                got.append([self.line, *map(self.pieces.__getitem__, some)])
+            else:  # each line begins with its break, the first one with one that is dropped below
+                cut.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
+                got.append(list(map(words.__getitem__, cut[-1])))
+        if words.new:
+            self.learn(list(set(words.new)))
+            words.new = []
+            for some, ids in zip(cut, got, strict=True):
+                if some and None in ids:
+                    ids[:] = [words[w] if x is None else x for w, x in zip(some, ids, strict=True)]
+        return [np.frombuffer(b"".join(ids), "<u4")[len(self.line) // 4 :] for ids in got]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -122,59 +135,109 @@ def encoder_for(path: str) -> Encoder:
 
 
 # --- Re-Pair ---------------------------------------------------------------------------------------------------------
-def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, max_symbols: int = MAX_SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, starts of documents in them, left, right, lengths) of ids below base. Rule k makes symbol base + k."""
-    s = ids.astype(np.int64)
+SLOT_BITS = 20
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, starts of documents in them, left, right, lengths) of ids below base. Rule k makes symbol base + k.
+
+    Rounds go on until no pair occurs min_count times. In a round each place of a frequent pair is replaced unless a more
+    frequent pair overlaps it; of a run of one symbol every second place counts. The most frequent pair is replaced
+    everywhere, so every round makes a rule. A pair that is frequent in the next round was so before, or has a new symbol,
+    so only such places are counted again.
+    """
+    s = ids.astype(np.int32)  # symbols number less than ids and base together
     last = np.zeros(len(s), bool)  # a pair may not begin at the last symbol of a document
     ends = np.append(starts[1:], len(s)) - 1
     last[ends[ends >= starts]] = True
+    if len(s):
+        last[-1] = True
     left, right, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.ones(base, np.int64)]
-    n_symbols = base
-    for k in range(rounds):
-        room = max_symbols - n_symbols
-        if room <= 0 or len(s) < 2:
+    n_symbols, at = base, np.arange(len(s))
+    while True:
+        at = at[~last[at]]
+        pairs = s[at].astype(np.int64) << 32 | s[at + 1]
+        odd = odd_of_runs(at, s[at] == s[at + 1])
+        beaten, at, pairs = at[odd], at[~odd], pairs[~odd]
+        some, counts, at, found = frequent(at, pairs, min_count)
+        if not len(some):
             break
-        side = (np.random.default_rng(k).random(n_symbols) < 0.5)  # True: a left symbol in this round
-        lefts = side[s]
-        at = np.flatnonzero(lefts[:-1] & ~lefts[1:] & ~last[:-1])
-        pairs = s[at] << 20 | s[at + 1] if n_symbols <= 1 << 20 else s[at] << 32 | s[at + 1]
-        order = np.sort(pairs)
-        heads = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(heads, len(order)))
-        often = np.flatnonzero(counts >= min_count)
-        share = max(1, room // (rounds - k))  # later rounds, which see longer symbols, get rules too
-        if len(often) > share:
-            often = often[np.argsort(-counts[often], kind="stable")[:share]]
-        if not len(often):
-            continue
-        chosen = np.sort(order[heads[often]])
-        shift = 20 if n_symbols <= 1 << 20 else 32
-        a, b = chosen >> shift, chosen & ((1 << shift) - 1)
-        # most pairs that aren't chosen fail at a table of hashes
-        table_ = np.zeros(1 << 18, bool)
-        table_[_slot(chosen)] = True
-        maybe = np.flatnonzero(table_[_slot(pairs)])
-        found = np.minimum(np.searchsorted(chosen, pairs[maybe]), len(chosen) - 1)
-        same = chosen[found] == pairs[maybe]
-        at = at[maybe[same]]
-        s[at] = n_symbols + found[same]
-        last[at] = last[at + 1]
+        rank = np.empty(len(some), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(some))
+        mine = rank[found]
+        beside = np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~beside | (mine[1:] > mine[:-1])
+        wins[:-1] &= ~beside | (mine[:-1] > mine[1:])
+        # pairs that keep too few places wait for a later round
+        number = np.bincount(found[wins], minlength=len(some)) >= min_count
+        wins &= number[found]
+        won, waiting = at[wins], at[~wins]
+        s[won] = n_symbols + (np.cumsum(number) - 1)[found[wins]]
+        last[won] = last[won + 1]
         keep = np.ones(len(s), bool)
-        keep[at + 1] = False
+        keep[won + 1] = False
+        place = np.cumsum(keep, dtype=np.int32) - 1
         s, last = s[keep], last[keep]
+        touched = np.zeros(len(s) + 1, bool)
+        touched[place[won]] = True
+        touched[place[won] - 1] = True  # of the first symbol: the spare place at the end
+        touched[place[waiting[keep[waiting]]]] = True
+        equal = place[beaten[keep[beaten]]]
+        touched[equal] = True
+        at = np.flatnonzero(touched[:-1])
+        a, b = some[number] >> 32, some[number] & 0xFFFFFFFF
         so_far = np.concatenate(lengths)
         left.append(a)
         right.append(b)
         lengths.append(so_far[a] + so_far[b])
-        n_symbols += len(chosen)
+        n_symbols += len(a)
     sizes = np.concatenate(lengths)
     # documents begin where the expansion reaches their first id
     where = np.append(0, np.cumsum(sizes[s]))
     return s, np.searchsorted(where, starts), np.concatenate(left), np.concatenate(right), sizes[base:]
 
 
-def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+def odd_of_runs(at: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Which places of pairs of one symbol are the second, fourth, ... of a run of such places."""
+    odd = np.zeros(len(at), bool)
+    i = np.flatnonzero(equal)
+    if len(i):
+        n = np.arange(len(i))
+        head = np.append(True, np.diff(at[i]) > 1)
+        odd[i] = (n - np.maximum.accumulate(np.where(head, n, 0))) % 2 == 1
+    return odd
+
+
+def frequent(at: np.ndarray, pairs: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that occur min_count times, their counts, places of them, number of each place's pair)."""
+    # most others fail at a table of counts by hash
+    slot = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    maybe = np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= min_count if len(at) > 1 << SLOT_BITS - 6 else np.ones(len(at), bool)
+    at, pairs, slot = at[maybe], pairs[maybe], slot[maybe]
+    order = np.sort(pairs)
+    heads = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(heads, len(order)))
+    often = counts >= min_count
+    some, counts = order[heads[often]], counts[often]
+    if not len(some):
+        return some, counts, at[:0], at[:0]
+    found = np.minimum(np.searchsorted(some, pairs), len(some) - 1) if len(at) < 1 << SLOT_BITS - 6 else by_slot(some, pairs, slot)
+    same = some[found] == pairs
+    return some, counts, at[same], found[same]
+
+
+def by_slot(some: np.ndarray, pairs: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """np.searchsorted through a table by hash; pairs that share a slot are searched."""
+    own = ((some.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    table_ = np.zeros(1 << SLOT_BITS, np.int32)
+    table_[own] = np.arange(len(some))
+    found = table_[slot].astype(np.int64)
+    clash = np.zeros(1 << SLOT_BITS, bool)
+    clash[own[table_[own] != np.arange(len(some))]] = True
+    again = np.flatnonzero(clash[slot])
+    found[again] = np.minimum(np.searchsorted(some, pairs[again]), len(some) - 1)
+    return found
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -210,22 +273,28 @@ def stretch(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: n
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
-def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes shards of all rows in order of id to `out` (Parquet, SHARD_SCHEMA). Null texts count as empty; null ids come first; repeated ids stay, in order of text."""
+def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> None:
+    """Writes shards of all rows in order of id to `out` (Parquet, SHARD_SCHEMA).
+
+    Null texts count as empty; null ids come first; repeated ids stay, in order of their texts' hashes, and may lie in
+    several ranges; a very long text makes a shard of its own. Columns of other names are ignored; an empty table gives no
+    shards.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs_, ids, total, before, first = encoder_for(path), [], [], 0, 0, []
+        from pyspark import TaskContext
+
+        encoder, docs_, ids, total, before, part = encoder_for(path), [], [], 0, 0, TaskContext.get().partitionId()
         base = max(encoder.library.get_vocab_size(), end_id + 1)
 
         def shard() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in ids], np.int64)
-            starts = np.cumsum(lengths) - lengths
-            symbols, at, left, right, sizes = compress(np.concatenate(ids), starts, base)
-            width = 2 if base + len(left) <= 1 << 16 else 4
-            row = [first[0], before, total, np.array([d or 0 for d in docs_], "<i8").tobytes(), np.array([d is None for d in docs_]).tobytes(), at.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), symbols.astype(f"<u{width}").tobytes(), width, left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), sizes.astype("<i8").tobytes(), base]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int32(), *[pa.binary()] * 3, pa.int32()]
-            names = [x.split()[0] for x in SHARD_SCHEMA.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+            symbols, at, left, right, sizes = compress(np.concatenate(ids), np.cumsum(lengths) - lengths, base)
+            width, known = 2 if base + len(left) <= 1 << 16 else 4, [d for d in docs_ if d is not None]
+            row = [part, before, total, min(known, default=None), max(known, default=None), np.array([d or 0 for d in docs_], "<i8").tobytes(), np.array([d is None for d in docs_]).tobytes(), at.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), symbols.astype(f"<u{width}").tobytes(), width, left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), sizes.astype("<i8").tobytes(), base]
+            kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+            names, types = zip(*(x.split() for x in SHARD_SCHEMA.split(", ")), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([v], kinds[t]) for v, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -234,7 +303,6 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = END_ID
                     if total and total + len(got) + 1 > shard_ids:
                         yield shard()
                         docs_, ids, total, before = [], [], 0, before + total
-                    first = first or [key]
                     docs_.append(key)
                     ids.append(np.append(got, np.uint32(end_id)))
                     total += len(got) + 1
@@ -242,9 +310,12 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = END_ID
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    map_batches(ordered, run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(out)
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // part_bytes))
+    # rows of one id lie in the order of a hash and, if they are the same, in any
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("nth")]
+    keyed = rows.select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("nth"))
+    map_batches(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text"), run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(out)
 
 
 def token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -262,22 +333,38 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 lengths = np.frombuffer(row["doc_lengths"], "<i8")
                 ends = np.cumsum(lengths)
                 if len(ids) != ends[-1] or ends[-1] != row["n_ids"]:
-                    raise ValueError(f"damaged shard after {row['ids_before']} ids of the range from {row['part_first']}")
+                    raise ValueError(f"damaged shard after {row['ids_before']} ids of range {row['part']}")
                 keys, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_nulls"], "?")
                 own = [ids[e - n : e] for e, n in zip(ends, lengths, strict=True)]
-                columns = [pa.array(keys, mask=nulls), pa.array([row["part_first"]] * len(keys), pa.int64()), pa.array(row["ids_before"] + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array([x.tobytes() for x in own], pa.binary())] if with_ids else []), names=["doc_id", "part_first", "own_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                columns = [pa.array(keys, mask=nulls), pa.array([row["part"]] * len(keys), pa.int32()), pa.array(row["ids_before"] + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([x.tobytes() for x in own], pa.binary())] if with_ids else []), names=["doc_id", "part", "own_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     files = token_files(spark, path)
-    docs = map_batches(files, run, "doc_id long, part_first long, own_start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
-    # one row for each range of the writer's exchange, whose number is the session's spark.sql.shuffle.partitions
-    parts = files.groupBy("part_first").agg(F.max(F.col("ids_before") + F.col("n_ids")).alias("n"))
-    before = Window.orderBy(F.col("part_first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("part_first").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    joined = docs.join(F.broadcast(parts), F.col("part_first").eqNullSafe(F.col("p")))
+    docs = map_batches(files, run, "doc_id long, part int, own_start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    # one row for each range of the writer's exchange
+    parts = files.groupBy("part").agg(F.max(F.col("ids_before") + F.col("n_ids")).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    joined = docs.join(F.broadcast(parts), F.col("part") == F.col("p"))
     return joined.select("doc_id", (F.col("before") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def read_stretch(spark: SparkSession, path: str, doc_id: int, start: int, n: int) -> DataFrame:
+    """(doc_id, ids) of up to n ids from `start` on of each document with that id: only its shards are read, and only the symbols that hold the stretch are expanded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_nulls"], "?")
+                symbols, at = np.frombuffer(row["symbols"], f"<u{row['width']}"), np.append(np.frombuffer(row["doc_symbols"], "<i8"), len(row["symbols"]) // row["width"])
+                left, right = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("left", "right"))
+                own = [stretch(symbols[at[i] : at[i + 1]], left, right, np.frombuffer(row["lengths"], "<i8"), row["base"], start, n) for i in np.flatnonzero((keys == doc_id) & ~nulls)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(own), pa.int64()), pa.array([x.tolist() for x in own], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    held = token_files(spark, path).where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    return map_batches(held, run, "doc_id long, ids array<long>")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token_files")
     write_token_files(table(spark, sf_dir, "documents"), out, model_path(MODEL))

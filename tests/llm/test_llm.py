@@ -220,6 +220,38 @@ def test_token_files(spark, docs, rows, tmp_path):
         ids = np.array([*encode(t), 0], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (i, start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
         start += len(ids)
+    some = next(r for r in got if r.n_tokens > 100 and sum(x.doc_id == r.doc_id for x in got) == 1)
+    assert [r.ids for r in token_files.read_stretch(spark, out, some.doc_id, 20, 30).collect()] == [np.frombuffer(some.ids, "<u4")[20:50].tolist()]
+    empty = str(tmp_path / "empty")
+    token_files.write_token_files(docs.limit(0), empty, path)
+    assert token_files.read_token_files(spark, empty).count() == 0
+
+
+def test_token_files_of_repeated_ids_and_a_long_text(spark, tmp_path):
+    """Rows that share an id, or have none, spread over ranges; a text of 2 MB is a shard of its own."""
+    from tokenizers import Tokenizer
+
+    path = token_counts.model_path(token_files.MODEL)
+    library, out = Tokenizer.from_file(path), str(tmp_path / "tokens")
+    rows = [(7, f"text {i % 3}", None) for i in range(300)] + [(None, f"none {i}", None) for i in range(100)] + [(9, "long words " * 200_000, None)]
+    token_files.write_token_files(frame(spark, rows), out, path, shard_ids=300, part_bytes=1 << 18)
+    got = token_files.read_token_files(spark, out).orderBy("start").collect()
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))] and [r.doc_id for r in got] == [None] * 100 + [7] * 300 + [9]
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert Counter(r.ids_crc32 for r in got) == Counter(crc(t) for _, t, _ in rows)
+    assert len({r.part for r in token_files.token_files(spark, out).collect()}) > 2
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    for ids in (np.full(100_000, 5), rng.integers(0, 3, 5000), np.tile(rng.integers(0, 9, 40), 300), np.zeros(0, int), np.array([1])):
+        symbols, at, left, right, sizes = token_files.compress(ids.astype("<u4"), np.zeros(1, np.int64), 10)
+        assert (token_files.expand(symbols, left, right, 10) == ids).all()
+        assert max(Counter(zip(symbols[::2].tolist(), symbols[1::2].tolist(), strict=False)).values(), default=0) < token_files.MIN_COUNT
+        pairs = Counter(zip(symbols.tolist(), symbols[1:].tolist(), strict=False))
+        assert all(n < token_files.MIN_COUNT for (a, b), n in pairs.items() if a != b)
+    symbols, _, left, *_ = token_files.compress(np.full(100_000, 5, "<u4"), np.zeros(1, np.int64), 10)
+    assert len(symbols) + 2 * len(left) < 60
 
 
 def test_repair_round_trip_and_random_access():
