@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir or, where that is unset and there is one machine (tests), a temporary one."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own.setdefault("dir", tempfile.mkdtemp(prefix="framespark-"))
 
 
@@ -34,16 +36,25 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._own_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes what materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {re.sub(r"/part-[^/]*$", "", f) for f in df.inputFiles()}:
-        if "/framespark/" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    """Deletes what materialize() wrote, once nothing reads it any more. df must be what it returned; anything else is left alone."""
+    if path := df.__dict__.pop("_own_path", None):
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int, rows: int, seed: int = 7) -> DataFrame:

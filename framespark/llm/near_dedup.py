@@ -154,6 +154,15 @@ def candidates(classes: DataFrame, side: int = SIDE, percent: int = PERCENT, par
     return out
 
 
+def one_of_each(texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """Rows (id, text), of identical ones one: only rows whose id is repeated are shuffled for that."""
+    again = materialize(signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("m")).where("m > 1").select("id"), "minhash_again")
+    if not again.limit(1).count():
+        return texts
+    rows = texts.join(again, "id").groupBy("id", F.md5("text").alias("digest")).agg(F.any_value("text").alias("text"))
+    return texts.join(again, "id", "left_anti").unionByName(rows.select("id", "text"))
+
+
 def texts_near(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose id is in ids, and few others: those that pass a filter of bounded size by chance."""
     blocks = block_count(ids.count(), MAX_BLOCKS)
@@ -261,10 +270,9 @@ def components(links: DataFrame) -> DataFrame:
         least = both.join(known, "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         hooked = labels.join(least, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        new = materialize(hooked.join(jump, "to", "left").select("id", "was", F.least("to", F.coalesce("further", "to")).alias("component")), "labels")
+        new = materialize(hooked.join(jump, "to", "left").select("id", F.least("to", F.coalesce("further", "to")).alias("component"), "was"), "labels")
         discard(labels)
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.select("id", "component")
+        changed, labels = new.where("component <> was").limit(1).count(), new
         if not changed:
             discard(both)
             return labels
@@ -283,7 +291,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     classes = signed.where("doc_id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in names])
     classes = materialize(classes, "minhash_classes")
     pairs = candidates(classes.select("id", "n", *names), side, percent, part)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = one_of_each(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), signed)
     best = materialize(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "minhash_best")
     first = materialize(verify(best, texts, k, percent), "minhash_links")
     # the rest, where it would join what is still apart

@@ -1,8 +1,5 @@
 """Queries of the corpus operators and the SQL that gives the same rows."""
 
-from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
-from corpus_pipeline import run as pipeline
-
 from .decontaminate import op10_decontamination
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import OP2_SQL, op2_mixing
@@ -15,7 +12,5 @@ from .toxicity import op4_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 _OPERATORS = (op1_url_filter, op2_mixing, op3_secret_scan, op4_toxicity, op5_token_counts, op6_token_files, op7_exact_dedup, op8_sharding, op9_near_dedup, op10_decontamination)
-QUERIES = {**{f.__name__: f for f in _OPERATORS}, "pipeline": pipeline}
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_mixing": OP2_SQL, "op7_exact_dedup": OP7_SQL}
-if PIPELINE_SQL:
-    ORACLE_SQL["pipeline"] = PIPELINE_SQL

@@ -84,8 +84,9 @@ def test_bloom_has_no_false_negatives(spark):
 
 # --- mixing ---
 def test_mixing(spark, docs, rows):
-    got = collect(mixing.mix(docs, block_words=32).select("doc_id", "source", "size", "source_size", "target", "taken", "copies"))
-    assert sorted(map(str, got)) == sorted(map(str, collect(mixing.mix(docs.repartition(3), block_words=32).select("doc_id", "source", "size", "source_size", "target", "taken", "copies"))))
+    mixed = lambda d: collect(mixing.mix(d, block_words=32).select("doc_id", "source", "size", "source_size", "target", "taken", F.size("slots").alias("copies")))
+    got = mixed(docs)
+    assert sorted(map(str, got)) == sorted(map(str, mixed(docs.repartition(3))))
     assert len(got) == len(rows)
     sizes = Counter()
     for _, t, s in rows:
@@ -112,6 +113,55 @@ def test_mixing(spark, docs, rows):
         share = Counter(r.source for r in slots if r.slot < n)
         assert all(abs(share[s] / n - target[s] / total) < 0.12 for s in order)
     assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0), keep=True).count() == 0
+
+
+def test_mixing_order_is_the_schedule(spark, docs, rows, monkeypatch):
+    """Slots by brute force from the golden-ratio points; other points give another order and the same words of each source."""
+    got = mixing.mix(docs, block_words=32).collect()
+    whole = {r.source: (int(r.target), r.source_size) for r in got}
+    need = {s: t // n * -(-n // 32) + -(-(t % n) // 32) if n else 0 for s, (t, n) in whole.items()}
+    order = sorted((s for s in need if s is not None and need[s])) + [None] * bool(need.get(None))
+    total, upto, edges = sum(need.values()), 0, []
+    for s in order:
+        edges.append((round(upto / total * mixing.POINTS), round((upto + need[s]) / total * mixing.POINTS), s))
+        upto += need[s]
+    uses, taken, spare = Counter(), {}, []
+    for slot in range(total):
+        point = slot * mixing.GOLDEN % mixing.POINTS
+        source = next(s for lo, hi, s in edges if lo <= point < hi)
+        if uses[source] < need[source]:
+            taken[source, uses[source]] = slot
+            uses[source] += 1
+        else:
+            spare.append(slot)
+    for s in order:
+        for use in range(uses[s], need[s]):
+            taken[s, use] = spare.pop(0)
+    for r in got:
+        per, want = -(-r.source_size // 32) if r.source_size else 0, []
+        for epoch in range(2):
+            block = r.start // 32
+            words = min(32, r.source_size - block * 32, whole[r.source][0] - epoch * r.source_size - block * 32)
+            if r.size and words > r.start % 32:
+                want.append(taken[r.source, epoch * per + block])
+        assert r.slots == sorted(want)
+    kept = mixing.mix(docs, block_words=32, keep=True)
+    assert kept.columns == docs.columns
+    place = sorted((slot, r.at, str(r.doc_id), r.size) for r in got for slot in r.slots)
+    assert [p[2] for p in place] == [str(r.doc_id) for r in kept.collect()]
+    monkeypatch.setattr(mixing, "GOLDEN", 1_000_000_007)
+    other = mixing.mix(docs, block_words=32).collect()
+    sums = lambda rs: {s: sum(r.taken for r in rs if r.source == s) for s in whole}
+    assert sums(other) == sums(got) and sorted(map(str, (r.slots for r in other))) != sorted(map(str, (r.slots for r in got)))
+
+
+def test_mixing_without_ids(spark):
+    """A third of the rows without an id and a third with one id: their buckets are split."""
+    docs = frame(spark, [([None, 5, i][i % 3], f"w{i} a b", "s") for i in range(3000)])
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), F.lit(0).alias("nth"))
+    spans = sorted(r.start for r in mixing.shuffled_spans(sized, 3000, bucket_rows=20).collect())
+    assert spans == list(range(0, 9000, 3))
 
 
 # --- secrets ---
@@ -483,7 +533,41 @@ def test_pipeline(spark, sf_dir):
         if name == "decontamination":
             assert sorted(r[0] for r in b) == sorted(r[0] for r in brute_hits(a, bench) if not r[5])
         if name == "mixing":
-            assert Counter(r[0] for r in b) == Counter({r.doc_id: r.copies for r in mixing.mix(before).collect() if r.copies})
+            assert Counter(r[0] for r in b) == Counter({r.doc_id: len(r.slots) for r in mixing.mix(before).collect() if r.slots})
         before = after
     last = P.STAGES[-1][1](spark, before, sf_dir).collect()
     assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in before.collect())
+
+
+def test_stages_with_odd_tables(spark, sf_dir, rows):
+    """Stages on nulls, repeated rows, an empty table, and columns that have the helpers' names."""
+    import corpus_pipeline as P
+
+    extra = ["gone", "nth", "slot", "at", "copies", "doc_id_", "_gone", "_id", "_nth", "kept", "contaminated", "score"]
+    docs = frame(spark, rows).select("*", *[F.lit(1).alias(c) for c in extra if c not in ("n", "row")])
+    for table in (docs, docs.limit(0)):
+        before = table
+        for name, stage in P.STAGES:
+            out = stage(spark, before, sf_dir)
+            if name != "sharding":
+                assert out.columns == docs.columns
+                before = common.materialize(out, name)
+            else:
+                assert out.count() == before.count()
+
+
+def test_only_own_tables_are_deleted(spark, docs, tmp_path):
+    """An input in a folder of the library's name stays, with a first block of items that has no window."""
+    path = str(tmp_path / "framespark" / "corpus")
+    docs.select("doc_id", "text").write.parquet(path)
+    bench = spark.createDataFrame([("a", "..."), ("b", " ".join(f"w{i}" for i in range(30)))], "item_id string, text string")
+    given = spark.read.parquet(path)
+    assert decontaminate.decontaminate(given, bench).count() == docs.count()
+    common.discard(given)
+    common.discard(given.select("doc_id"))
+    assert spark.read.parquet(path).count() == docs.count()
+    own = common.materialize(given, "own")
+    where = own._own_path
+    common.discard(own)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(where)
