@@ -1,8 +1,9 @@
 """A corpus from raw documents to shards: toxicity, near-duplicates, benchmark passages, source mix, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Rows with null ids or texts go through: such texts are
-empty. Rows that share a doc_id share their fate in the near-duplicate and mixing stages.
+one's docs. All but the last return the columns of documents, whatever further columns there are and whatever their names.
+Rows with null ids or texts go through: such texts are empty. Rows that share a doc_id share their fate in the
+near-duplicate and benchmark stages. Texts of any length are read whole; an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framespark.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from framespark.llm.common import materialize, new_path, table
+from framespark.llm.common import free_name, materialize, new_path, table
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id, null too, isn't in gone (doc_id)."""
+    key = free_name("gone", docs)
+    gone = gone.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,26 +30,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that with the smallest doc_id."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return _without(docs, near_dedup.near_duplicates(docs).where("not kept"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return _without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes its first word: never, once or twice."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """Each row as often as the mix takes its first word (never, once or twice), in the order of the mix's schedule."""
+    return mixing.mix(docs, keep=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each row, for eight shards of near equal bytes; files of rows that move are written."""
+    """Shard and slot of each row, for eight shards of near equal bytes."""
     return sharding.reshard(docs, new_path(spark, "shards"))
 
 
