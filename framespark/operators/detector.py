@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import gather, let_all
@@ -63,24 +63,23 @@ def to_mosaic(panels: DataFrame, geom: DataFrame) -> DataFrame:
     """
     own = panels.select("event", "panel", "h", "w", F.col("pixels").cast("array<double>").alias("px"))
     held = own.groupBy("event").agg(F.map_from_entries(F.collect_list(F.struct("panel", F.struct("h", "w", "px")))).alias("p"))
+    # for each cell the panels whose bounds hold it, with the place in them: a table of the detector's size, found once
     g = geom.agg(F.max("y_max").alias("gh"), F.max("x_max").alias("gw"), F.array_sort(F.collect_list(F.struct("panel", "x_min", "y_min", "x_max", "y_max"))).alias("g"))
-    both = held.crossJoin(F.broadcast(g))  # one row
+    spots = g.select("gw", F.posexplode("g").alias("k", "b")).where("b.y_max > b.y_min and b.x_max > b.x_min")
+    spots = spots.select("gw", "k", "b", F.explode(F.sequence(F.col("b.y_min"), F.col("b.y_max") - 1)).alias("y")).select("gw", "k", "b", "y", F.explode(F.sequence(F.col("b.x_min"), F.col("b.x_max") - 1)).alias("x")).where("y >= 0 and x >= 0")
+    spots = spots.groupBy((F.col("y") * F.col("gw") + F.col("x")).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("k", (F.col("y") - F.col("b.y_min")).alias("ly"), (F.col("x") - F.col("b.x_min")).alias("lx")))).alias("on"))
+    at = spots.agg(F.map_from_entries(F.collect_list(F.struct("cell", "on"))).alias("m"))
+    cells = g.crossJoin(at).select("gh", "gw", F.transform("g", lambda b: b["panel"]).alias("names"), F.transform(F.sequence(F.lit(0), F.col("gh") * F.col("gw") - 1), lambda i: F.try_element_at("m", i)).alias("at"))  # one row each
+    both = held.crossJoin(F.broadcast(cells))  # one row
 
     def canvas(b: Column) -> Column:
-        def one(i: Column) -> Column:
-            y, x = F.floor(i / b["gw"]), i % b["gw"]
+        def over(a: Column, r: Column) -> Column:
+            p = F.get(b["p"], r["k"])
+            return F.when((r["ly"] < p["h"]) & (r["lx"] < p["w"]), F.get(p["px"], (r["ly"] * p["w"] + r["lx"]).cast("int"))).otherwise(a)
 
-            def over(a: Column, r: Column) -> Column:
-                p = F.try_element_at(b["p"], r["panel"])
-                ly, lx = y - r["y_min"], x - r["x_min"]
-                inside = (ly >= 0) & (y < r["y_max"]) & (lx >= 0) & (x < r["x_max"]) & (ly < p["h"]) & (lx < p["w"])
-                return F.when(inside, F.get(p["px"], (ly * p["w"] + lx).cast("int"))).otherwise(a)
+        return F.transform(b["at"], lambda on: F.when(on.isNull(), 0.0).otherwise(F.aggregate(on, F.lit(0.0), over)))
 
-            return F.aggregate(b["g"], F.lit(0.0), over)
-
-        return F.transform(F.sequence(F.lit(0), b["gh"] * b["gw"] - 1), one)
-
-    values = {"p": F.col("p"), "g": F.col("g"), "gw": F.col("gw"), "gh": F.col("gh")}
+    values = {"p": let_all({"p": F.col("p"), "names": F.col("names")}, lambda b: F.transform(b["names"], lambda n: F.try_element_at(b["p"], n))), "at": F.col("at")}
     return both.select("event", F.col("gh").alias("h"), F.col("gw").alias("w"), let_all(values, canvas).alias("pixels"))
 
 
@@ -100,12 +99,43 @@ def peaks_to_mosaic(peaks: DataFrame, geom: DataFrame) -> DataFrame:
     return peaks.join(g, F.col("panel") == F.col("_p"), "left").withColumn("mosaic_y", F.col("y") + F.col("_y")).withColumn("mosaic_x", F.col("x") + F.col("_x")).withColumn("error", error).drop("_p", "_x", "_y")
 
 
+#: Rows on either side of a rank that the quantile sketch may miss it by, as a share of a group's rows.
+SKETCH = 1e-4
+
+
+def exact_percentiles(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+    """(by..., q0, q1, ...): percentiles of each group, linear between neighbours, exact, in bounded memory.
+
+    A quantile sketch brackets each rank; rows below a bracket are counted, the few in it are counted by value, and the
+    next values beyond its ends serve ranks that fall just outside. Null and NaN values: nulls don't count, NaN is the
+    largest. A group without values has nulls.
+    """
+    v = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null")
+    ends = [min(1.0, max(0.0, p + e)) for p in shares for e in (-2 * SKETCH, 2 * SKETCH)]
+    g = v.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, int(1 / SKETCH)).alias("ends"))
+    name = lambda k: [F.col(b).alias(f"_{b}{k}") for b in by]
+    same = lambda k: [F.col(b).eqNullSafe(F.col(f"_{b}{k}")) for b in by]
+    joined = lambda left, right, k: (left.join(right.select(*name(k), *[c for c in right.columns if c not in by]), same(k)) if by else left.crossJoin(right)).drop(*[f"_{b}{k}" for b in by])  # noqa: E731  without groups: one row
+    wide = joined(v, g, 1)
+    beyond = wide.groupBy(*by).agg(*[c for i in range(len(shares)) for c in (F.max(F.when(F.col("v") < F.col("ends")[2 * i], F.col("v"))).alias(f"a{i}"), F.min(F.when(F.col("v") > F.col("ends")[2 * i + 1], F.col("v"))).alias(f"b{i}"))])
+    bounds = joined(g, beyond, 2).select(*by, "n", F.array(*[F.struct(F.coalesce(f"a{i}", F.col("ends")[2 * i]).alias("lo"), F.coalesce(f"b{i}", F.col("ends")[2 * i + 1]).alias("hi"), F.floor(F.lit(p) * (F.col("n") - 1)).alias("rank"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(shares)]).alias("w"))
+    # rows by value inside a bracket, all rows below it as one
+    told = joined(v, bounds, 3).select(*by, "v", F.posexplode("w").alias("i", "w")).where("v <= w.hi")
+    counts = told.groupBy(*by, "i", "w", F.when(F.col("v") >= F.col("w.lo"), F.col("v")).alias("v")).agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()))
+    ranked = counts.withColumn("upto", upto).where("v is not null")
+    held = lambda r: F.min(F.when(F.col("upto") > r, F.struct("upto", "v"))).getField("v")
+    found = ranked.groupBy(*by, "i").agg(held(F.col("w.rank")).alias("x"), held(F.col("w.rank") + 1).alias("y"), F.max(F.col("w.at") - F.col("w.rank")).alias("f"))
+    found = found.select(*by, "i", F.when(F.col("f") == 0, F.col("x")).otherwise((1 - F.col("f")) * F.col("x") + F.col("f") * F.col("y")).alias("q"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(shares))])
+
+
 def zero_outliers(df: DataFrame, value: str, by: list[str], percentile: float = 5.0) -> DataFrame:
     """D9. Adds kept: the value, or 0 outside the fence of 1.5 spreads beyond the p-th and (100 - p)-th percentiles of its group. The percentiles are exact."""
     p = percentile / 100
-    q = df.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.percentile(value, p).alias("_q1"), F.percentile(value, 1 - p).alias("_q3"))
+    q = exact_percentiles(df, value, by, [p, 1 - p]).select(*[F.col(b).alias(f"_{b}") for b in by], F.col("q0").alias("_q1"), F.col("q1").alias("_q3"))
     on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
     spread = 1.5 * (F.col("_q3") - F.col("_q1"))
     inside = (F.col(value) >= F.col("_q1") - spread) & (F.col(value) <= F.col("_q3") + spread)
-    joined = df.join(q, on) if by else df.crossJoin(q)  # one row
+    joined = df.join(q, on, "left") if by else df.crossJoin(q)  # one row
     return joined.withColumn("kept", F.when(inside, F.col(value)).otherwise(0.0)).drop("_q1", "_q3", *[f"_{b}" for b in by])

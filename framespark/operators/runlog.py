@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let_all
+from ..sources.io import RECORD_HEADER as HEADER
 from .shards import due
 
-HEADER = r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2} (?:\[RANK \d+\] )?[A-Z]+ [^\n]*"
 FIELDS = r"^(\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}) (?:\[RANK (\d+)\] )?([A-Z]+) ([^\n]*)\n([\s\S]*)$"
 
 
@@ -26,9 +27,11 @@ def parse_kv(records: DataFrame, message: str = "message") -> DataFrame:
     """R2. Adds logevent, the text before the first k=v pair in brackets if any, and kv, the map of the pairs."""
     body = F.regexp_replace(message, r"^\[([^\]]*)\] ?", "")
     pairs = F.filter(F.split(body, r" \| "), lambda p: p.contains("="))
-    entries = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("v")))
+    keys = F.transform(pairs, lambda p: F.trim(F.substring_index(p, "=", 1)))
+    values = F.transform(pairs, lambda p: F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))))
     # of a repeated key the last value holds
-    kv = F.aggregate(entries, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["k"]), F.map_from_arrays(F.array(e["k"]), F.array(e["v"]))))
+    last = let_all({"k": keys, "v": values}, lambda b: F.map_from_entries(F.filter(F.arrays_zip(b["k"], b["v"]), lambda e, i: ~F.array_contains(F.slice(b["k"], i + 2, F.size(b["k"])), e["k"]))))
+    kv = F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(last)
     event = F.regexp_extract(message, r"^\[([^\]]*)\]", 1)
     return records.withColumn("logevent", F.when(event != "", event)).withColumn("kv", kv)
 
@@ -107,7 +110,7 @@ def unpacked_time(packed: Column) -> Column:
 def expected_rate(iteration: Column, base: float, warmup: int, total: int, floor: float = 0.0) -> Column:
     """R9. Learning rate of an iteration: linear up to warmup, then a cosine from the base to the floor, then the floor."""
     cosine = floor + (base - floor) * 0.5 * (1 + F.cos(math.pi * (iteration - warmup) / max(total - warmup, 1)))
-    return F.when(iteration < warmup, base * iteration / max(warmup, 1)).when(iteration > total, floor).otherwise(cosine)
+    return F.when(iteration < warmup, base * iteration / max(warmup, 1)).when(iteration >= total, floor).otherwise(cosine)
 
 
 def lr_audit(curve: DataFrame, base: float, warmup: int, total: int, floor: float = 0.0, tolerance: float = 1e-9) -> DataFrame:

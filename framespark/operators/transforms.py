@@ -116,32 +116,38 @@ def random_patch(df: DataFrame, n: int, ph: int, pw: int, var_h: float = 0.0, va
 
 
 def rotate(df: DataFrame, angle: Column) -> DataFrame:
-    """T5. Turns frames about their centre by an angle in degrees: bilinear, zeros outside, float32 output.
+    """T5. Turns frames about their centre by an angle in degrees: bilinear, zeros outside.
 
     Output pixel (y, x) takes the input at its place turned back, about ((h - 1) / 2, (w - 1) / 2).
     """
-    @F.pandas_udf("array<float>")
-    def turned(px: pd.Series, c: pd.Series, h: pd.Series, w: pd.Series, a: pd.Series) -> pd.Series:
-        out = []
-        for v, cc, hh, ww, deg in zip(px, c, h, w, a, strict=True):
-            if v is None:
-                out.append(None)
-                continue
-            img = np.pad(np.asarray(v, np.float64).reshape(cc, hh, ww), ((0, 0), (1, 1), (1, 1)))
-            y, x = np.mgrid[0:hh, 0:ww].astype(float)
-            y, x, t = y - (hh - 1) / 2, x - (ww - 1) / 2, math.radians(deg)
-            sy = np.round(y * math.cos(t) + x * math.sin(t) + (hh - 1) / 2, 9)
-            sx = np.round(x * math.cos(t) - y * math.sin(t) + (ww - 1) / 2, 9)
-            y0, x0 = np.floor(sy), np.floor(sx)
-            value = np.zeros((cc, hh, ww))
-            for dy in (0, 1):
-                for dx in (0, 1):
-                    weight = (1 - abs(sy - y0 - dy)) * (1 - abs(sx - x0 - dx))
-                    value += weight * img[:, np.clip(y0 + dy + 1, 0, hh + 1).astype(int), np.clip(x0 + dx + 1, 0, ww + 1).astype(int)]
-            out.append(value.astype(np.float32).ravel())
-        return pd.Series(out)
-
-    return df.select(*[turned(x, "c", "h", "w", angle).alias(x) if x in ("pixels", "label") else F.col(x) for x in df.columns])
+    near = lambda v: F.rint(v * 1e9) / 1e9  # noqa: E731  right angles land on pixels
+
+    def turned(c: str) -> Column:
+        values = {"px": F.col(c).cast("array<double>"), "h": F.col("h"), "w": F.col("w"), "n": F.col("c") * F.col("h") * F.col("w"), "my": (F.col("h") - 1) / 2, "mx": (F.col("w") - 1) / 2, "cos": F.cos(F.radians(angle)), "sin": F.sin(F.radians(angle))}
+
+        def build(b: Column) -> Column:
+            plane = b["h"] * b["w"]
+
+            def one(i: Column) -> Column:
+                y, x = F.floor(i % plane / b["w"]) - b["my"], i % b["w"] - b["mx"]
+                back = {"y": near(y * b["cos"] + x * b["sin"] + b["my"]), "x": near(x * b["cos"] - y * b["sin"] + b["mx"])}
+
+                def value(s: Column) -> Column:
+                    y0, x0 = F.floor(s["y"]), F.floor(s["x"])
+                    out = F.lit(0.0)
+                    for yy, wy in ((y0, 1 - (s["y"] - y0)), (y0 + 1, s["y"] - y0)):
+                        for xx, wx in ((x0, 1 - (s["x"] - x0)), (x0 + 1, s["x"] - x0)):
+                            inside = (yy >= 0) & (yy < b["h"]) & (xx >= 0) & (xx < b["w"])
+                            out = out + F.when(inside, wy * wx * F.get(b["px"], (F.floor(i / plane) * plane + yy * b["w"] + xx).cast("int"))).otherwise(0.0)
+                    return out
+
+                return let_all(back, value)
+
+            return F.when(b["n"] > 0, F.transform(F.sequence(F.lit(0), b["n"] - 1), one)).otherwise(F.array().cast("array<double>"))
+
+        return F.when(F.col(c).isNotNull(), let_all(values, build))
+
+    return df.select(*[turned(x).alias(x) if x in ("pixels", "label") else F.col(x) for x in df.columns])
 
 
 def random_rotate(df: DataFrame, angle_max: float = 360.0, seed: int = 0, key: str = "frame_id") -> DataFrame:

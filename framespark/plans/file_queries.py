@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import shards as B
@@ -9,7 +13,7 @@ from ..operators import transforms as T
 from ..operators.runlog import parse_records
 from ..sources import io as S
 from ..streaming import streams as W
-from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, scratch, table, total
+from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, rounded, scratch, table, total
 from .queries import EV, _batches, _logs, query
 
 
@@ -23,11 +27,77 @@ def s1(s, d):
     return S.read_manifest(s, path)
 
 
-@query("s4_read_frames", FR + "SELECT file_id, count(*) AS frames, max(item_idx) AS last_item FROM f WHERE file_id >= 3 GROUP BY file_id")
+@query("s4_read_frames", digest_sql("list_concat(px, lab)", "(SELECT file_id, item_idx, frame_id, px, lab FROM f)", "file_id, item_idx, frame_id"))
 def s4(s, d):
+    """Every frame as it was written, pixels and labels."""
     path = scratch(s, "frames")
     frames(s, d).write.parquet(path)
-    return S.read_frames(s, path).where("file_id >= 3").groupBy("file_id").agg(F.count("*").alias("frames"), F.max("item_idx").alias("last_item"))
+    both = S.read_frames(s, path).withColumn("both", F.concat("pixels", "label"))
+    return digest(both, "both", "file_id", "item_idx", "frame_id")
+
+
+@query("s3_discover_files", "SELECT 's=' || user_id % 7 || '.zarr' AS store, (count(*) + 999) // 1000 AS files, true AS filled FROM events GROUP BY user_id % 7")
+def s3(s, d):
+    """Stores of several files, one of another suffix beside them."""
+    path = scratch(s, "stores")
+    e = table(s, d, "events").select("event_id", F.concat(F.col("user_id") % 7, F.lit(".zarr")).alias("s"))
+    e.unionByName(s.range(5).select(F.col("id").alias("event_id"), F.lit("odd.csv").alias("s"))).repartition("s").write.option("maxRecordsPerFile", 1000).partitionBy("s").parquet(path)
+    found = S.discover_files(s, path)
+    return found.select(F.regexp_extract("store", "([^/]+)$", 1).alias("store"), "files", ((F.col("bytes") > 0) & F.col("modified").isNotNull()).alias("filled"))
+
+
+def _write_stores(s, d, path: str, names: tuple[str, str], tile: tuple[int, ...], label_planes: int) -> None:
+    """Frames as zarr stores, one a file, in chunks of 16 frames cut into tiles; labels stacked `label_planes` times, in zlib."""
+    planes = {names[0]: 1, names[1]: label_planes}
+    shape = lambda name, n: [n, *([planes[name]] if len(tile) == 3 else []), 8, 8]
+
+    def put(name: str, data: bytes) -> None:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name)
+        system.create_dir(at.rsplit("/", 1)[0])
+        with system.open_output_stream(at) as out:
+            out.write(data)
+
+    def store(pdf):
+        block = f"{path}/f{pdf['file_id'][0]}.zarr"
+        pdf = pdf.sort_values("item_idx")
+        for name, column in zip(names, ("pixels", "label"), strict=True):
+            n = shape(name, len(pdf))
+            values = np.stack(pdf[column].map(lambda v: np.asarray(v, "<f4").reshape(n[1:])))
+            chunks = [16, *tile]
+            meta = {"zarr_format": 2, "shape": n, "chunks": chunks, "dtype": "<f4", "order": "C", "fill_value": 0, "filters": None, "compressor": {"id": "zlib", "level": 1} if name == names[1] else None}
+            put(f"{block}/{name}/.zarray", json.dumps(meta).encode())
+            for at in np.ndindex(*[-(-a // b) for a, b in zip(n, chunks, strict=True)]):
+                part, full = values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks, strict=True))], np.zeros(chunks, "<f4")
+                full[tuple(slice(k) for k in part.shape)] = part
+                if full.any():  # what is all fill value is left out
+                    put(f"{block}/{name}/{'.'.join(map(str, at))}", zlib.compress(full.tobytes()) if meta["compressor"] else full.tobytes())
+        return pdf[["file_id"]].head(1)
+
+    f = frames(s, d).withColumn("label", F.flatten(F.array_repeat("label", label_planes)))
+    f.groupBy("file_id").applyInPandas(store, "file_id int").count()
+
+
+_INGESTED = "file_id, item_idx, c, label_c, h, w, error"
+
+
+@query("s5_ingest_containers", digest_sql("list_concat(px, lab)", "(SELECT file_id, item_idx, 1 AS c, 1 AS label_c, 8 AS h, 8 AS w, NULL::VARCHAR AS error, px, lab FROM f)", _INGESTED))
+def s5(s, d):
+    """Stores whose chunks split frames into tiles of 5 x 3."""
+    path = scratch(s, "containers")
+    _write_stores(s, d, path, ("images", "labels"), (5, 3), 1)
+    got = S.ingest_containers(s, path).withColumn("file_id", F.regexp_extract("store", r"f(\d+)\.zarr$", 1).cast("int"))
+    return digest(got.withColumn("both", F.concat("pixels", "label")), "both", *_INGESTED.split(", "))
+
+
+@query("s6_ingest_distill", digest_sql("list_concat(list_transform(range(16), lambda i: (lab[(i // 4) * 16 + (i % 4) * 2 + 1] + lab[(i // 4) * 16 + (i % 4) * 2 + 2] + lab[(i // 4) * 16 + (i % 4) * 2 + 9] + lab[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4), list_transform(range(16), lambda i: (lab[(i // 4) * 16 + (i % 4) * 2 + 1] + lab[(i // 4) * 16 + (i % 4) * 2 + 2] + lab[(i // 4) * 16 + (i % 4) * 2 + 9] + lab[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4))", "f", "file_id, item_idx"))
+def s6(s, d):
+    """Containers whose targets have two channels, each of which a transform acts on."""
+    path = scratch(s, "containers")
+    _write_stores(s, d, path, ("inputs", "features"), (1, 8, 4), 2)
+    got = S.ingest_containers(s, path, "inputs", "features").withColumn("file_id", F.regexp_extract("store", r"f(\d+)\.zarr$", 1).cast("int"))
+    return digest(S.on_label_channels(got, T.downscale_mean), "label", "file_id", "item_idx")
 
 
 @query("s8_write_split", "WITH r AS (SELECT 's' || s_suppkey AS path, row_number() OVER (ORDER BY md5('42:' || 's' || s_suppkey), 's' || s_suppkey) AS r, count(*) OVER () AS n FROM supplier) SELECT path, CASE WHEN r <= floor(n * 0.8 + 1e-9) THEN 'train' ELSE 'eval' END AS split FROM r")
@@ -46,13 +116,14 @@ def s9(s, d):
     return S.load_index(s, manifest(s, d), folder).select("file_id", "n", "start")
 
 
-@query("s11_write_predictions", EV + " SELECT rank AS step, batch_id % 2 AS half, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY ALL")
+@query("s11_write_predictions", EV + " SELECT rank AS step, batch_id % 2 AS half, CAST(sum(n) AS BIGINT) AS n, count(*) AS batches, CAST(sum(isnan(loss)::INT) AS BIGINT) AS missing, round(sum(CASE WHEN NOT isnan(loss) THEN loss * (batch_id % 97 + 1) END), 4) AS losses FROM b GROUP BY ALL")
 def s11(s, d):
     path = scratch(s, "predictions")
     half = F.when(F.col("batch_id") % 2 == 0, "train").otherwise("validation")
-    S.write_predictions(_batches(s, d).select(F.col("rank").alias("step"), half.alias("eval_type"), "n", "loss"), path)
-    got = s.read.parquet(path).groupBy("step", "eval_type").agg(F.sum("n").alias("n"))
-    return got.select("step", F.when(F.col("eval_type") == "train", 0).otherwise(1).cast("long").alias("half"), "n")
+    S.write_predictions(_batches(s, d).select(F.col("rank").alias("step"), half.alias("eval_type"), "batch_id", "n", "loss"), path)
+    weighted = F.when(~F.isnan("loss"), F.col("loss") * (F.col("batch_id") % 97 + 1))
+    got = s.read.parquet(path).groupBy("step", "eval_type").agg(F.sum("n").alias("n"), F.count("*").alias("batches"), F.count_if(F.isnan("loss")).alias("missing"), rounded(F.sum(weighted), 4).alias("losses"))
+    return got.select("step", F.when(F.col("eval_type") == "train", 0).otherwise(1).cast("long").alias("half"), "n", "batches", "missing", "losses")
 
 
 @query("s12_read_run_log", "SELECT '2024_0101_00' || lpad((user_id % 60)::VARCHAR, 2, '0') AS run_id, count(*) AS records FROM events GROUP BY 1")
@@ -84,13 +155,36 @@ def w2(s, d):
     return s.table(name)
 
 
-@query("w4_stream_epochs", FR + "SELECT frame_id, true AS placed FROM f")
+@query("w3_stream_best_loss", "WITH e AS (SELECT 'r' || user_id % 9 AS run_id, event_id AS step, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS loss FROM events), b AS (SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e) SELECT run_id, step, loss FROM b WHERE loss < coalesce(best, 'inf'::DOUBLE)")
+def w3(s, d):
+    """Improvements of each run; the second half of the evaluations comes after a restart, which goes on with the state."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(provider)
+    s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out, state = scratch(s, "stream_in"), scratch(s, "stream_out"), scratch(s, "stream_state")
+    loss = F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value"))
+    e = table(s, d, "events").select(F.concat(F.lit("r"), F.col("user_id") % 9).alias("run_id"), F.col("event_id").alias("step"), loss.alias("loss"))
+    half = e.agg(F.expr("max(step) div 2")).first()[0]
+    for part in (e.where(F.col("step") <= half), e.where(F.col("step") > half)):
+        part.repartition(3).write.mode("append").parquet(source)
+        stream = s.readStream.schema("run_id string, step long, loss double").parquet(source)
+        W.stream_best_loss(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    s.conf.set(provider, before)
+    return s.read.parquet(out)
+
+
+def _epoch_sql(epoch: int, n: str = "(SELECT count(*) FROM embeddings)") -> str:
+    order = f"md5('{SEED + epoch}:' || id), id" if epoch else "id"
+    return f"SELECT id AS frame_id, {epoch} AS epoch, rank, row_number() OVER (PARTITION BY rank ORDER BY pos) - 1 AS local_pos FROM (SELECT id, row_number() OVER (ORDER BY {order}) AS pos, CAST(ntile(4) OVER (ORDER BY {order}) - 1 AS INT) AS rank FROM (SELECT unnest(range({n})) AS id)) QUALIFY true"
+
+
+@query("w4_stream_epochs", " UNION ALL ".join(f"SELECT * FROM ({_epoch_sql(e)}) WHERE frame_id % 3 = {e}" for e in range(3)).replace(" QUALIFY true", ""))
 def w4(s, d):
-    """Every frame is placed once; the first micro-batch in order, later ones in shuffled epochs."""
-    source, out = scratch(s, "stream_in"), scratch(s, "stream_out")
+    """A third of the frames in each of three micro-batches: the first epoch in order, the others shuffled."""
+    source, out, state = scratch(s, "stream_in"), scratch(s, "stream_out"), scratch(s, "stream_state")
     n = total(s, d)
-    s.range(n).withColumnRenamed("id", "frame_id").repartition(3).write.parquet(source)
-    stream = s.readStream.schema("frame_id long").option("maxFilesPerTrigger", 1).parquet(source)
-    W.stream_epochs(stream, n, 4, 1, lambda df, b: df.withColumn("batch", F.lit(b)).write.mode("append").parquet(out), SEED, scratch(s, "stream_state")).awaitTermination()
-    placed = F.col("rank").between(0, 3) & (F.col("local_pos") >= 0) & (F.col("epoch") == F.col("batch"))
-    return s.read.parquet(out).select("frame_id", placed.alias("placed"))
+    for k in range(3):
+        s.range(n).where(F.col("id") % 3 == k).withColumnRenamed("id", "frame_id").write.mode("append").parquet(source)
+        stream = s.readStream.schema("frame_id long").parquet(source)
+        W.stream_epochs(stream, n, 4, 1, lambda df, b: df.write.mode("append").parquet(out), SEED, state).awaitTermination()
+    return s.read.parquet(out).select("frame_id", "epoch", "rank", "local_pos")

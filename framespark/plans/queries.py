@@ -18,7 +18,7 @@ from ..operators import shards as B
 from ..operators import targets as L
 from ..operators import transforms as T
 from ..sources import io as S
-from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, rounded, table, total, u_sql
+from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, rounded, scratch, table, total, u_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,9 +42,12 @@ def _stats_manifest(s, d):
     return g.select(F.regexp_replace("source", "src", "").cast("int").alias("file_id"), F.col("source").alias("path"), "mean", "std")
 
 
-@query("s2_manifest_with_stats", "SELECT CAST(replace(source, 'src', '') AS INT) AS file_id, source AS path, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std FROM documents GROUP BY source")
+@query("s2_manifest_with_stats", "SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INT) AS file_id, source AS path, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std FROM documents GROUP BY source")
 def s2(s, d):
-    return _stats_manifest(s, d).select("file_id", "path", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"))
+    """A list of files with two numbers each, written and read back."""
+    path = scratch(s, "manifest")
+    _stats_manifest(s, d).coalesce(1).sortWithinPartitions("path").select("path", "mean", "std").write.csv(path)
+    return S.read_manifest(s, path, with_stats=True).select("file_id", "path", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"))
 
 
 @query("s6_distill_channels", digest_sql("list_concat(list_transform(range(16), lambda i: px[(i // 4) * 2 * 8 + (i % 4) * 2 + 1] * 0 + (px[(i // 4) * 16 + (i % 4) * 2 + 1] + px[(i // 4) * 16 + (i % 4) * 2 + 2] + px[(i // 4) * 16 + (i % 4) * 2 + 9] + px[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4), list_transform(range(16), lambda i: (lab[(i // 4) * 16 + (i % 4) * 2 + 1] + lab[(i // 4) * 16 + (i % 4) * 2 + 2] + lab[(i // 4) * 16 + (i % 4) * 2 + 9] + lab[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4))"))
@@ -327,7 +330,14 @@ def t5(s, d):
     return digest(T.rotate(frames(s, d), F.lit(90.0)))
 
 
-@query("t5_random_rotate")
+_TURNED = f""", a AS (SELECT frame_id, px, radians({u_sql(SEED, "frame_id", "'angle'")} * 360.0) AS t FROM f), k AS (SELECT frame_id, px, i, cos(t) AS ct, sin(t) AS st, i // 8 - 3.5::DOUBLE AS y, i % 8 - 3.5::DOUBLE AS x FROM a, (SELECT unnest(range(64)) AS i)),
+b AS (SELECT frame_id, px, i, round_even((y * ct + x * st + 3.5) * 1e9, 0) / 1e9 AS sy, round_even((x * ct - y * st + 3.5) * 1e9, 0) / 1e9 AS sx FROM k),
+w AS (SELECT *, CAST(floor(sy) AS BIGINT) + dy AS yy, CAST(floor(sx) AS BIGINT) + dx AS xx, abs(1 - dy - (sy - floor(sy))) * abs(1 - dx - (sx - floor(sx))) AS weight FROM b, (SELECT unnest([0, 0, 1, 1]) AS dy, unnest([0, 1, 0, 1]) AS dx)),
+v AS (SELECT frame_id, i, sum(CASE WHEN yy BETWEEN 0 AND 7 AND xx BETWEEN 0 AND 7 THEN weight * px[yy * 8 + xx + 1] ELSE 0 END) AS v FROM w GROUP BY frame_id, i)
+SELECT frame_id, count(*) AS n, round(sum(v * (i + 1)), 6) + 0.0 AS s1, round(sum(v * v), 6) + 0.0 AS s2 FROM v GROUP BY frame_id"""
+
+
+@query("t5_random_rotate", FR + _TURNED)
 def t5b(s, d):
     return digest(T.random_rotate(frames(s, d), 360.0, SEED))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import struct
 import zlib
 
@@ -15,6 +16,8 @@ from ..functions.rand import gauss, u
 from ..schema import FRAMES
 
 HEADERS = ("directory_path", "path")
+#: The first line of a log record.
+RECORD_HEADER = r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2} (?:\[RANK \d+\] )?[A-Z]+ [^\n]*"
 
 
 def read_manifest(spark: SparkSession, path: str, with_stats: bool = False) -> DataFrame:
@@ -84,9 +87,9 @@ def decode_chunk(data: bytes, meta: dict) -> np.ndarray:
 
 
 def zarr_layout(text: str) -> dict:
-    """Metadata of a stack of frames (n, h, w) in zarr v2; other layouts are an error."""
+    """Metadata of a stack of frames (n, h, w) or (n, c, h, w) in zarr v2; other layouts are an error."""
     meta = json.loads(text)
-    if meta.get("zarr_format", 2) != 2 or meta.get("filters") or len(meta["shape"]) != 3 or len(meta["chunks"]) != 3:
+    if meta.get("zarr_format", 2) != 2 or meta.get("filters") or len(meta["shape"]) not in (3, 4) or len(meta["chunks"]) != len(meta["shape"]):
         raise ValueError(f"shape {meta['shape']}, filters {meta.get('filters')}, format {meta.get('zarr_format')} can't be read")
     return meta
 
@@ -112,11 +115,11 @@ def array_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_containers(spark: SparkSession, path: str, image: str = "images", label: str = "labels") -> DataFrame:
-    """S5. (store, item_idx, h, w, pixels, label, error): frames of the zarr v2 stores and safetensors files below `path`, one row a frame. A file that can't be read is a row with an error.
+    """S5, S6. (store, item_idx, c, label_c, h, w, pixels, label, error): frames of the zarr v2 stores and safetensors files below `path`, one row a frame. A file that can't be read is a row with an error.
 
-    zarr chunks are tiles of stacks (n, h, w), named with '.' or '/', in stores or groups of them (store is then the group's
+    zarr chunks are tiles of stacks (n, h, w) or (n, c, h, w), named with '.' or '/', in stores or groups of them (store is then the group's
     folder); a chunk that isn't there holds fill_value. Frames of images and labels meet by store and number; array
-    metadata, one row an array, joins to its chunks. A frame with a tile that can't be read has an error, as has the chunk,
+    metadata, one row an array, joins to its chunks. Containers for distillation have a label of several channels, label_c. A frame with a tile that can't be read has an error, as has the chunk,
     under -1 - its number. safetensors files have stacks (image, label) with a frame at each index of the first axis.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -129,7 +132,7 @@ def ingest_containers(spark: SparkSession, path: str, image: str = "images", lab
     odd = named.where((F.col("folder") == "") | (~wanted & F.col("folder").rlike(rf"\.zarr/(.*/)?({image}|{label})/")))
     odd = odd.select(F.regexp_extract("path", r"^(.*?\.zarr)/", 1).alias("store"), F.lit(-1).cast("long").alias("item_idx"), F.concat(F.lit("not a chunk of a zarr v2 array: "), "path").alias("error"))
     chunks = named.where(wanted).join(metas, "folder", "left").select("folder", "chunk", "content", "meta")
-    columns = ["folder", "item_idx", "y", "x", "th", "tw", "tile", "error"]
+    columns = ["folder", "item_idx", "at", "dims", "tile", "error"]
 
     def tiles(it):
         for pdf in it:
@@ -140,20 +143,19 @@ def ingest_containers(spark: SparkSession, path: str, image: str = "images", lab
                     if r.meta is None:
                         raise ValueError("no .zarray")
                     meta = zarr_layout(r.meta)
-                    if len(at) != 3:
+                    shape, size = meta["shape"], meta["chunks"]
+                    if len(at) != len(shape):
                         raise ValueError("not a chunk of a stack")
-                    (n, h, w), size = meta["shape"], meta["chunks"]
-                    start, y, x = (i * s for i, s in zip(at, size, strict=True))
-                    if y >= h or x >= w:
+                    start, *offset = (i * s for i, s in zip(at, size, strict=True))
+                    if any(o >= n for o, n in zip(offset, shape[1:], strict=True)):
                         continue
-                    span = range(start, min(start + size[0], n))
-                    block = decode_chunk(r.content, meta)[:, : h - y, : w - x].astype(np.float32)
-                    rows = ((r.folder, i, y, x, *block.shape[1:], block[i - start].ravel(), None) for i in span)
+                    span = range(start, min(start + size[0], shape[0]))
+                    block = decode_chunk(r.content, meta)[:, *[slice(n - o) for o, n in zip(offset, shape[1:], strict=True)]].astype(np.float32)
+                    rows = ((r.folder, i, offset, list(block.shape[1:]), block[i - start].ravel(), None) for i in span)
                 except Exception as e:  # noqa: BLE001  a bad file must not end the job
                     why = f"chunk {r.chunk}: {e}"
-                    rows = [(r.folder, i, 0, 0, 0, 0, None, why) for i in (-1 - at[0], *span)]
-                for row in rows:
-                    yield pd.DataFrame([row], columns=columns)
+                    rows = [(r.folder, i, [], [], None, why) for i in (-1 - at[0], *span)]
+                yield pd.DataFrame(list(rows), columns=columns)  # of one chunk
 
     def expected(it):
         for pdf in it:
@@ -166,32 +168,38 @@ def ingest_containers(spark: SparkSession, path: str, image: str = "images", lab
 
     def frames(it):
         for pdf in it:
+            out_rows = []
             for r in pdf.itertuples():
                 try:
                     if bad := [t["error"] for t in r.tiles if t["error"]]:
                         raise ValueError("; ".join(sorted(bad)))
                     meta = zarr_layout(r.meta)
-                    _, h, w = meta["shape"]
-                    if len(r.tiles) < -(-h // meta["chunks"][1]) * -(-w // meta["chunks"][2]) and meta.get("fill_value") is None:
+                    *c, h, w = shape = meta["shape"][1:]
+                    if len(r.tiles) < math.prod(-(-n // k) for n, k in zip(shape, meta["chunks"][1:], strict=True)) and meta.get("fill_value") is None:
                         raise ValueError("chunks are absent and there is no fill_value")
-                    out = np.full((h, w), float(meta.get("fill_value") or 0), np.float32)
+                    out = np.full(shape, float(meta.get("fill_value") or 0), np.float32)
                     for t in r.tiles:
-                        out[t["y"] : t["y"] + t["th"], t["x"] : t["x"] + t["tw"]] = np.asarray(t["tile"], np.float32).reshape(t["th"], t["tw"])
-                    row = (r.folder, r.item_idx, h, w, out.ravel(), None)
+                        out[tuple(slice(o, o + n) for o, n in zip(t["at"], t["dims"], strict=True))] = np.asarray(t["tile"], np.float32).reshape(t["dims"])
+                    row = (r.folder, r.item_idx, math.prod(c), h, w, out.ravel(), None)
                 except Exception as e:  # noqa: BLE001
-                    row = (r.folder, r.item_idx, None, None, None, str(e))
-                yield pd.DataFrame([row], columns=["folder", "item_idx", "h", "w", "px", "error"])
-
-    cut = chunks.mapInPandas(tiles, "folder string, item_idx long, y int, x int, th int, tw int, tile array<float>, error string")
-    held = cut.where("item_idx >= 0").groupBy("folder", "item_idx").agg(F.collect_list(F.struct("y", "x", "th", "tw", "tile", "error")).alias("tiles"))
+                    row = (r.folder, r.item_idx, None, None, None, None, str(e))
+                out_rows.append(row)
+                if len(out_rows) == 64:
+                    yield pd.DataFrame(out_rows, columns=["folder", "item_idx", "c", "h", "w", "px", "error"])
+                    out_rows = []
+            if out_rows:
+                yield pd.DataFrame(out_rows, columns=["folder", "item_idx", "c", "h", "w", "px", "error"])
+
+    cut = chunks.mapInPandas(tiles, "folder string, item_idx long, at array<int>, dims array<int>, tile array<float>, error string")
+    held = cut.where("item_idx >= 0").groupBy("folder", "item_idx").agg(F.collect_list(F.struct("at", "dims", "tile", "error")).alias("tiles"))
     arrays = metas.where(wanted)
     sizes = arrays.mapInPandas(expected, "folder string, frames long, error string")
     items = sizes.where("frames > 0").select("folder", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("item_idx")).join(arrays, "folder")
     whole = items.join(held, ["folder", "item_idx"], "left").withColumn("tiles", F.coalesce("tiles", F.array()))
-    cut_frames = whole.mapInPandas(frames, "folder string, item_idx long, h int, w int, px array<float>, error string").withColumns({"store": parts("folder")[0], "array": parts("folder")[1]})
-    side = lambda name, to: cut_frames.where(F.col("array") == name).select("store", "item_idx", F.col("h").alias(f"h_{to}"), F.col("w").alias(f"w_{to}"), F.col("px").alias(to), F.col("error").alias(f"e_{to}"))
+    cut_frames = whole.mapInPandas(frames, "folder string, item_idx long, c int, h int, w int, px array<float>, error string").withColumns({"store": parts("folder")[0], "array": parts("folder")[1]})
+    side = lambda name, to: cut_frames.where(F.col("array") == name).select("store", "item_idx", F.col("c").alias(f"c_{to}"), F.col("h").alias(f"h_{to}"), F.col("w").alias(f"w_{to}"), F.col("px").alias(to), F.col("error").alias(f"e_{to}"))
     both = side(image, "pixels").join(side(label, "label"), ["store", "item_idx"], "full")
-    from_zarr = both.select("store", "item_idx", F.coalesce("h_pixels", "h_label").alias("h"), F.coalesce("w_pixels", "w_label").alias("w"), "pixels", "label", F.coalesce("e_pixels", "e_label").alias("error"))
+    from_zarr = both.select("store", "item_idx", F.col("c_pixels").alias("c"), F.col("c_label").alias("label_c"), F.coalesce("h_pixels", "h_label").alias("h"), F.coalesce("w_pixels", "w_label").alias("w"), "pixels", "label", F.coalesce("e_pixels", "e_label").alias("error"))
     broken = cut.where("item_idx < 0").select(parts("folder")[0].alias("store"), "item_idx", "error")
     broken = broken.unionByName(sizes.where("error is not null").select(parts("folder")[0].alias("store"), F.lit(-1).cast("long").alias("item_idx"), "error")).unionByName(odd)
     from_zarr = from_zarr.unionByName(broken, allowMissingColumns=True)
@@ -208,7 +216,7 @@ def ingest_containers(spark: SparkSession, path: str, image: str = "images", lab
                     yield pd.DataFrame([row], columns=["store", "item_idx", "h", "w", "pixels", "label", "error"])
 
     single = files.where(F.col("path").endswith(".safetensors")).select("path", "content")
-    return from_zarr.unionByName(single.mapInPandas(tensors, "store string, item_idx long, h int, w int, pixels array<float>, label array<float>, error string"))
+    return from_zarr.unionByName(single.mapInPandas(tensors, "store string, item_idx long, h int, w int, pixels array<float>, label array<float>, error string").withColumns({"c": F.when(F.col("error").isNull(), 1), "label_c": F.when(F.col("error").isNull(), 1)}))
 
 
 def synth_frames(ids: DataFrame, c: int, h: int, w: int, seed: int = 0, id_col: str = "frame_id") -> DataFrame:
@@ -253,6 +261,12 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """S12. (run_id, file_rank, value) of rank log files <run_id>/rank<r>.log, each whole; parse_records() cuts them into records."""
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("_f", F.input_file_name())
-    return text.select(F.regexp_extract("_f", r"([^/]+)/[^/]*$", 1).alias("run_id"), F.regexp_extract("_f", r"rank_?(\d+)\.log$", 1).try_cast("int").alias("file_rank"), "value")
+    """S12. (run_id, file_rank, value) of rank log files <run_id>/rank<r>.log: a row for each record, its header line and the lines up to the next one. Lines before the first header are one row.
+
+    Files are read by lines, in splits of any size, so a long log is no row of its own; parse_records() reads the records.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("_at"))
+    in_order = Window.partitionBy("_f").orderBy("_at")
+    head = F.last(F.when(F.col("value").rlike(f"^{RECORD_HEADER}$"), F.col("_at")), ignorenulls=True).over(in_order)
+    records = lines.withColumn("_head", head).groupBy("_f", "_head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda r: r["value"]), "\n").alias("value"))
+    return records.select(F.regexp_extract("_f", r"([^/]+)/[^/]*$", 1).alias("run_id"), F.regexp_extract("_f", r"rank_?(\d+)\.log$", 1).try_cast("int").alias("file_rank"), "value")

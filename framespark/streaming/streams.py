@@ -45,7 +45,7 @@ class BestLoss(StatefulProcessor):
         better = seen[seen["loss"] < before]
         if len(better):
             self.best.update((float(better["loss"].min()),))
-        yield pd.DataFrame({"run_id": [key[0]] * len(better), "step": better["step"].to_numpy(), "loss": better["loss"].to_numpy()})
+        yield pd.DataFrame({"run_id": pd.Series([key[0]] * len(better), dtype=object), "step": better["step"].to_numpy(), "loss": better["loss"].to_numpy()})
 
     def close(self) -> None:
         pass

@@ -244,6 +244,25 @@ def test_outliers(spark):
     assert got.kept == 0.0
 
 
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=30_000), "b": np.full(500, 3.0), "c": rng.exponential(size=7), "d": np.array([1.5]), "e": rng.integers(0, 4, 9000).astype(float)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("f", None), (None, 2.0), (None, 4.0)]
+    shares = [0.0, 0.05, 0.5, 0.95, 0.999, 1.0]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: [r[f"q{i}"] for i in range(len(shares))] for r in D.exact_percentiles(df, "v", ["g"], shares).collect()}
+    assert set(got) == {*"abcde", None} and np.allclose(got[None], np.quantile([2.0, 4.0], shares))
+    assert all(np.allclose(got[g], np.quantile(v, shares), rtol=1e-12, atol=0) for g, v in groups.items())
+    assert D.zero_outliers(df, "v", ["g"]).count() == len(rows)
+
+
+def test_mosaic_of_overlapping_and_absent_panels(spark):
+    geom = spark.createDataFrame([(0, 0, 0, 3, 3), (1, 2, 1, 4, 3), (5, 0, 3, 2, 4)], "panel int, x_min int, y_min int, x_max int, y_max int")
+    panels = spark.createDataFrame([(1, 0, 3, 3, [1.0] * 9), (1, 1, 1, 2, [2.0] * 2), (2, 1, 2, 2, [3.0] * 4)], "event long, panel int, h int, w int, pixels array<double>")
+    got = {r.event: np.reshape(r.pixels, (r.h, r.w)).tolist() for r in D.to_mosaic(panels, geom).collect()}
+    assert got[1] == [[1, 1, 1, 0], [1, 1, 2, 2], [1, 1, 1, 0], [0, 0, 0, 0]] and got[2] == [[0] * 4, [0, 0, 3, 3], [0, 0, 3, 3], [0] * 4]
+
+
 def test_mosaic_round_trip(spark):
     geom = spark.createDataFrame([(0, 0, 0, 3, 2), (1, 4, 1, 7, 3)], "panel int, x_min int, y_min int, x_max int, y_max int")
     panels = spark.createDataFrame([(7, p, 2, 3, [float(p * 10 + i) for i in range(6)]) for p in (0, 1)], "event long, panel int, h int, w int, pixels array<double>")
@@ -338,6 +357,33 @@ def test_run_log(spark, tmp_path):
     assert ev.epoch == 2 and ev.train is None and math.isnan(ev.validation)
 
 
+def test_of_a_repeated_key_the_last_value_holds(spark):
+    df = spark.createDataFrame([("[X] a=1 | b= 2=3 | a=4 | no pair | =5",), ("plain",), (None,)], "message string")
+    rows = R.parse_kv(df).collect()
+    assert rows[0].logevent == "X" and rows[0].kv == {"a": "4", "b": "2=3", "": "5"}
+    assert rows[1].kv == {} and rows[1].logevent is None and not rows[2].kv
+
+
+def test_rate_at_the_end_of_a_warmup_that_is_all(spark):
+    df = spark.range(9, 12).select(R.expected_rate(F.col("id"), 1.0, 10, 10, 0.25).alias("r"))
+    assert [x.r for x in df.collect()] == [0.9, 0.25, 0.25]
+
+
+def test_long_log_is_read_in_splits(spark, tmp_path):
+    folder = tmp_path / "run"
+    folder.mkdir()
+    text = "before\n" + "".join(f"01/02/2024 03:04:{k % 60:02d} INFO train\n[LOSS:TRAIN] iteration={k}\nmore {k}\n" for k in range(500))
+    (folder / "rank0.log").write_text(text)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        log = S.read_run_log(spark, str(tmp_path))
+        assert log.count() == 501 and {len(r.value.split("\n")) for r in log.collect()} == {1, 3}
+        assert sorted(r.message for r in R.parse_records(log).collect()) == sorted(f"[LOSS:TRAIN] iteration={k}\nmore {k}" for k in range(500))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_run_ids_keep_their_seconds(spark):
     df = spark.createDataFrame([("2024_0102_0304_05",), ("2024_0102_0304",), ("x",)], "r string").select(R.run_time(F.col("r")).alias("t"))
     df = df.select("t", R.packed_time(F.col("t")).alias("p")).select("t", "p", R.unpacked_time(F.col("p")).alias("u"))
