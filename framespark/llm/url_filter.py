@@ -1,7 +1,8 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs passes possible hits to an exact hash join.
 
-The scan of the pages stays free of a shuffle for all URLs that the filter rejects. Possible hits are joined by their
-canonical form to the list, salted, so that one URL on a third of all pages is spread over tasks.
+Pages are read once: their canonical forms, the rules' verdicts and what the filter says are written to the shared folder.
+URLs that the filter rejects are never shuffled. Possible hits are joined by their canonical form to the list; rows of a URL
+that many pages have are salted, and only such URLs are repeated in the list.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_count, bloom_block, bloom_hit, bloom_table, table
+from .common import block_count, bloom_block, bloom_hit, bloom_table, materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): the policy of the query; a host rule fits its subdomains, a path rule all paths that start so.
@@ -17,9 +18,10 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 MAX_RULES = 1000
 #: Blocks of the filter that is broadcast: 2**16 of 72 bytes are under 5 MB, however long the list is.
 MAX_BLOCKS = 1 << 16
-SALTS = 16
-#: Hosts whose pages make the list of the query (fixed values).
-LISTED_HOSTS = ("casino-win", "cheap-pills", "spam-farm")
+#: Rows from which a URL is hot, and the parts that its rows are spread over.
+HOT_ROWS, SALTS = 10_000, 16
+#: Pages of fewer bytes of HTML are thin; their URLs make the list of the query.
+THIN_BYTES = 1300
 
 
 def host_of(url: Column) -> Column:
@@ -35,7 +37,7 @@ def canonical(url: Column) -> Column:
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^[^@]*@", ""), r":(80|443)?$", "")
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     kept = F.regexp_replace(F.regexp_replace(query, r"(^|&)(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?(?=&|$)", ""), r"^&", "")
-    whole = F.concat(host, F.regexp_replace(path_of(url), r"/+$", ""), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    whole = F.concat(host, F.regexp_replace(path_of(url), r"(?<!/)/+$", ""), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
     return F.when(F.instr(url, "://") > 0, whole)
 
 
@@ -50,15 +52,15 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_blocks: int = MAX_BLOCKS, salts: int = SALTS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_blocks: int = MAX_BLOCKS, salts: int = SALTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Judges every row of `pages`: (page_id, host, path, canonical, rule, listed, verdict).
 
     listed: DataFrame with the column `canonical`; repeated rows and nulls in it don't matter. Without a fitting rule the
     verdict is block if the page's canonical URL is listed, else allow. A null URL or one without `://` has empty host
-    and path, no canonical form, and is allowed. Repeated pages are judged each; other columns are ignored. An empty list
-    or table gives no blocks or no rows.
+    and path, no canonical form, and is allowed. Repeated pages are judged each; URLs of any length are read whole; other
+    columns are ignored. An empty list or table gives no blocks or no rows.
     """
-    urls = listed.select(F.col("canonical").alias("k")).where("k is not null").distinct()
+    urls = materialize(listed.select(F.col("canonical").alias("k")).where("k is not null").distinct(), "urls_listed")
     blocks = block_count(urls.count(), max_blocks)
     bloom = bloom_table(urls, "k", blocks)
     host, path = host_of(F.col("u")), path_of(F.col("u"))
@@ -66,29 +68,33 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     ruled = page.select("*", *[c.alias(n) for c, n in zip(rule_columns(F.col("host"), F.col("path"), rules), ("rule", "ruled"), strict=True)])
     # max_blocks bounds this broadcast
     probed = ruled.withColumn("block", bloom_block(F.col("canonical"), blocks)).join(F.broadcast(bloom), "block", "left")
-    probed = probed.withColumn("maybe", F.col("canonical").isNotNull() & bloom_hit(F.col("canonical")))
     kept = ["page_id", "host", "path", "canonical", "rule", "ruled"]
-    salted = urls.select("k", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")).withColumn("hit", F.lit(True))
-    # rows that the filter rejects get a key that no listed URL has, in salts of their own, and match nothing
-    possible = probed.where("maybe").select(*kept, F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int").alias("s"))
-    exact = possible.join(salted, (possible["canonical"] == salted["k"]) & (possible["s"] == salted["s"]), "left").select(*kept, F.coalesce("hit", F.lit(False)).alias("listed"))
-    out = exact.unionByName(probed.where("not maybe").select(*kept, F.lit(False).alias("listed")))
+    judged = materialize(probed.select(*kept, (F.col("canonical").isNotNull() & bloom_hit(F.col("canonical"))).alias("maybe")), "urls_judged")
+    possible = judged.where("maybe").select(*kept)
+    often = materialize(possible.groupBy(F.col("canonical").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") >= hot_rows).select("k", F.lit(True).alias("often")), "urls_often")
+    if often.limit(1).count():
+        possible = possible.join(often, possible["canonical"] == often["k"], "left").withColumn("s", F.when(F.col("often"), F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int")).otherwise(0)).drop("k", "often")
+        urls = urls.join(often, "k", "left").select("k", F.explode(F.sequence(F.lit(0), F.when(F.col("often"), salts - 1).otherwise(0))).alias("s"))
+    else:
+        possible, urls = possible.withColumn("s", F.lit(0)), urls.withColumn("s", F.lit(0))
+    exact = possible.join(urls.withColumn("hit", F.lit(True)), (possible["canonical"] == urls["k"]) & (possible["s"] == urls["s"]), "left").select(*kept, F.coalesce("hit", F.lit(False)).alias("listed"))
+    out = exact.unionByName(judged.where("not maybe").select(*kept, F.lit(False).alias("listed")))
     return out.select("page_id", "host", "path", "canonical", "rule", "listed", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-def listed_from_pages(pages: DataFrame, hosts=LISTED_HOSTS, url_col: str = "url") -> DataFrame:
-    """A list from the table itself: the canonical URLs of all pages of hosts with a listed name."""
-    return pages.where(host_of(F.col(url_col)).rlike("(^|\\.)(" + "|".join(hosts) + ")\\.")).select(canonical(F.col(url_col)).alias("canonical")).distinct()
+def listed_thin(pages: DataFrame, least_bytes: int = THIN_BYTES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """A list that URLs don't decide: canonical forms of the pages with little HTML. Another crawl of such a page is listed too."""
+    return pages.where(F.octet_length(html_col) < least_bytes).select(canonical(F.col(url_col)).alias("canonical"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, listed_from_pages(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return filter_urls(pages, listed_thin(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 OP1_SQL = r"""
 WITH p AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, strlen(html) AS bytes, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
          regexp_extract(coalesce(url, ''), '^.*?://[^?#]*\?([^#]*)', 1, 's') AS query, contains(coalesce(url, ''), '://') AS whole
   FROM pages),
@@ -97,7 +103,7 @@ q AS (
 c AS (
   SELECT *, CASE WHEN whole THEN regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)?$', '') || regexp_replace(path, '/+$', '')
          || CASE WHEN k0 = '' THEN '' ELSE '?' || k0 END END AS canonical FROM q),
-l AS (SELECT DISTINCT canonical AS k FROM c WHERE regexp_matches(host, '(^|\.)(casino-win|cheap-pills|spam-farm)\.') AND canonical IS NOT NULL),
+l AS (SELECT DISTINCT canonical AS k FROM c WHERE bytes < 1300 AND canonical IS NOT NULL),
 r AS (
   SELECT c.*, l.k IS NOT NULL AS listed,
     CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'

@@ -70,6 +70,17 @@ def test_url_filter(spark):
     none = spark.createDataFrame([], "canonical string")
     assert {r.listed for r in url_filter.filter_urls(pages, none).collect()} == {False}
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
+    same = lambda df: sorted(map(str, collect(df)))
+    assert same(url_filter.filter_urls(pages, listed, hot_rows=20)) == same(url_filter.filter_urls(pages, listed))
+    assert same(url_filter.filter_urls(pages, listed, max_blocks=1)) == same(url_filter.filter_urls(pages, listed))
+    long = spark.createDataFrame([(1, "http://a.net/" + "/" * 2_000_000 + "x"), (2, "http://a.net" + "/" * 2_000_000)], "page_id long, url string")
+    assert [len(r.canonical) for r in url_filter.filter_urls(long, listed).orderBy("page_id").collect()] == [2_000_007, 5]
+
+
+def test_thin_pages_list_other_crawls(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "short"), (2, "https://A.net/x/?utm_source=y", "long" * 1000), (3, "http://a.net/y", None)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.listed_thin(pages)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
 
 
 def test_bloom_has_no_false_negatives(spark):
