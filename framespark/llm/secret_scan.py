@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-Both models are first-order over the characters of a candidate. They are fitted from counts over all documents: strings
-that the patterns mark are the samples of random strings, other words of the same alphabet the samples of identifiers.
-A candidate whose log-likelihood ratio per character is high enough becomes one more span.
+Both models are first-order over the characters of a candidate. They are fitted from counts over a bounded sample of
+documents: strings that the patterns mark and that hold a digit are the samples of random strings (values without one are
+ordinary words too often), other words of the same alphabet the samples of identifiers. Candidates are runs of the alphabet
+and the parts of runs between separators. One whose log-likelihood ratio per character is high enough for its length becomes
+one more span.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: Maximal runs that are long enough: what is left of `AKIA[A-Z0-9]+` and `[0-9a-f]+` once short matches are dropped.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Candidates of the models: as long as that, with a digit and a letter in them.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Candidates of the models: runs of the alphabet that are as long as the first, and parts between separators as long as the second.
+RUN, PART = 16, 8
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
-#: Log-likelihood ratio per character pair from which a candidate is a secret.
-THRESHOLD = 1.5
+#: Log-likelihood ratio per character from which a candidate of RUN characters is a secret, and what each character fewer adds.
+THRESHOLD, SHORTER = 1.5, 0.2
 #: Documents from which the models are fitted: about so many, all if there are no more.
 TRAIN_DOCS = 20_000
 START = len(ALPHABET)
 CODES = np.full(128, -1, np.int64)
 CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+SEPARATORS = np.array([c in "+/_=-" for c in ALPHABET])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -44,11 +47,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def samples(text: str) -> tuple[list[str], list[str]]:
-    """(random strings, identifiers): the values that the patterns mark, and all other words of 8 characters or more."""
+    """(random strings, identifiers): the values that the patterns mark and that hold a digit, and all other words of 8 characters or more."""
     values = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if ":" in text or "=" in text else []
     values += ACCESS.findall(text) + HEX.findall(text)
     spans = base_spans(text)
-    others = [m[0] for m in WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+    words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
+    apart = ~overlapping(np.array([w[0] for w in words], np.int64), np.array([w[1] for w in words], np.int64), spans)
+    others = [w[2] for w, free in zip(words, apart, strict=True) if free]
     return [v for v in values if any(c.isdigit() for c in v)], others
 
 
@@ -94,15 +99,41 @@ def fit(counts: list[tuple[int, int, int]], smoothing: float = 0.5, backing: flo
     return ratio.ravel()
 
 
+def overlapping(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which of the stretches meet one of the spans, which come in order of start."""
+    if not spans:
+        return np.zeros(len(start), bool)
+    begins = np.array([s[0] for s in spans])
+    furthest = np.maximum.accumulate([s[2] for s in spans])
+    at = np.searchsorted(begins, end) - 1
+    return (at >= 0) & (furthest[np.maximum(at, 0)] > start)
+
+
+def _stretches(inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    step = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    start, end = step[::2], step[1::2]
+    long = end - start >= least
+    return start[long], end[long]
+
+
 def markov_spans(text: str, ratio: np.ndarray, threshold: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        word = m[0]
-        if any(c.isdigit() for c in word) and any(c.isalpha() for c in word) and not any(a < m.end() and m.start() < b for a, _, b in taken):
-            at = pairs(word)
-            if ratio[at].mean() >= threshold:
-                out.append((m.start(), 3, m.end()))
-    return out
+    """Spans of candidates that the models call random, in order: a whole run, or else those of its parts that are."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.where(points < 128, CODES[np.minimum(points, 127)], -1)
+    out, used = [], taken
+    runs = codes >= 0
+    for inside, least in ((runs, RUN), (runs & ~SEPARATORS[codes], PART)):
+        start, end = _stretches(inside, least)
+        if not len(start):
+            continue
+        before = np.where(np.append(False, inside[:-1]), np.append(START, codes[:-1]), START)
+        upto = np.append(0.0, np.cumsum(np.where(inside, ratio[before * (START + 1) + np.maximum(codes, 0)], 0.0)))
+        length = end - start
+        random = (upto[end] - upto[start]) / length >= threshold + SHORTER * np.maximum(RUN - length, 0)
+        random &= ~overlapping(start, end, used)
+        out += [(int(a), 3, int(b)) for a, b in zip(start[random], end[random], strict=True)]
+        used = sorted([*taken, *out])
+    return sorted(out)
 
 
 def scan_secrets(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +141,8 @@ def scan_secrets(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOL
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind. The models only add spans, where no
     pattern's span is. Null texts count as empty: no spans, and the digest of the empty string. Repeated rows are scanned
-    each; other columns are ignored.
+    each; texts of any length are scanned whole, in time in proportion to it; other columns are ignored; an empty table gives
+    an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -205,7 +205,33 @@ def test_secret_scan(spark):
         spans = [x.split(":") for x in got[i].spans.split(",") if x]
         assert {(kinds[k], str(a), str(b)) for a, k, b in base} <= {tuple(x) for x in spans}
         assert [(int(a), kinds.index(k)) for k, a, _ in spans] == sorted((int(a), kinds.index(k)) for k, a, _ in spans)
+        assert [x for x in spans if x[0] == "markov"] == [["markov", str(a), str(b)] for a, b in markov_by_rule(t or "", ratio, base)]
     assert got[len(texts) - 1].n_markov == 1
+    assert secret_scan.scan_secrets(docs.limit(0), secret_scan.train(docs.limit(0))).count() == 0
+
+
+def markov_by_rule(text, ratio, taken):
+    """Runs and parts one by one, scored pair by pair, against every span."""
+    out, place = [], {c: i for i, c in enumerate(secret_scan.ALPHABET)}
+    for pattern, least in (("[A-Za-z0-9+/_=-]+", 16), ("[A-Za-z0-9]+", 8)):
+        found = []
+        for m in re.finditer(pattern, text):
+            codes = [secret_scan.START, *(place[c] for c in m[0])]
+            mean = sum(ratio[a * (secret_scan.START + 1) + b] for a, b in zip(codes, codes[1:], strict=False)) / len(m[0])
+            free = not any(a < m.end() and m.start() < b for a, b in [(s[0], s[2]) for s in taken] + out)
+            if len(m[0]) >= least and free and mean >= 1.5 + 0.2 * max(0, 16 - len(m[0])) - 1e-12:
+                found.append(m.span())
+        out += found
+    return sorted(out)
+
+
+def test_secrets_in_a_long_text():
+    """5 MB with 100,000 spans and as many candidates."""
+    ratio = secret_scan.fit([])
+    text = "token = abcdefgh12 plain words_of-text/here and more0 " * 100_000
+    spans = secret_scan.base_spans(text)
+    assert len(spans) == 100_000 and secret_scan.markov_spans(text, ratio + 5, 1.5, spans)[:2] == [(25, 3, 43), (79, 3, 97)]
+    assert len(secret_scan.samples(text)[0]) == 100_000
 
 
 def test_secret_models_tell_random_from_ordinary():
