@@ -54,14 +54,14 @@ class Hasher:
 
 
 def term_sets(rows: DataFrame) -> DataFrame:
-    """(label, terms) of rows (text, label)."""
+    """(doc_id, label, terms) of rows (text, label, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hasher()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([np.sort(hashed(t)).astype("<u4").tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([np.sort(hashed(t)).astype("<u4").tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["doc_id", "label", "terms"])
 
-    return map_batches(rows, run, "label int, terms binary")
+    return map_batches(rows, run, "doc_id long, label int, terms binary")
 
 
 def select_terms(sets: list[np.ndarray], labels: np.ndarray, most: int = TERMS, least_rows: int = 5, least_chi2: float = 12.0) -> np.ndarray:
@@ -130,13 +130,15 @@ def score_one(at: np.ndarray, model: dict) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold=None) -> dict:
-    """Fits to about `bound` labelled rows, of which `fold` (a condition on doc_id) leaves out the held-out ones. Null labels and ids don't count; of repeated labels of a row the largest holds."""
+    """Fits to about `bound` labelled rows, of which `fold` (a condition on doc_id) leaves out the held-out ones. Null labels and ids don't count; of repeated labels of a row the largest holds, and of rows that share an id one counts. An empty table or no labels give a model of the bias alone."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(fold) if fold is not None else known
     sample = bounded_sample(known, "doc_id", bound, known.count()).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the sample is bounded, so it is broadcast, the texts are not shuffled, and the term sets fit one task
-    sets = term_sets(rows.join(F.broadcast(sample), "doc_id").select("text", "label"))
+    sets = term_sets(rows.join(F.broadcast(sample), "doc_id").select("text", "label", "doc_id"))
+    # rows that share an id count once
+    sets = sets.groupBy("doc_id").agg(F.min(F.struct("label", "terms")).alias("row")).select("row.label", "row.terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((t, y) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))  # the order of tasks must not matter
@@ -151,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, id_col: s
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
     """(doc_id, score, predicted) of every row, or with keep=True all columns of the rows that are not predicted toxic.
 
-    The score lies in 0..1 and depends on the text alone. Null and empty texts get the score of the bias. Repeated rows
-    are scored each. With keep=True columns of any name, score and predicted too, pass through untouched.
+    The score lies in 0..1 and depends on the text alone, which is read whole. Null and empty texts get the score of the
+    bias. Repeated rows are scored each; an empty table gives an empty one. With keep=True columns of any name, score and predicted too, pass through untouched.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

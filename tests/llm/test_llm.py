@@ -269,6 +269,16 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in got.values())
     kept = toxicity.score_toxicity(docs, model, keep=True)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+    # the machine's score, from every pair of terms
+    place = {int(t): i for i, t in enumerate(model["terms"])}
+    for i, text, _ in rows[:40] + rows[-2:]:
+        words_ = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower())}
+        at = sorted({place[t] for w in words_ for t in [zlib.crc32(w.encode()) % toxicity.BUCKETS, *(zlib.crc32(w[:n].encode(), n) % toxicity.BUCKETS for n in (3, 4, 5, 6) if len(w) >= n)] if t in place})
+        z = model["bias"] + sum(model["w"][a] for a in at) + sum(float(model["v"][a] @ model["v"][b]) for a in at for b in at if a < b)
+        assert abs(got[i].score - 1 / (1 + np.exp(-z))) < 1e-9
+    again = toxicity.train(docs.unionByName(docs), marks, fold=~toxicity.held_out())
+    assert (again["terms"] == model["terms"]).all() and np.allclose(again["v"], model["v"])
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
     empty = toxicity.train(docs, marks.limit(0))
     assert toxicity.score_toxicity(docs.limit(3), empty).count() == 3
 
