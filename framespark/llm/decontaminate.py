@@ -5,15 +5,15 @@ to 3 words. A window is contained in a document only if all its shingles are, so
 shingle: the rarest one, by the number of documents that have it. A place where a document has a window's rarest shingle
 bounds where the window may lie (position) and whether it fits (length); the words there are then compared.
 
-The benchmark's index is broadcast. Its size is checked: a larger benchmark is cut into blocks of items, each joined to all
-documents in a pass of its own.
+Windows, shingles, their counts and the prefixes are tables, so a benchmark of any size is spread over tasks. Documents are
+read twice: to count the benchmark's shingles, and to find the prefixes. Both passes drop nearly all other shingles by a
+Bloom filter of bounded size; what passes by chance finds no partner in the joins that follow. Only words around a prefix
+leave the scan, never texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,203 +23,223 @@ from pyspark.sql import functions as F
 from .common import discard, map_batches, materialize, table
 
 WINDOW, SHINGLE = 10, 3
-#: Bytes of benchmark text in one block of items.
-BLOCK_BYTES = 16 << 20
+#: Bits of the filter of shingles that is broadcast: 16 a shingle, at most so many (4 MB).
+MAX_BITS = 1 << 25
+#: Bytes of text that are cut into words at once; a longer text is one piece.
+PIECE = 1 << 20
+#: Distinct shingles that a task counts before it hands them on.
+MAX_COUNTS = 1 << 20
+SALTS = 4
 #: ASCII other than letters and digits separates words; A-Z become lower case; bytes of other characters stay.
-WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
-
-
-def shingle_keys(ids: np.ndarray, k: int) -> np.ndarray:
-    """A key for each run of k word ids."""
-    n = len(ids) - k + 1
-    key = np.full(max(n, 0), k, np.uint64)
-    for i in range(k if n > 0 else 0):
-        key = (key ^ ids[i : i + n].astype(np.uint64)) * FACTORS[i]
-        key ^= key >> np.uint64(29)
-    return key
-
-
-class Index:
-    """Windows of a block of items: word ids by word, windows by their rarest shingle."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                windows.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.windows = list(windows)
-        self.items = [sorted(s) for s in windows.values()]
-        self.kinds = sorted({min(SHINGLE, len(w)) for w in self.windows})
-        #: all shingles, by number of words
-        self.shingles = {k: np.unique(np.concatenate([shingle_keys(np.array(w), k) for w in self.windows if min(SHINGLE, len(w)) == k])) for k in self.kinds}
-        self.prefix: dict[int, tuple] = {}
-
-    def choose(self, rarity: dict[int, np.ndarray]) -> None:
-        """The rarest shingle of each window (equal counts: the first), and the window's words and place under it."""
-        for k in self.kinds:
-            own = [i for i, w in enumerate(self.windows) if min(SHINGLE, len(w)) == k]
-            picked = []
-            for i in own:
-                keys = shingle_keys(np.array(self.windows[i]), k)
-                at = int(np.argmin(rarity[k][np.searchsorted(self.shingles[k], keys)]))
-                picked.append((keys[at], at))
-            keys, offsets = np.array([p[0] for p in picked], np.uint64), np.array([p[1] for p in picked])
-            order = np.argsort(keys, kind="stable")
-            tokens, first, n = np.unique(keys[order], return_index=True, return_counts=True)
-            words = np.zeros((len(own), WINDOW), np.int64)
-            for row, o in enumerate(order):
-                words[row, : len(self.windows[own[o]])] = self.windows[own[o]]
-            sizes = np.array([len(self.windows[own[o]]) for o in order])
-            self.prefix[k] = (tokens, first, n, offsets[order], sizes, words, np.array(own)[order])
-
-    def ids(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
-
-    def found(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(starts, lengths, windows) of the windows that occur in a document's word ids."""
-        for k in self.kinds:
-            tokens, first, n, offsets, sizes, words, own = self.prefix[k]
-            at = places(ids, k)
-            keys = shingle_keys_at(ids, at, k)
-            j = np.minimum(np.searchsorted(tokens, keys), len(tokens) - 1)
-            hit = tokens[j] == keys
-            at, j = at[hit], j[hit]
-            if not len(at):
-                continue
-            rows = np.repeat(first[j] - np.append(0, np.cumsum(n[j])[:-1]), n[j]) + np.arange(n[j].sum())
-            start = np.repeat(at, n[j]) - offsets[rows]
-            fits = (start >= 0) & (start + sizes[rows] <= len(ids))
-            start, rows = start[fits], rows[fits]
-            whole = np.ones(len(start), bool)
-            for i in range(WINDOW):
-                inside = i < sizes[rows]
-                whole &= ~inside | (ids[np.minimum(start + i, len(ids) - 1)] == words[rows, i])
-            yield start[whole], sizes[rows[whole]], own[rows[whole]]
-
-
-def places(ids: np.ndarray, k: int) -> np.ndarray:
-    """Where k words in a row all occur in the benchmark."""
-    n = len(ids) - k + 1
+WORD_BYTES = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
+_U = np.uint64
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+SHIFTS = (0, 21, 42)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(29))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(32))
+
+
+class Pieces:
+    """Cuts the texts of Arrow batches into words and hashes the words, many texts at once."""
+
+    def __init__(self):
+        self.powers = self.inverses = np.ones(1, _U)
+
+    def reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            grown = lambda b: np.cumprod(np.append(_U(1), np.full(max(n, PIECE) - 1, b, _U)))
+            self.powers, self.inverses = grown(BASE), grown(BASE_INVERSE)
+
+    def of(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first text, texts, bytes with words told apart by spaces, start and end of each word, its hash, its text's number)."""
+        if not len(column):
+            return
+        column = column.cast(pa.large_string())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, "<i8")[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(data or b"", np.uint8)
+        first = 0
+        while first < len(column):
+            stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+            yield first, stop - first, *self.words(WORD_BYTES[data[offsets[first] : offsets[stop]]], offsets[first:stop] - offsets[first])
+            first = stop
+
+    def words(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = len(data)
+        inside = data != 32
+        first = np.zeros(n + 1, bool)
+        first[begins] = True
+        head, tail = inside.copy(), inside.copy()
+        head[1:] &= ~inside[:-1] | first[1:n]
+        tail[:-1] &= ~inside[1:] | first[1:n]
+        start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+        self.reach(n)
+        upto = np.append(_U(0), np.cumsum(data * self.powers[:n]))
+        hashes = mixed((upto[end] - upto[start]) * self.inverses[start] + (end - start).astype(_U))
+        return data, start, end, hashes, np.searchsorted(begins, start, "right") - 1
+
+
+def shingle_keys(hashes: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of each run of k words of one text."""
+    n = len(hashes) - k + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    known = ids > 0
-    run = known[:n].copy()
-    for i in range(1, k):
-        run &= known[i : i + n]
-    return np.flatnonzero(run)
-
-
-def shingle_keys_at(ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    key = np.full(len(at), k, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    key = np.full(n, k, _U)
     for i in range(k):
-        key = (key ^ ids[at + i].astype(np.uint64)) * FACTORS[i]
-        key ^= key >> np.uint64(29)
-    return key
+        key = mixed(key + hashes[i : i + n])
+    at = np.flatnonzero(text[:n] == text[k - 1 :])
+    return at, key[at]
 
 
-def document_counts(texts: DataFrame, index) -> DataFrame:
-    """(k, shingle, n): in how many documents each shingle of the index occurs, over all documents."""
+def windows_of(items: DataFrame) -> DataFrame:
+    """(item, window, size, k, keys) of every window of (item, text): its words, how many, and the keys of its shingles of k words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
-        counts = {k: np.zeros(len(own.shingles[k]), np.int64) for k in own.kinds}
+        pieces = Pieces()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = own.ids(text)
-                for k in own.kinds:
-                    keys = shingle_keys_at(ids, places(ids, k), k)
-                    j = np.minimum(np.searchsorted(own.shingles[k], keys), len(own.shingles[k]) - 1)
-                    counts[k][np.unique(j[own.shingles[k][j] == keys])] += 1
-        rows = [(k, int(i), int(counts[k][i])) for k in own.kinds for i in np.flatnonzero(counts[k])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["k", "shingle", "n"])
-
-    return map_batches(texts, run, "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
+            names = batch.column(0).to_pylist()
+            for first, n, data, start, end, hashes, text in pieces.of(batch.column(1)):
+                edges = np.searchsorted(text, np.arange(n + 1))
+                for i in range(n):
+                    a, b = edges[i], edges[i + 1]
+                    words = [data[s:e].tobytes() for s, e in zip(start[a:b], end[a:b], strict=True)]
+                    size = min(WINDOW, len(words))
+                    k = min(SHINGLE, size)
+                    keys = shingle_keys(hashes[a:b], text[a:b], k)[1].view(np.int64).tolist() if k else []
+                    for at in range(0, len(words) - size + 1 if words else 0, 1000):
+                        some = range(at, min(at + 1000, len(words) - size + 1))
+                        rows = [[names[first + i]] * len(some), [b" ".join(words[j : j + size]).decode() for j in some], [size] * len(some), [k] * len(some), [keys[j : j + size - k + 1] for j in some]]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["item", "window", "size", "k", "keys"])
+
+    return map_batches(items, run, "item string, window string, size int, k int, keys array<long>")
+
+
+def shingle_filter(keys: DataFrame, most: int = MAX_BITS) -> np.ndarray:
+    """Words of a Bloom filter of the longs `key`: `most` bits at most, built by partial aggregates."""
+    bits = 64
+    wanted = 16 * keys.count()
+    while bits < min(wanted, most):
+        bits *= 2
+    places = F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(bits - 1)) for s in SHIFTS])
+    marked = keys.select(F.explode(places).alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    got, out = marked.toArrow(), np.zeros(bits // 64, np.int64)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(_U)
+
+
+def held(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    mask, out = _U(64 * len(words) - 1), np.ones(len(keys), bool)
+    for s in SHIFTS:
+        b = (keys >> _U(s)) & mask
+        out &= (words[b >> _U(6)] >> (b & _U(63))) & _U(1) == 1
+    return out
+
+
+def document_counts(texts: DataFrame, kinds: list[int], words) -> DataFrame:
+    """(key, n): in how many documents each shingle that passes the filter occurs, over all documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, pieces, some, n = words.value, Pieces(), [], 0
 
-def scan(rows: DataFrame, index) -> DataFrame:
-    """Adds what one block of items finds to (doc_id, text, hits, items): hits are runs of words (start, end), four bytes each."""
+        def counted() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate([np.zeros(0, _U), *some]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
         for batch in batches:
-            hits, items = [], []
-            for text, before, had in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "items")), strict=True):
-                ids = own.ids(text)
-                runs, names = [np.frombuffer(before, "<i4").reshape(-1, 2)], set(had)
-                for start, size, windows in own.found(ids):
-                    runs.append(np.stack([start, start + size], axis=1))
-                    for w in set(windows.tolist()):
-                        names.update(own.items[w])
-                hits.append(merge(np.concatenate(runs)).astype("<i4").tobytes())
-                items.append(sorted(names))
-            columns = [batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "hits", "items"])
-
-    return map_batches(rows, run, "doc_id long, text string, hits binary, items array<string>")
-
-
-def merge(runs: np.ndarray) -> np.ndarray:
-    """Overlapping runs as one."""
-    if len(runs) < 2:
-        return runs
-    runs = runs[np.argsort(runs[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(runs[:, 1])
-    head = np.append(True, runs[1:, 0] > ends[:-1])
-    return np.stack([runs[head, 0], ends[np.append(np.flatnonzero(head)[1:] - 1, len(runs) - 1)]], axis=1)
-
-
-def describe(rows: DataFrame) -> DataFrame:
+            for *_, hashes, text in pieces.of(batch.column(0)):
+                for k in kinds:
+                    at, keys = shingle_keys(hashes, text, k)
+                    hit = held(own, keys)
+                    at, keys = at[hit], keys[hit]
+                    order = np.lexsort((keys, text[at]))
+                    keys, docs = keys[order], text[at[order]]
+                    once = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))[: len(keys)]
+                    some.append(keys[once])
+                    n += int(once.sum())
+            if n > MAX_COUNTS:
+                yield counted()
+                some, n = [], 0
+        yield counted()
+
+    return map_batches(texts, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def places(rows: DataFrame, kinds: list[int], words) -> DataFrame:
+    """(row, doc_id, n_words, at, key, around, back): a row for each row of (row, doc_id, text), where the others are null, and one for each place of a shingle that passes the filter, with the words around it, `back` of them before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, pieces = words.value, Pieces()
         for batch in batches:
-            n_words = [len(words_of(t)) for t in batch.column("text").to_pylist()]
-            n_hit = [int(np.diff(np.frombuffer(h, "<i4").reshape(-1, 2), axis=1).sum()) for h in batch.column("hits").to_pylist()]
-            items = batch.column("items").to_pylist()
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), batch.column("hits")]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"])
-
-    return map_batches(rows, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits binary")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            ids, names = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for first, n, data, start, end, hashes, text in pieces.of(batch.column(2)):
+                edges = np.searchsorted(text, np.arange(n + 1))
+                row, name = ids[first : first + n], names[first : first + n]
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(name, pa.int64()), pa.array(np.diff(edges)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names=columns)
+                for k in kinds:
+                    at, keys = shingle_keys(hashes, text, k)
+                    hit = held(own, keys)
+                    at, keys = at[hit], keys[hit]
+                    for i in range(0, len(at), 10_000):
+                        some = at[i : i + 10_000]
+                        doc = text[some]
+                        low, high = np.maximum(some - (WINDOW - k), edges[doc]), np.minimum(some + WINDOW, edges[doc + 1])
+                        around = [b" ".join(data[a:b].tobytes().split()).decode() for a, b in zip(start[low], end[high - 1], strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(row[doc]), pa.array([name[d] for d in doc], pa.int64()), pa.array(edges[doc + 1] - edges[doc]), pa.array(some - edges[doc]), pa.array(keys[i : i + 10_000].view(np.int64)), pa.array(around, pa.string()), pa.array((some - low).astype(np.int32))], names=columns)
+
+    columns = ["row", "doc_id", "n_words", "at", "key", "around", "back"]
+    return map_batches(rows, run, "row long, doc_id long, n_words long, at long, key long, around string, back int")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bits: int = MAX_BITS, salts: int = SALTS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits) of every row of docs, of whole texts.
 
-    hits: runs of hit words (start, end), little-endian 32-bit. Null texts have no words. Items with null or empty texts
-    have no windows; repeated items count once; a null item id is the item ''. Other columns are ignored; without items
-    nothing is hit.
+    hits: (start, end) in words of each place where a window occurs, in order. Null texts have no words. Items with null or
+    empty texts have no windows; repeated items count once; a null item id is the item ''. Repeated rows are judged each;
+    other columns are ignored; texts and items may be of any length; without items nothing is hit; an empty table gives an
+    empty one.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = rows.select("text")
-    rows = rows.select("doc_id", "text", F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for b in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        index = Index([tuple(r) for r in some.collect()])  # block_bytes of text, about
-        if not index.windows:
-            continue
-        bare = spark.sparkContext.broadcast(index)
-        rarity = {k: np.zeros(len(index.shingles[k]), np.int64) for k in index.kinds}
-        for k, shingle, n in document_counts(texts, bare).collect():  # a row for each shingle of the block at most
-            rarity[k][shingle] = n
-        index.choose(rarity)
-        before, rows = rows, scan(rows, spark.sparkContext.broadcast(index))
-        if blocks > 1:
-            rows = materialize(rows, "decontaminate")
-            if b:
-                discard(before)
-    return describe(rows)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    every = materialize(windows_of(items), "bench_windows")
+    # items by window: windows of one passage share a set of items, which is told by its digest
+    sets = every.groupBy("window").agg(F.any_value("size").alias("size"), F.any_value("k").alias("k"), F.any_value("keys").alias("keys"), F.array_sort(F.collect_set("item")).alias("items"))
+    windows = materialize(sets.withColumn("set", F.sha2(F.to_json("items"), 256)), "bench_sets")
+    members = windows.groupBy("set").agg(F.any_value("items").alias("items"))
+    kinds = sorted(r.k for r in windows.select("k").distinct().collect())  # up to SHINGLE
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # the rarest shingle of each window, of equal ones the first
+    parts = windows.select("window", F.posexplode("keys").alias("offset", "key"))
+    known = materialize(parts.select("key").distinct(), "bench_shingles")
+    counts = document_counts(rows.select("text"), kinds, spark.sparkContext.broadcast(shingle_filter(known, max_bits)))
+    counts = materialize(counts.join(known, "key"), "bench_counts")
+    rarest = parts.join(counts, "key", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "key")).alias("p"))
+    prefix = materialize(windows.select("window", "size", "set").join(rarest, "window").select("window", "size", "set", "p.offset", "p.key"), "bench_prefix")
+    words = spark.sparkContext.broadcast(shingle_filter(prefix.select("key").distinct(), max_bits))
+    found = materialize(places(rows, kinds, words), "bench_places")
+    # salted, so that a passage in many documents is spread over tasks
+    spread = prefix.select(F.col("key").alias("pk"), "offset", "window", "size", "set", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("ps"))
+    met = found.where("at is not null").withColumn("s", F.pmod("row", F.lit(salts)).cast("int")).join(spread, (F.col("key") == F.col("pk")) & (F.col("s") == F.col("ps")))
+    start = F.col("at") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    same = F.array_join(F.slice(F.split("around", " "), F.col("back") - F.col("offset") + 1, F.col("size")), " ") == F.col("window")
+    # a window that lies in the text has its words among those around the prefix
+    hits = materialize(met.where(F.when(fits, same).otherwise(False)).select("row", "set", start.alias("start"), (start + F.col("size")).alias("end")), "bench_hits")
+    longer = lambda a, h: F.struct((a["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(a["end"], h["start"]))).alias("n"), F.greatest(a["end"], h["end"]).alias("end"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits")).withColumn("n_hit", F.aggregate("hits", zero, longer)["n"])
+    pairs = hits.select("row", "set").distinct()
+    in_sets = pairs.join(members, "set").select("row", F.explode("items").alias("item")).distinct()
+    named = in_sets.groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    out = found.where("at is null").select("row", "doc_id", "n_words").join(spans, "row", "left").join(named, "row", "left")
+    for done in (every, known, counts):
+        discard(done)
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("hits", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("hits"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

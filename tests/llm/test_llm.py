@@ -550,11 +550,44 @@ def test_decontamination(spark, docs, rows):
     want = sorted(map(str, brute_hits(rows, [i for i in items if i[1]])))
     got = decontaminate.decontaminate(docs, bench).drop("hits")
     assert sorted(map(str, collect(got))) == want
-    assert sorted(map(str, collect(decontaminate.decontaminate(docs, bench, block_bytes=200).drop("hits")))) == want
+    assert sorted(map(str, collect(decontaminate.decontaminate(docs, bench, max_bits=64).drop("hits")))) == want
     assert {r.contaminated for r in decontaminate.decontaminate(docs, bench.limit(0)).collect()} == {False}
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_words_are_hashed_alike_wherever_they_lie():
+    import pyarrow as pa
+
+    texts = ["", "Aa1 b", "b,aa1", "é\x00É  aa1", "x" * 3000, "aa1b", "-", "b aa1 " * 400]
+    seen = {}
+    for size in (8, 1 << 20):
+        decontaminate.PIECE, before = size, decontaminate.PIECE
+        try:
+            got = defaultdict(list)
+            for first, _, data, start, end, hashes, text in decontaminate.Pieces().of(pa.array(["skip", *texts])[1:]):
+                for a, b, h, t in zip(start, end, hashes, text, strict=True):
+                    got[first + t].append(data[a:b].tobytes().decode())
+                    assert seen.setdefault(got[first + t][-1], int(h)) == int(h)
+        finally:
+            decontaminate.PIECE = before
+        assert [got[i] for i in range(len(texts))] == [bench_words(t) for t in texts]
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_decontamination_of_a_passage_in_most_documents(spark):
+    """One window in two thirds of the documents and in many items, a text of 2 MB that is all windows, repeated rows."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice("abcdefg") + str(rng.randint(0, 60)) for _ in range(n))
+    passage = line(14)
+    items = [(f"i{k}", passage + " " + line(k % 5)) for k in range(40)] + [("one", "zzz"), ("two", "zzz q1")]
+    rows = [(i, line(20) + " " + (passage if i % 3 else "") + " " + line(5) + " zzz" * (i % 7 == 0) + " q1" * (i % 2), None) for i in range(300)]
+    rows += [rows[1], (None, passage, None)]
+    long = (passage + " ") * 25_000
+    got = decontaminate.decontaminate(frame(spark, [*rows, (999, long, None)]), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert sorted(map(str, ((*r,)[:-1] for r in got if r.doc_id != 999))) == sorted(map(str, brute_hits(rows, items)))
+    assert [(r.n_words, r.n_hit) for r in got if r.doc_id == 999] == [(350_000, 350_000)]
+
+
 def test_decontamination_on_documents(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = [(r.doc_id, r.text, None) for r in docs.collect()]
