@@ -295,8 +295,14 @@ def test_token_counts(spark, docs, rows):
     for text in odd_texts():
         assert sum(len(model.encode(w)) if w else 1 for w in token_counts.pretokens(text)) == len(model.encode(text)), repr(text)
     got = sorted(map(str, collect(token_counts.count_tokens(docs, token_counts.model_path(token_counts.MODEL)))))
-    want = [(i, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t, _ in rows]
-    assert got == sorted(map(str, want))
+    want = sorted(str((i, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096)) for i, t, _ in rows)
+    assert got == want
+    for few in (0, 50):  # pre-tokens by the broadcast part of the table
+        assert sorted(map(str, collect(token_counts.count_tokens(docs, token_counts.model_path(token_counts.MODEL), frequent=few, sample=40)))) == want
+    assert token_counts.count_tokens(docs.limit(0), token_counts.model_path(token_counts.MODEL)).count() == 0
+    some = odd_texts(400) + ["long" * 500_000, "two words " * 200_000]
+    got = token_counts.count_tokens(frame(spark, [(i, t, None) for i, t in enumerate(some)]), token_counts.model_path(token_counts.MODEL), frequent=20)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(model.encode(t)) for i, t in enumerate(some)}
 
 
 def test_token_files(spark, docs, rows, tmp_path):
