@@ -1,9 +1,11 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities to the block transfers that move the fewest bytes.
 
-An old shard is a bounded number of blocks, by hash of the document id. Blocks are summed in one pass with a partial
-aggregate; the driver gets one row a block, at most shards * blocks of them whatever the data's size. A minimum-cost flow
-between old and new shards tells how many bytes go from where to where; whole blocks fill these flows. Documents find their
-shard by a broadcast of that bounded table, without a shuffle, and only files of blocks that move are rewritten.
+A layout is a folder of Parquet files for each shard. The files of a shard fall into a bounded number of groups, and the
+rows of a group into blocks, by place in their file; blocks are summed in one pass with a partial aggregate, so the driver
+gets a bounded number of rows whatever the data's size and whatever the ids. A minimum-cost flow between old and new
+shards tells how many bytes go from where to where. Whole groups of files fill the flows as far as they fit; what is left
+is made up of blocks of few groups. Only files of groups that move or are split are written anew; the others stay where they
+are. A manifest lists the files of each new shard.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from .common import crc32_unsigned, new_path, table
 
 OLD_SHARDS, NEW_SHARDS = 6, 8
-BLOCKS = 2048
+#: Groups of files and blocks in a shard, at most.
+GROUPS, BLOCKS = 128, 2048
 LAW = "bytes"
+LAYOUT = "doc_id long, text string, old int"
 
 
 def size_of(text: Column) -> Column:
@@ -27,10 +31,6 @@ def old_shard(doc_id: Column, shards: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")), F.lit(shards)).cast("int")
 
 
-def block_of(doc_id: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int")
-
-
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
     """Units from each supply to each capacity, of least total cost, all supply placed: successive shortest paths on a graph of shards."""
     if sum(supply) > sum(capacity):
@@ -69,61 +69,98 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return flow
 
 
-def place_blocks(blocks: list[tuple[int, int, int]], flow: list[list[int]]) -> dict[tuple[int, int], int]:
-    """New shard of each (old shard, block, bytes): the largest blocks first, each to where most of its shard's flow, and then of the shard's room, is left."""
-    left = [list(row) for row in flow]
-    room = [sum(column) for column in zip(*flow, strict=True)]
-    out = {}
-    for old, block, size in sorted(blocks, key=lambda b: (-b[2], b[0], b[1])):
-        to = max(range(len(room)), key=lambda j: (min(left[old][j], room[j]), room[j], j == old, -j))
-        if min(left[old][to], room[to]) < size:  # no flow holds it: to where most room is, at home among equals
-            to = max(range(len(room)), key=lambda j: (room[j] if flow[old][j] else room[j] - size, j == old, -j))
-        out[old, block] = to
-        left[old][to] -= size
-        room[to] -= size
+def place_blocks(sizes: dict[tuple[int, int, int], int], flow: list[list[int]]) -> dict[tuple[int, int, int], int]:
+    """New shard of each block (old shard, group, block): whole groups, the largest first, where a flow holds them; then blocks, of as few groups as will do, to the nearest half block; the rest at home."""
+    out: dict[tuple[int, int, int], int] = {}
+    carry: dict[int, int] = {}  # what a shard still lacks of the flows so far
+    for old in sorted({k[0] for k in sizes}):
+        home = old < len(flow[old])
+        left = {j: amount + carry.pop(j, 0) for j, amount in enumerate(flow[old]) if j != old and amount}
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for (o, group, block), size in sizes.items():
+            if o == old:
+                groups.setdefault(group, []).append((size, block))
+        most = lambda: max(left, key=lambda j: (left[j], -j))
+        rest = []
+        for group in sorted(groups, key=lambda g: (-sum(s for s, _ in groups[g]), g)):
+            size = sum(s for s, _ in groups[group])
+            if left and left[to := most()] >= size:
+                left[to] -= size
+                out.update({(old, group, block): to for _, block in groups[group]})
+            else:
+                rest.append(group)
+        for group in rest:
+            for size, block in sorted(groups[group], key=lambda b: (-b[0], b[1])):
+                if left and (not home or 2 * left[to := most()] >= size > 0):
+                    to = most()
+                    left[to] -= size
+                    out[old, group, block] = to
+                else:
+                    out[old, group, block] = old
+        carry.update({j: amount + carry.get(j, 0) for j, amount in left.items()})
     return out
 
 
-def reshard_plan(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, int, int, int]]:
-    """(old shard, block, new shard, rows before it in the new shard, bytes) of each block: at most old_shards * blocks rows."""
-    keyed = docs.select(old_shard(F.col(id_col), old_shards).alias("old"), block_of(F.col(id_col), blocks).alias("block"), size_of(F.col(text_col)).alias("size"))
-    got = sorted(tuple(r) for r in keyed.groupBy("old", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect())
+def lay_out(docs: DataFrame, path: str, shards: int = OLD_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes rows (doc_id, text) as a layout by hash of the id, without a shuffle: the state before resharding."""
+    doc_id = F.col(id_col).cast("long")
+    docs.select(doc_id.alias("doc_id"), F.col(text_col).cast("string").alias("text"), old_shard(doc_id, shards).alias("old")).write.option("compression", "zstd").partitionBy("old").parquet(path)
+
+
+def _blocks(layout: DataFrame, groups: int) -> DataFrame:
+    """The rows of a layout with their file, its group, their place in it and their block."""
+    file = F.col("_metadata.file_path")
+    keyed = layout.select("doc_id", "text", "old", file.alias("file"), F.col("_metadata.row_index").alias("nth"))
+    group, block = F.pmod(F.xxhash64(F.substring_index("file", "/", -1)), F.lit(groups)), F.pmod(F.xxhash64("nth", "file"), F.lit(BLOCKS // groups))
+    return keyed.select("*", group.cast("int").alias("group"), block.cast("int").alias("block"))
+
+
+def reshard_plan(rows: DataFrame, old_shards: int, new_shards: int) -> list[tuple[int, int, int, int, bool]]:
+    """(old shard, group, block, new shard, whether the group's files are written anew) of each block: at most old_shards * BLOCKS rows."""
+    got = {(r[0], r[1], r[2]): r[3] for r in rows.groupBy("old", "group", "block").agg(F.sum(size_of(F.col("text")))).collect()}
     supply = [0] * old_shards
-    for old, _, size, _ in got:
+    for (old, *_), size in got.items():
         supply[old] += size
     total = sum(supply)
     capacity = [total * (j + 1) // new_shards - total * j // new_shards for j in range(new_shards)]
     flow = min_cost_flow(supply, capacity, [[int(i != j) for j in range(new_shards)] for i in range(old_shards)])
-    to = place_blocks([(o, b, s) for o, b, s, _ in got], flow)
-    rows, out = [0] * new_shards, []
-    for old, block, size, n in got:
-        out.append((old, block, to[old, block], rows[to[old, block]], size))
-        rows[to[old, block]] += n
-    return out
+    to = place_blocks(got, flow)
+    moved = {(old, group) for (old, group, _), new in to.items() if new != old}
+    return [(old, group, block, new, (old, group) in moved) for (old, group, block), new in sorted(to.items())]
 
 
-def reshard(docs: DataFrame, out: str, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the rows whose shard changes to `out`/shard=... and returns (doc_id, size, text_crc32, law, shard, slot, grown_shard, moved) of every row.
+def reshard(spark: SparkSession, old_path: str, out: str, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> DataFrame:
+    """Rewrites affected files of the layout at old_path into `out`/shard=..., writes `out`.manifest (shard, file, before, rows, rewritten) and returns (doc_id, size, text_crc32, law, shard, slot, grown_shard, moved) of every row, as it lies in the new shards.
 
-    The law is `bytes`: shards of near equal bytes, counting one more for each row. Slots run from 0 in each shard. Null
-    texts have size 1; rows with null ids form one block, as do repeated ids; other columns are ignored; an empty table
-    gives an empty one. Rows of rewritten files are described from these files.
+    The law is `bytes`: shards of near equal bytes, counting one more for each row. A row's slot is its place in the shard's
+    files: they run from 0 in each shard. Null texts have size 1; rows with null or repeated ids are rows like others, and
+    texts of any length are too; an empty layout gives an empty table.
     """
-    spark = docs.sparkSession
-    plan = reshard_plan(docs, old_shards, new_shards, blocks, id_col, text_col)
-    at = spark.createDataFrame(plan or [], "old int, block int, shard int, rows_before long, bytes long").drop("bytes")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = [old_shard(F.col("doc_id"), old_shards).alias("old"), block_of(F.col("doc_id"), blocks).alias("block")]
-    found = rows.select("*", *keys).join(F.broadcast(at), ["old", "block"])  # old_shards * blocks rows
-    found.where("shard <> old").select("doc_id", "text", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(out)
-    seen = [size_of(F.col("text")).alias("size"), crc32_unsigned(F.col("text")).alias("text_crc32")]
-    light = found.where("shard = old").select("doc_id", *seen, F.lit(False).alias("moved"))
-    if any(p[0] != p[2] for p in plan):
-        light = light.unionByName(spark.read.schema("doc_id long, text string, shard int").parquet(out).select("doc_id", *seen, F.lit(True).alias("moved")))
-    ranked = light.select("*", *keys).withColumn("nth", F.row_number().over(Window.partitionBy("old", "block").orderBy("doc_id", "size", "text_crc32")) - 1)
-    placed = ranked.join(F.broadcast(at), ["old", "block"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("rows_before") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "moved")
+    layout = spark.read.schema(LAYOUT).parquet(old_path)
+    groups = min(GROUPS, max(1, len(layout.inputFiles()) // old_shards))
+    rows = _blocks(layout, groups)
+    plan = reshard_plan(rows, old_shards, new_shards)
+    at = F.broadcast(spark.createDataFrame(plan, "old int, group int, block int, shard int, anew boolean"))  # old_shards * BLOCKS rows
+    placed = rows.join(at, ["old", "group", "block"])
+    placed.where("anew").select("doc_id", "text", "old", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(out)
+    written = spark.read.schema(LAYOUT + ", shard int").parquet(out).select("doc_id", "text", "old", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"), "shard", F.lit(True).alias("rewritten"))
+    every = placed.where("not anew").select("doc_id", "text", "old", "file", "nth", "shard", F.lit(False).alias("rewritten")).unionByName(written)
+    files = every.groupBy("shard", "file", "rewritten").agg(F.count("*").alias("rows"))
+    in_order = Window.partitionBy("shard").orderBy("rewritten", "file").rowsBetween(Window.unboundedPreceding, -1)
+    files.select("shard", "file", F.coalesce(F.sum("rows").over(in_order), F.lit(0)).alias("before"), "rows", "rewritten").write.parquet(f"{out}.manifest")
+    before = spark.read.schema(MANIFEST).parquet(f"{out}.manifest").select("file", "before")
+    light = every.select("doc_id", "file", "nth", "shard", "old", size_of(F.col("text")).alias("size"), crc32_unsigned(F.col("text")).alias("text_crc32"))
+    return light.join(before, "file").select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("before") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), (F.col("shard") != F.col("old")).alias("moved"))
+
+
+MANIFEST = "shard int, file string, before long, rows long, rewritten boolean"
+
+
+def reshard_documents(docs: DataFrame, out: str, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lays docs out in old shards at `out`.old and reshards that to `out`; other columns are ignored."""
+    lay_out(docs, f"{out}.old", old_shards, id_col, text_col)
+    return reshard(docs.sparkSession, f"{out}.old", out, old_shards, new_shards)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshard(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    return reshard_documents(table(spark, sf_dir, "documents"), new_path(spark, "shards"))

@@ -392,7 +392,7 @@ def test_exact_dedup(docs, rows):
 
 # --- sharding ---
 def test_sharding(spark, docs, rows, tmp_path):
-    got = sharding.reshard(docs, str(tmp_path / "a")).collect()
+    got = sharding.reshard_documents(docs, str(tmp_path / "a")).collect()
     assert sorted(map(str, ((r.doc_id, r.size, r.text_crc32) for r in got))) == sorted(map(str, ((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)))
     total, largest = sum(r.size for r in got), max(r.size for r in got)
     bytes_, slots = Counter(), defaultdict(list)
@@ -402,15 +402,18 @@ def test_sharding(spark, docs, rows, tmp_path):
         assert r.law == "bytes" and r.grown_shard is None
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(abs(bytes_[j] - total / 8) <= largest for j in range(8))
-    written = spark.read.parquet(str(tmp_path / "a"))
-    assert written.count() == sum(r.moved for r in got) > 0
-    assert sharding.reshard(docs.limit(0), str(tmp_path / "b")).count() == 0
+    # the new shards are complete: the manifest's files hold every row once, and files of groups that stay aren't written
+    manifest = spark.read.parquet(str(tmp_path / "a.manifest")).collect()
+    held = [(r.shard, *row) for r in manifest for row in spark.read.parquet(r.file).select("doc_id", "text").collect()]
+    assert sorted(map(str, ((j, i, zlib.crc32((t or "").encode())) for j, i, t in held))) == sorted(str((r.shard, r.doc_id, r.text_crc32)) for r in got)
+    assert sum(r.moved for r in got) > 0
+    assert sharding.reshard_documents(docs.limit(0), str(tmp_path / "b")).count() == 0
 
 
 def test_sharding_even_and_least_moved(spark, tmp_path):
     rng = random.Random(1)
     docs = frame(spark, [(i, "x" * rng.randint(0, 300), "s") for i in range(4000)])
-    got = sharding.reshard(docs, str(tmp_path / "a")).collect()
+    got = sharding.reshard_documents(docs, str(tmp_path / "a")).collect()
     total = sum(r.size for r in got)
     by = Counter()
     old = Counter()
@@ -422,6 +425,30 @@ def test_sharding_even_and_least_moved(spark, tmp_path):
     assert sum(r.size for r in got if r.moved) < 1.01 * least + 300
 
 
+def test_sharding_of_null_and_repeated_ids(spark, tmp_path):
+    docs = frame(spark, [([None, 7, i][i % 3], "x" * (i % 50), "s") for i in range(6000)]).repartition(6)
+    got = sharding.reshard_documents(docs, str(tmp_path / "a")).collect()
+    by = Counter()
+    for r in got:
+        by[r.shard] += r.size
+    assert max(by.values()) - min(by.values()) < 0.01 * sum(by.values())
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 6000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    manifest = spark.read.parquet(str(tmp_path / "a.manifest")).collect()
+    assert any(not r.rewritten for r in manifest) and any(r.rewritten for r in manifest)
+
+
+def test_sharding_to_fewer_shards(spark, tmp_path):
+    docs = frame(spark, [(i, "x" * (i % 90), "s") for i in range(3000)])
+    got = sharding.reshard_documents(docs, str(tmp_path / "a"), 6, 4).collect()
+    by = Counter()
+    for r in got:
+        by[r.shard] += r.size
+    assert set(by) == set(range(4)) and max(by.values()) - min(by.values()) < 0.01 * sum(by.values())
+
+
 def test_min_cost_flow_matches_enumeration():
     rng = random.Random(5)
     for _ in range(60):
