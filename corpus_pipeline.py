@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of each row, for eight shards of near equal bytes."""
-    return sharding.reshard(docs, new_path(spark, "shards"))
+    return sharding.reshard_documents(docs, new_path(spark, "shards"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_benchmark), ("mixing", mix_sources), ("sharding", shard)]
