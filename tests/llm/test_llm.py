@@ -386,10 +386,29 @@ def test_exact_dedup(docs, rows):
         g.sort(key=lambda r: r[:3])
         want += [(r[3], g[0][3], len(g), k == 0, hashlib.sha256(n.encode()).hexdigest()) for k, r in enumerate(g)]
     assert sorted(map(str, collect(exact_dedup.dedup(docs)))) == sorted(map(str, want))
-    assert sorted(map(str, collect(exact_dedup.dedup(docs, runs=1, max_blocks=1, salts=1)))) == sorted(map(str, want))
+    for more in ({"memtable_rows": 7, "fanout": 3}, {"memtable_rows": 20, "fanout": 2, "max_blocks": 1, "salts": 1}):
+        assert sorted(map(str, collect(exact_dedup.dedup(docs, **more)))) == sorted(map(str, want))
     assert exact_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_index_of_digests(spark):
+    """Memtables hold no more rows than they may, runs are sorted, levels end with one run, and lookups find what is there."""
+    texts = [f"text {i % 150}" for i in range(400)]
+    rows = spark.createDataFrame([(i, False, len(t), hashlib.sha256(t.encode()).digest(), i) for i, t in enumerate(texts)], "doc_id long, doc_null boolean, n_chars int, digest binary, row long")
+    filled = Counter(r.run for r in exact_dedup.fill_memtables(rows, 30).collect())
+    assert set(filled) == set(range(14)) and max(filled.values()) == 30
+    runs = exact_dedup.flush_runs(rows, 30)
+    assert runs.count() == 400 and runs.agg(F.max("run")).first()[0] == 13
+    for max_blocks in (1, 1 << 16):
+        index = exact_dedup.compact(exact_dedup.flush_runs(rows, 30), 3, max_blocks)
+        got = {bytes(r.digest): (r.best.doc_id, r.n, r.run) for r in index.collect()}
+        assert got == {hashlib.sha256(f"text {k}".encode()).digest(): (k, 3 if k < 100 else 2, 0) for k in range(150)}
+    keys = [hashlib.sha256(t).digest() for t in (b"text 3", b"text 149", b"absent")]
+    assert sorted((r.best.doc_id, r.n) for r in exact_dedup.lookup(index, keys).collect()) == [(3, 3), (149, 2)]
+    texts = spark.createDataFrame([(b"a", "x"), (b"a", "x"), (b"b", "x"), (b"b", "y")], "digest binary, norm string")
+    assert [bytes(r.digest) for r in exact_dedup.unequal_bytes(texts).collect()] == [b"b"]
+
+
 # --- sharding ---
 def test_sharding(spark, docs, rows, tmp_path):
     got = sharding.reshard_documents(docs, str(tmp_path / "a")).collect()
