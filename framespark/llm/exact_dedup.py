@@ -46,7 +46,9 @@ def flush_runs(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame
 
 
 def _write(runs: DataFrame, name: str) -> DataFrame:
-    return materialize(runs.sortWithinPartitions("run", "digest"), name, **{"parquet.bloom.filter.enabled#digest": "true"})
+    # the files' filters are sized for a memtable's digests; without a number each takes 1 MB
+    options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(MEMTABLE_ROWS)}
+    return materialize(runs.sortWithinPartitions("run", "digest"), name, **options)
 
 
 def lookup(index: DataFrame, digests: list[bytes]) -> DataFrame:
