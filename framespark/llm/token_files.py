@@ -43,8 +43,8 @@ SAFE = r"[!-~\xa1-\xac\xae-ᙿ]"
 CUT = re.compile(f"(?= {SAFE})")
 #: The last white space before one of them is a pre-token of its own too. Texts without this are lines of words with single spaces.
 UNSAFE = re.compile(rf"[ \n](?!{SAFE})")
-#: A word's letters and the marks after them are pre-tokens of their own.
-TAIL = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{-~]+)")
+#: A word's letters and the ASCII marks after them are pre-tokens of their own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Words(dict):
@@ -58,9 +58,12 @@ class Encoder:
     """ids of texts as the tokenizers library gives them; each distinct word is encoded once while it is remembered."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.most = Tokenizer.from_file(path), max_words
+        # for words of letters alone, which the pattern doesn't cut
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(self.library.get_vocab_size(), bool)
         self.spaced[[i for w, i in self.library.get_vocab().items() if w.startswith("\u0120")]] = True  # the byte-level sign of a space
@@ -69,8 +72,8 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}  # of pieces as they are
         self.line = self.plain(["\n"])[0]
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def plain(self, texts: list[str], by=None) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in (by or self.library).encode_batch_fast(texts, add_special_tokens=False)]
 
     def piece(self, some: list[str]) -> None:
         new = [p for p in set(some) if p not in self.pieces]
@@ -82,19 +85,32 @@ class Encoder:
         starts = [w[1:] for w in new if w[:1] == "\n"]
         self.piece(starts)
         words.update(("\n" + w, self.line + pieces[w]) for w in starts)
-        cut = {w: TAIL.fullmatch(w) for w in new if w[:1] != "\n"}
-        self.piece([m[2] for m in cut.values() if m])
-        bare = [w for w in {m[1] if m else w for w, m in cut.items()} if w not in words]
-        for at in range(0, len(bare), 2000):
-            some = bare[at : at + 2000]
-            ids = np.frombuffer(self.plain([" " + " ".join(some)])[0], "<u4")
-            heads = np.flatnonzero(self.spaced[ids])
-            if len(heads) == len(some):
-                data, cuts = ids.tobytes(), (heads * 4).tolist()
-                words.update(zip(some, [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
-            else:
-                words.update(zip(some, self.plain([" " + w for w in some]), strict=True))
-        words.update((w, words[m[1]] + pieces[m[2]]) for w, m in cut.items() if m)
+        whole, bare, tails = [], [], []
+        for w in new:
+            if w[:1] != "\n":
+                b = w.rstrip(MARKS)
+                if len(b) < len(w) and b[-1:] < "ɐ" and b[-1:].isalpha():
+                    whole.append(w)
+                    tails.append(w[len(b) :])
+                    w = b
+                bare.append(w)
+        self.piece(tails)
+        bare = [w for w in set(bare) if w not in words]
+        plain = [w for w in bare if w.isalpha() and max(w) < "ɐ"]
+        known = set(plain)
+        for some, by in ((plain, self.letters), ([w for w in bare if w not in known], self.library)):
+            for at in range(0, len(some), 2000):
+                self.learn_words(some[at : at + 2000], by)
+        words.update((w, words[w[: -len(t)]] + pieces[t]) for w, t in zip(whole, tails, strict=True))
+
+    def learn_words(self, some: list[str], by) -> None:
+        ids = np.frombuffer(self.plain([" " + " ".join(some)], by)[0], "<u4")
+        heads = np.flatnonzero(self.spaced[ids])
+        if len(heads) == len(some):
+            data, cuts = ids.tobytes(), (heads * 4).tolist()
+            self.words.update(zip(some, [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
+        else:
+            self.words.update(zip(some, self.plain([" " + w for w in some]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = self.words
@@ -146,98 +162,100 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_count: int = MI
     everywhere, so every round makes a rule. A pair that is frequent in the next round was so before, or has a new symbol,
     so only such places are counted again.
     """
-    s = ids.astype(np.int32)  # symbols number less than ids and base together
-    last = np.zeros(len(s), bool)  # a pair may not begin at the last symbol of a document
-    ends = np.append(starts[1:], len(s)) - 1
-    last[ends[ends >= starts]] = True
-    if len(s):
-        last[-1] = True
+    n = len(ids)
+    s = np.append(ids, 0).astype(np.int32)  # symbols number less than ids and base together
+    # symbols that are gone stay in place; the others are chained
+    after, before, gone = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.zeros(n + 1, bool)
+    opens = np.ones(n + 1, bool)  # no pair begins at the last symbol of a document
+    ends = np.append(starts[1:], n) - 1
+    opens[ends[ends >= starts]] = False
+    opens[n - 1 :] = False
     left, right, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.ones(base, np.int64)]
-    n_symbols, at = base, np.arange(len(s))
-    while True:
-        at = at[~last[at]]
-        pairs = s[at].astype(np.int64) << 32 | s[at + 1]
-        odd = odd_of_runs(at, s[at] == s[at + 1])
-        beaten, at, pairs = at[odd], at[~odd], pairs[~odd]
-        some, counts, at, found = frequent(at, pairs, min_count)
+    n_symbols, at, touched = base, np.flatnonzero(opens), np.zeros(n + 1, bool)
+    while len(at):
+        follow = after[at]
+        x, y = s[at], s[follow]
+        odd = odd_of_runs(at, follow, x == y)
+        pairs = x.astype(np.int64) << 32 | y
+        touched[:] = False
+        if odd is not None:
+            touched[at[odd]] = True
+            at, follow, pairs = at[~odd], follow[~odd], pairs[~odd]
+        some, counts, held, found = frequent(pairs, min_count)
         if not len(some):
             break
-        rank = np.empty(len(some), np.int64)
+        at, follow = at[held], follow[held]
+        rank = np.empty(len(some), np.int32)
         rank[np.argsort(counts, kind="stable")] = np.arange(len(some))
         mine = rank[found]
-        beside = np.diff(at) == 1
+        apart, more = follow[:-1] != at[1:], mine[1:] > mine[:-1]
         wins = np.ones(len(at), bool)
-        wins[1:] &= ~beside | (mine[1:] > mine[:-1])
-        wins[:-1] &= ~beside | (mine[:-1] > mine[1:])
+        wins[1:] = apart | more
+        wins[:-1] &= apart | ~more
         # pairs that keep too few places wait for a later round
         number = np.bincount(found[wins], minlength=len(some)) >= min_count
         wins &= number[found]
-        won, waiting = at[wins], at[~wins]
+        won, second = at[wins], follow[wins]
         s[won] = n_symbols + (np.cumsum(number) - 1)[found[wins]]
-        last[won] = last[won + 1]
-        keep = np.ones(len(s), bool)
-        keep[won + 1] = False
-        place = np.cumsum(keep, dtype=np.int32) - 1
-        s, last = s[keep], last[keep]
-        touched = np.zeros(len(s) + 1, bool)
-        touched[place[won]] = True
-        touched[place[won] - 1] = True  # of the first symbol: the spare place at the end
-        touched[place[waiting[keep[waiting]]]] = True
-        equal = place[beaten[keep[beaten]]]
-        touched[equal] = True
-        at = np.flatnonzero(touched[:-1])
+        opens[won] = opens[second]
+        gone[second] = True
+        third = after[second]
+        after[won], before[third] = third, won
+        touched[at[~wins]] = True
+        touched[won] = True
+        touched[before[won]] = True  # of the first symbol: the spare place at the end
+        at = np.flatnonzero(touched)
+        at = at[opens[at] & ~gone[at]]
         a, b = some[number] >> 32, some[number] & 0xFFFFFFFF
         so_far = np.concatenate(lengths)
         left.append(a)
         right.append(b)
         lengths.append(so_far[a] + so_far[b])
         n_symbols += len(a)
+    s = s[:n][~gone[:n]]
     sizes = np.concatenate(lengths)
     # documents begin where the expansion reaches their first id
     where = np.append(0, np.cumsum(sizes[s]))
     return s, np.searchsorted(where, starts), np.concatenate(left), np.concatenate(right), sizes[base:]
 
 
-def odd_of_runs(at: np.ndarray, equal: np.ndarray) -> np.ndarray:
+def odd_of_runs(at: np.ndarray, follow: np.ndarray, equal: np.ndarray) -> np.ndarray | None:
     """Which places of pairs of one symbol are the second, fourth, ... of a run of such places."""
-    odd = np.zeros(len(at), bool)
     i = np.flatnonzero(equal)
-    if len(i):
-        n = np.arange(len(i))
-        head = np.append(True, np.diff(at[i]) > 1)
-        odd[i] = (n - np.maximum.accumulate(np.where(head, n, 0))) % 2 == 1
+    if not len(i):
+        return None
+    odd, n = np.zeros(len(at), bool), np.arange(len(i))
+    head = np.append(True, follow[i[:-1]] != at[i[1:]])
+    odd[i] = (n - np.maximum.accumulate(np.where(head, n, 0))) % 2 == 1
     return odd
 
 
-def frequent(at: np.ndarray, pairs: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs that occur min_count times, their counts, places of them, number of each place's pair)."""
-    # most others fail at a table of counts by hash
-    slot = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    maybe = np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= min_count if len(at) > 1 << SLOT_BITS - 6 else np.ones(len(at), bool)
-    at, pairs, slot = at[maybe], pairs[maybe], slot[maybe]
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
+def frequent(pairs: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that occur min_count times in order, their counts, where they are, which of them each of those is)."""
     order = np.sort(pairs)
-    heads = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(heads, len(order)))
-    often = counts >= min_count
-    some, counts = order[heads[often]], counts[often]
-    if not len(some):
-        return some, counts, at[:0], at[:0]
-    found = np.minimum(np.searchsorted(some, pairs), len(some) - 1) if len(at) < 1 << SLOT_BITS - 6 else by_slot(some, pairs, slot)
-    same = some[found] == pairs
-    return some, counts, at[same], found[same]
-
-
-def by_slot(some: np.ndarray, pairs: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """np.searchsorted through a table by hash; pairs that share a slot are searched."""
-    own = ((some.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    table_ = np.zeros(1 << SLOT_BITS, np.int32)
-    table_[own] = np.arange(len(some))
-    found = table_[slot].astype(np.int64)
-    clash = np.zeros(1 << SLOT_BITS, bool)
-    clash[own[table_[own] != np.arange(len(some))]] = True
-    again = np.flatnonzero(clash[slot])
-    found[again] = np.minimum(np.searchsorted(some, pairs[again]), len(some) - 1)
-    return found
+    # in order, what begins a long enough run equals its min_count-th
+    many = np.flatnonzero(order[min_count - 1 :] == order[: max(0, len(order) - min_count + 1)])
+    if not len(many):
+        return order[:0], many, many, many
+    some = order[many]
+    heads = np.append(True, some[1:] != some[:-1])
+    some = some[heads]
+    counts = np.diff(np.append(np.flatnonzero(heads), len(many))) + min_count - 1
+    if len(pairs) < 1 << SLOT_BITS - 6:
+        found = np.minimum(np.searchsorted(some, pairs), len(some) - 1)
+    else:  # a table by hash is faster; pairs that share a slot are searched
+        table_, clash, own, slot, nth = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, bool), _slot(some), _slot(pairs), np.arange(len(some))
+        table_[own] = nth
+        found = table_[slot]
+        clash[own[table_[own] != nth]] = True
+        again = np.flatnonzero(clash[slot])
+        found[again] = np.minimum(np.searchsorted(some, pairs[again]), len(some) - 1)
+    held = np.flatnonzero(some[found] == pairs)
+    return some, counts, held, found[held]
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
