@@ -538,6 +538,43 @@ def test_near_duplicates_in_split_buckets(spark):
     assert sorted(got) == sorted(brute_components(rows, 4))
 
 
+def dense_components(texts, k):
+    """The least row reachable of each text, from the common shingles of all pairs."""
+    sets, known = [shingle_set(t, k) for t in texts], {}
+    held = np.zeros((len(sets), len(set().union(*sets))), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [known.setdefault(x, len(known)) for x in s]] = 1
+    common, size = held @ held.T, held.sum(1)
+    linked = 100 * common >= 80 * (size[:, None] + size[None] - common)
+    least = np.arange(len(sets))
+    while True:
+        new = np.where(linked, least[None], len(sets)).min(1)
+        if (new == least).all():
+            return least.tolist()
+        least = new
+
+
+def test_near_duplicates_in_a_dense_family(spark):
+    """3,000 near copies of one text, with links and components of all sizes among them."""
+    rng = random.Random(1)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(80)], []
+    for _ in range(3000):
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(80)] = f"x{rng.randrange(3)}"
+        texts.append(" ".join(w))
+    want = dense_components(texts, 4)
+    assert 1000 < len(set(want)) < 2000
+    got = near_dedup.near_duplicates(frame(spark, [(i, t, None) for i, t in enumerate(texts)]).repartition(8), 4)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(want))
+
+
+def test_digests_tell_sets_apart():
+    sets = [np.array(x, np.uint64) for x in ([], [1], [2], [1, 2], [3], [1, 2])]
+    halves = list(zip(*near_dedup.set_digests(sets), strict=True))
+    assert len(set(halves)) == 5 and halves[3] == halves[5]
+
+
 def test_near_duplicates_in_a_template_crowd(spark):
     """Pairs at 0.82 inside a crowd that shares a template and whose other pairs are at 0.78, once in one block and once in several."""
     ids = random.Random(4).sample(range(10_000), 1000)
