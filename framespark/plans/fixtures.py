@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import index as X
 
 SEED = 42
+#: Ids in a bucket.
+BUCKET = 1 << 16
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,9 +21,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def raw_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as 8 x 8 frames of one channel; label: pixel > 0.125."""
-    e = table(spark, d, "embeddings")
-    item = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    """Embeddings as 8 x 8 frames of one channel; label: pixel > 0.125. Items are numbered in buckets of ids, so no task sorts a file's frames."""
+    e = table(spark, d, "embeddings").withColumn("_bucket", F.expr(f"vec_id div {BUCKET}"))
+    earlier = Window.partitionBy("label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = e.groupBy("label", "_bucket").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("label", "_bucket").orderBy("vec_id")) - 1
+    e = e.withColumn("_inside", inside).join(offsets.select("label", "_bucket", "_offset"), ["label", "_bucket"])
+    item = F.col("_offset") + F.col("_inside")
     return e.select(
         F.col("label").cast("int").alias("file_id"), item.cast("long").alias("item_idx"), F.concat(F.lit("d"), (F.col("vec_id") % 5).cast("string")).alias("detector"), F.lit(1).alias("c"), F.lit(8).alias("h"), F.lit(8).alias("w"),
         F.col("embedding").alias("pixels"), F.transform("embedding", lambda v: (v > 0.125).cast("float")).alias("label"),
@@ -82,6 +89,10 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir or, where it is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", tempfile.mkdtemp(prefix="framespark-"))
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir or, where that is unset and there is one machine (tests), a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.setdefault("dir", tempfile.mkdtemp(prefix="framespark-"))
     return f"{base.rstrip('/')}/framespark/{name}-{uuid.uuid4().hex}"

@@ -32,6 +32,13 @@ def stream_progress(samples: DataFrame, assigned: DataFrame) -> DataFrame:
     return counts.select("rank", "processed", F.floor(F.col("processed") / F.greatest("assigned", F.lit(1))).alias("epochs"))
 
 
+def improvements(evaluations: pd.DataFrame, best: float) -> pd.DataFrame:
+    """Evaluations, in order of step, whose loss is below `best` and all earlier ones."""
+    seen = evaluations.sort_values(["step", "loss"])
+    before = seen["loss"].cummin().shift(fill_value=float("inf")).clip(upper=best).ffill()
+    return seen[seen["loss"] < before]
+
+
 class BestLoss(StatefulProcessor):
     """Emits an evaluation whenever its loss is below all that the run had before."""
 
@@ -39,10 +46,11 @@ class BestLoss(StatefulProcessor):
         self.best = handle.getValueState("best", "loss double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.best.get()[0] if self.best.exists() else float("inf")
-        seen = pd.concat(list(rows)).sort_values(["step", "loss"])
-        before = seen["loss"].cummin().shift(fill_value=float("inf")).clip(upper=best).ffill()
-        better = seen[seen["loss"] < before]
+        best, better = self.best.get()[0] if self.best.exists() else float("inf"), None
+        for some in rows:  # of what came so far only improvements can be improvements of the whole
+            better = improvements(some if better is None else pd.concat([better, some]), best)
+        if better is None:
+            return
         if len(better):
             self.best.update((float(better["loss"].min()),))
         yield pd.DataFrame({"run_id": pd.Series([key[0]] * len(better), dtype=object), "step": better["step"].to_numpy(), "loss": better["loss"].to_numpy()})

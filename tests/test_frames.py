@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import struct
 import zlib
 from datetime import datetime
@@ -323,6 +324,21 @@ def test_eval_loss_without_a_single_number(spark):
     assert E.limit_batches(c, 0).count() == 4 and E.limit_batches(c, 1).count() == 3
 
 
+def test_best_checkpoints_in_buckets_of_steps(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 0, 1]), step, rng.choice([None, float("nan"), float(rng.randint(0, 400)) / (1 + step)])) for step in range(300)]
+    want, best = set(), {}
+    for rank, step, loss in rows:
+        if loss is not None and loss == loss and loss < best.get(rank, float("inf")):
+            best[rank] = loss
+            want.add((rank, step, loss))
+    e = spark.createDataFrame(rows, "rank int, step long, loss double")
+    for bucket in (7, 64, 4096):
+        got = E.best_checkpoints(e, ["rank"], bucket)
+        assert got.columns == ["rank", "step", "loss", "best_before"]
+        assert {(r.rank, r.step, r.loss) for r in got.collect()} == want
+
+
 def test_best_checkpoints_skip_missing_losses(spark):
     e = spark.createDataFrame([(0, 3.0), (1, math.nan), (2, 3.0), (3, None), (4, 1.0)], "step long, loss double")
     assert [r.step for r in E.best_checkpoints(e).orderBy("step").collect()] == [0, 4]
@@ -558,6 +574,15 @@ def test_best_loss_state():
     assert run((6, 4.0)) == [] and run((7, 3.0), (8, 2.0)) == [7, 8]
 
 
+def test_improvements_do_not_depend_on_chunks():
+    rng = random.Random(5)
+    rows = pd.DataFrame([(step, rng.choice([float("nan"), rng.random() * 100 / (1 + step)])) for step in range(200)], columns=["step", "loss"]).sample(frac=1, random_state=1)
+    whole, kept = W.improvements(rows, 90.0), rows[:0]
+    for at in range(0, 200, 30):
+        kept = W.improvements(pd.concat([kept, rows[at : at + 30]]), 90.0)
+    assert len(whole) > 2 and kept.equals(whole)
+
+
 def test_stream_best_loss(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
