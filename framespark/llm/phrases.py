@@ -28,7 +28,7 @@ LEAST, LONGEST, TOP, INSIDE = 100, 5, 2000, 100
 #: Side of a tile; pairs in a chunk from which it is dense, and dense tiles that a task holds.
 TILE, DENSE, HELD = 1024, 1 << 16, 8
 #: Pairs that a task counts at once, and ids in a block.
-CHUNK, BLOCK = 1 << 22, 1 << 16
+CHUNK, BLOCK = 1 << 21, 1 << 16
 #: Entries of a dictionary that are broadcast, their bytes, and those of one word.
 HEAD, HEAD_BYTES, WORD_BYTES = 1 << 18, 16 << 20, 1 << 16
 #: Different words that a task counts at once, and parts of a language in the choice of its first phrases.
@@ -52,7 +52,7 @@ def word_counts(texts: DataFrame, most: int = WORDS) -> DataFrame:
     def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, words in counts.items():
             words.pop(b".", None)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = defaultdict(Counter), 0
