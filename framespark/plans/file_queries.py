@@ -14,7 +14,7 @@ from ..operators.runlog import parse_records
 from ..sources import io as S
 from ..streaming import streams as W
 from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, rounded, scratch, table, total
-from .queries import EV, _batches, _logs, query
+from .queries import EV, RUN, _batches, _logs, query
 
 
 @query("s1_read_manifest", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INT) AS file_id, 's' || s_suppkey AS path FROM supplier")
@@ -126,7 +126,7 @@ def s11(s, d):
     return got.select("step", F.when(F.col("eval_type") == "train", 0).otherwise(1).cast("long").alias("half"), "n", "batches", "missing", "losses")
 
 
-@query("s12_read_run_log", "SELECT '2024_0101_00' || lpad((user_id % 60)::VARCHAR, 2, '0') AS run_id, count(*) AS records FROM events GROUP BY 1")
+@query("s12_read_run_log", f"SELECT {RUN} AS run_id, count(*) AS records FROM events GROUP BY 1")
 def s12(s, d):
     """A folder for each run; the log files in it are whole texts of many records."""
     path = scratch(s, "logs")

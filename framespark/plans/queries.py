@@ -667,43 +667,90 @@ def p6(s, d):
 
 
 # --- run logs --------------------------------------------------------------------------------------------------------
+def _messages() -> list:
+    """The messages that a trainer writes, by event_id % 8: four of training losses, one each of activations, updates, an evaluation and a save."""
+    f, i = F.format_string, lambda e: F.expr(e).cast("string")
+    segment = F.concat(i("event_id div 100 * 100"), F.lit("-"), i("event_id div 100 * 100 + 100"))
+    train = F.concat(
+        F.lit("rank="), i("user_id % 4"), F.lit(" | logevent=LOSS:TRAIN | iteration="), i("event_id"), F.lit(" | segment="), segment, F.lit(" | learning_rate="), f("%.6f", F.col("value") / 1000), F.lit(","), f("%.6f", F.col("value") / 500),
+        F.lit(" | grad_norm="), f("%.6f", "value"), F.lit(" | mean_train_loss="), f("%.6f", F.col("value") * 2), F.lit(" | tokens_per_sec="), f("%.1e", F.col("event_id") * 1.37 + 1000.003), F.lit(" | mfu_per_iteration=0.412 | grad_nosync_counter="), i("event_id % 5"),
+    )
+    num = lambda e: F.when(F.col("event_id") % 11 == 0, "nan").otherwise(F.round(F.expr(e), 3).cast("string"))
+    act = F.concat(F.lit("rank="), i("user_id % 4"), F.lit(" | iteration="), i("event_id div 400"), F.lit(" | logevent=DYNAMICS:ACT | name=stages."), i("event_id div 8 % 3"), F.lit(".act | preact.mean="), num("value"), F.lit(" | preact.std="), num("value / 2"), F.lit(" | act.mean="), num("value * 3"), F.lit(" | act.std="), num("value + 1"))
+    update = F.concat(F.lit("rank="), i("user_id % 4"), F.lit(" | iteration="), i("event_id div 400"), F.lit(" | logevent=DYNAMICS:PARAMS | type=encoder | name=stages."), i("event_id div 8 % 3"), F.lit(".weight | update="), F.when(F.col("event_id") % 11 == 0, "-inf").otherwise(F.concat(F.lit("-"), F.round("value", 3).cast("string"))))
+    evaluation = F.concat(F.lit("[RANK 0] LOSS:EVAL - epoch "), i("event_id div 400"), F.lit(", seg "), i("event_id div 400 * 400"), F.lit("-"), i("event_id div 400 * 400 + 400"), F.lit(", mean "), F.when(F.col("event_id") % 16 == 6, "train").otherwise("validation"), F.lit(" loss = "), f("%.8f", "value"))
+    root = F.concat(F.lit("chkpts/v1."), _run_id())
+    save = F.when(F.col("event_id") % 16 == 7, F.concat(F.lit("Saving checkpoint at "), root, F.lit(".epoch_"), i("event_id div 400"), F.lit(".end_idx_"), i("event_id"), F.lit("."))).otherwise(
+        F.concat(F.lit("[RANK "), i("user_id % 4"), F.lit("] Saving preemptive checkpoint (epoch "), i("event_id div 400"), F.lit(", end_idx "), i("event_id"), F.lit(") at "), root, F.lit(".preempt."))
+    )
+    return [train, act, update, evaluation, save]
+
+
+def _run_id():
+    """A run for every 60 users, named as its start names it."""
+    return F.concat(F.lit("2024_0101_00"), F.lpad(F.col("user_id") % 60, 2, "0"), F.lit("_05"))
+
+
+RUN = "'2024_0101_00' || lpad((user_id % 60)::VARCHAR, 2, '0') || '_05'"
+
+
+def _num_sql(e: str) -> str:
+    return f"CASE WHEN event_id % 11 = 0 THEN 'nan' ELSE round({e}, 3)::VARCHAR END"
+
+
+_MESSAGES_SQL = [
+    "'rank=' || user_id % 4 || ' | logevent=LOSS:TRAIN | iteration=' || event_id || ' | segment=' || event_id // 100 * 100 || '-' || (event_id // 100 * 100 + 100) || ' | learning_rate=' || printf('%.6f', value / 1000) || ',' || printf('%.6f', value / 500) || ' | grad_norm=' || printf('%.6f', value) || ' | mean_train_loss=' || printf('%.6f', value * 2) || ' | tokens_per_sec=' || printf('%.1e', event_id * 1.37::DOUBLE + 1000.003::DOUBLE) || ' | mfu_per_iteration=0.412 | grad_nosync_counter=' || event_id % 5",
+    f"'rank=' || user_id % 4 || ' | iteration=' || event_id // 400 || ' | logevent=DYNAMICS:ACT | name=stages.' || event_id // 8 % 3 || '.act | preact.mean=' || {_num_sql('value')} || ' | preact.std=' || {_num_sql('value / 2')} || ' | act.mean=' || {_num_sql('value * 3')} || ' | act.std=' || {_num_sql('value + 1')}",
+    "'rank=' || user_id % 4 || ' | iteration=' || event_id // 400 || ' | logevent=DYNAMICS:PARAMS | type=encoder | name=stages.' || event_id // 8 % 3 || '.weight | update=' || CASE WHEN event_id % 11 = 0 THEN '-inf' ELSE '-' || round(value, 3)::VARCHAR END",
+    "'[RANK 0] LOSS:EVAL - epoch ' || event_id // 400 || ', seg ' || event_id // 400 * 400 || '-' || (event_id // 400 * 400 + 400) || ', mean ' || CASE WHEN event_id % 16 = 6 THEN 'train' ELSE 'validation' END || ' loss = ' || printf('%.8f', value)",
+    f"CASE WHEN event_id % 16 = 7 THEN 'Saving checkpoint at chkpts/v1.' || {RUN} || '.epoch_' || event_id // 400 || '.end_idx_' || event_id || '.' ELSE '[RANK ' || user_id % 4 || '] Saving preemptive checkpoint (epoch ' || event_id // 400 || ', end_idx ' || event_id || ') at chkpts/v1.' || {RUN} || '.preempt.' END",
+]
+#: Records r(run_id, rank, ts, level, logger, message, event_id, user_id, value).
+REC = f"WITH r AS (SELECT {RUN} AS run_id, CASE WHEN user_id % 60 > 0 THEN CAST(user_id % 4 AS INT) END AS rank, date_trunc('second', ts) AS ts, 'INFO' AS level, '__main__' AS logger, CASE WHEN event_id % 8 < 4 THEN {_MESSAGES_SQL[0]} " + " ".join(f"WHEN event_id % 8 = {k + 3} THEN {m}" for k, m in enumerate(_MESSAGES_SQL) if k) + " END AS message, event_id, user_id, value FROM events) "
+
+
 def _logs(s, d):
-    """Events as log records of two lines; a file holds the records of one user."""
-    head = F.concat(F.date_format("ts", "MM/dd/yyyy HH:mm:ss"), F.lit(" [RANK "), F.col("user_id") % 4, F.lit("] INFO train"))
-    body = F.concat(F.lit("[LOSS:TRAIN] rank="), F.col("user_id") % 4, F.lit(" | iteration="), F.col("event_id"), F.lit(" | segment=0-100 | learning_rate="), F.format_string("%.6f", F.col("value") / 1000), F.lit(" | grad_norm="), F.format_string("%.3f", "value"), F.lit(" | mean_train_loss="), F.format_string("%.4f", F.col("value") * 2), F.lit(" | tokens_per_sec=1.5e+03 | mfu=0.4 | grad_accum_steps=4"))
-    lines = table(s, d, "events").select(F.concat(F.lit("2024_0101_00"), F.lpad(F.col("user_id") % 60, 2, "0")).alias("run_id"), F.concat(head, F.lit("\n"), body, F.lit("\n")).alias("value"))
-    return lines
+    """Events as records of a trainer's rank logs, a header line and a message; the first of 60 runs is a single process, whose headers have no rank."""
+    rank = F.when(F.col("user_id") % 60 > 0, F.concat(F.lit("[RANK "), F.col("user_id") % 4, F.lit("] "))).otherwise("")
+    head = F.concat(F.date_format("ts", "MM/dd/yyyy HH:mm:ss"), F.lit(" "), rank, F.lit("INFO __main__"))
+    train, *others = _messages()
+    message = F.when(F.col("event_id") % 8 < 4, train)
+    for k, m in enumerate(others, 4):
+        message = message.when(F.col("event_id") % 8 == k, m)
+    return table(s, d, "events").select(_run_id().alias("run_id"), F.concat(head, F.lit("\n"), message, F.lit("\n")).alias("value"))
 
 
 def _records(s, d):
     return R.parse_kv(R.parse_records(_logs(s, d)))
 
 
-RUN = "'2024_0101_00' || lpad((user_id % 60)::VARCHAR, 2, '0')"
-
-
-@query("r1_parse_records", f"SELECT {RUN} AS run_id, CAST(user_id % 4 AS INT) AS rank, date_trunc('second', ts) AS ts, 'INFO' AS level, 'train' AS logger, length('[LOSS:TRAIN] rank=' || user_id % 4 || ' | iteration=' || event_id || ' | segment=0-100 | learning_rate=' || printf('%.6f', value / 1000) || ' | grad_norm=' || printf('%.3f', value) || ' | mean_train_loss=' || printf('%.4f', value * 2) || ' | tokens_per_sec=1.5e+03 | mfu=0.4 | grad_accum_steps=4') AS chars FROM events")
+@query("r1_parse_records", REC + "SELECT run_id, rank, ts, level, logger, message FROM r")
 def r1(s, d):
-    return R.parse_records(_logs(s, d)).select("run_id", "rank", "ts", "level", "logger", F.length("message").cast("long").alias("chars"))
+    return R.parse_records(_logs(s, d))
 
 
-@query("r2_parse_kv", "SELECT 'LOSS:TRAIN' AS logevent, event_id::VARCHAR AS iteration, '0-100' AS segment, 9::BIGINT AS keys FROM events")
+@query("r2_parse_kv", REC + "SELECT regexp_extract(message, 'logevent=([A-Z:]+)', 1) AS logevent, nullif(regexp_extract(message, 'iteration=([0-9]+)', 1), '') AS iteration, nullif(regexp_extract(message, 'segment=([0-9-]+)', 1), '') AS segment, CAST(len(string_split(message, ' | ')) AS BIGINT) AS keys FROM r WHERE event_id % 8 < 6 UNION ALL SELECT NULL, NULL, NULL, 0 + contains(message, ' = ')::BIGINT FROM r WHERE event_id % 8 >= 6")
 def r2(s, d):
-    return _records(s, d).select("logevent", F.col("kv")["iteration"].alias("iteration"), F.col("kv")["segment"].alias("segment"), F.size("kv").cast("long").alias("keys"))
+    get = lambda k: F.try_element_at("kv", F.lit(k)).alias(k)
+    return _records(s, d).select("logevent", get("iteration"), get("segment"), F.size("kv").cast("long").alias("keys"))
 
 
-@query("r3_train_curve", f"WITH t AS (SELECT {RUN} AS run_id, CAST(user_id % 4 AS INT) AS rank, event_id AS iteration, printf('%.6f', value / 1000)::DOUBLE AS learning_rate, printf('%.3f', value)::DOUBLE AS grad_norm, printf('%.4f', value * 2)::DOUBLE AS loss FROM events) SELECT run_id, rank, iteration, learning_rate, grad_norm, loss, 1500.0::DOUBLE AS tokens_per_sec, 0.4::DOUBLE AS mfu, 4 AS accum, round(avg(loss) OVER (PARTITION BY run_id, rank ORDER BY iteration ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS smooth_loss FROM t")
+@query("r3_train_curve", f"WITH t AS (SELECT {RUN} AS run_id, CAST(user_id % 4 AS INT) AS rank, event_id AS iteration, printf('%.6f', value / 1000)::DOUBLE AS learning_rate, printf('%.6f', value / 500)::DOUBLE AS second_rate, printf('%.6f', value)::DOUBLE AS grad_norm, printf('%.6f', value * 2)::DOUBLE AS loss, printf('%.1e', event_id * 1.37::DOUBLE + 1000.003::DOUBLE)::DOUBLE AS tokens_per_sec, CAST(event_id % 5 AS INT) AS accum FROM events WHERE event_id % 8 < 4) SELECT run_id, rank, iteration, learning_rate, second_rate, 2 AS rates, grad_norm, loss, tokens_per_sec, 0.412::DOUBLE AS mfu, accum, round(avg(loss) OVER (PARTITION BY run_id, rank ORDER BY iteration ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS smooth_loss FROM t")
 def r3(s, d):
-    return R.train_curve(_records(s, d)).drop("segment").withColumn("smooth_loss", rounded(F.col("smooth_loss")))
+    got = R.train_curve(_records(s, d))
+    rates = {"second_rate": F.col("learning_rates")[1], "rates": F.size("learning_rates"), "smooth_loss": rounded(F.col("smooth_loss"))}
+    return got.withColumns(rates).drop("segment", "learning_rates")
 
 
-@query("r4_activation_stats", "SELECT 'r' || user_id % 3 AS run_id, event_id // 50 AS iteration, 'layer' || event_id % 5 AS name, round(avg(round(value, 3)), 6) AS pre_mean, round(avg(round(value / 2, 3)), 6) AS pre_std FROM events GROUP BY 1, 2, 3")
+@query("r4_activation_stats", REC + "SELECT run_id, event_id // 400 AS iteration, 'stages.' || event_id // 8 % 3 || '.act' AS name, " + ", ".join(f"round(avg(CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE round({e}, 3) END), 6) AS {c}" for c, e in (("pre_mean", "value"), ("pre_std", "value / 2"), ("post_mean", "value * 3"), ("post_std", "value + 1"))) + " FROM r WHERE event_id % 8 = 4 GROUP BY 1, 2, 3")
 def r4(s, d):
-    e = table(s, d, "events")
-    num = lambda c: F.format_string("%s", F.round(c, 3))
-    m = F.concat(F.lit("[DYNAMICS:ACT] iteration="), F.expr("event_id div 50"), F.lit(" | name=layer"), F.col("event_id") % 5, F.lit(" | preact_mean="), num(F.col("value")), F.lit(" | preact_std="), num(F.col("value") / 2), F.lit(" | postact_mean=0 | postact_std=1"))
-    got = R.activation_stats(R.parse_kv(e.select(F.concat(F.lit("r"), F.col("user_id") % 3).alias("run_id"), m.alias("message"))))
-    return got.select("run_id", "iteration", "name", rounded(F.col("pre_mean")).alias("pre_mean"), rounded(F.col("pre_std")).alias("pre_std"))
+    got = R.activation_stats(_records(s, d))
+    return got.select("run_id", "iteration", "name", *[rounded(F.col(c)).alias(c) for c in ("pre_mean", "pre_std", "post_mean", "post_std")])
+
+
+@query("r5_param_update_curve", REC + "SELECT run_id, event_id // 400 AS iteration, 'encoder' AS type, 'stages.' || event_id // 8 % 3 || '.weight' AS name, round(avg(-round(value, 3)) FILTER (event_id % 11 <> 0), 6) AS update, count(*) FILTER (event_id % 11 <> 0) AS ranks FROM r WHERE event_id % 8 = 5 GROUP BY ALL")
+def r5_lines(s, d):
+    return R.param_update_curve(_records(s, d)).withColumn("update", rounded(F.col("update")))
 
 
 @query("r5_param_update_stats", "SELECT l_returnflag || '.' || l_linestatus AS name, round(log10(stddev_samp(l_discount * 0.01) / stddev_samp(l_quantity)), 6) AS percent_update, round(avg(l_discount), 6) AS grad_mean, round(stddev_samp(l_discount), 6) AS grad_std FROM lineitem GROUP BY 1")
@@ -719,19 +766,23 @@ def p7(s, d):
     return R.params_matching(table(s, d, "events").select(name.alias("name")), "layer1", weights_only=True)
 
 
-@query("r6_eval_curve", "WITH e AS (SELECT 'r' || user_id % 3 AS run_id, CAST(event_id // 100 AS INT) AS epoch, CASE WHEN event_id % 2 = 0 THEN 'train' ELSE 'validation' END AS split, round(value, 3) AS loss FROM events), g AS (SELECT run_id, epoch, avg(loss) FILTER (WHERE split = 'train') AS t, avg(loss) FILTER (WHERE split = 'validation') AS v FROM e GROUP BY ALL) SELECT run_id, epoch, 0::BIGINT AS seg_start, 400::BIGINT AS seg_end, round(t, 6) AS train, round(v, 6) AS validation, round(v - t, 6) + 0.0 AS gap FROM g")
+@query("r6_eval_curve", REC + ", g AS (SELECT run_id, CAST(event_id // 400 AS INT) AS epoch, event_id // 400 * 400 AS seg_start, avg(printf('%.8f', value)::DOUBLE) FILTER (event_id % 16 = 6) AS t, avg(printf('%.8f', value)::DOUBLE) FILTER (event_id % 16 <> 6) AS v FROM r WHERE event_id % 8 = 6 GROUP BY ALL) SELECT run_id, epoch, seg_start, seg_start + 400 AS seg_end, round(t, 6) AS train, round(v, 6) AS validation, round(v - t, 6) + 0.0 AS gap FROM g")
 def r6(s, d):
-    e = table(s, d, "events")
-    m = F.concat(F.lit("[LOSS:EVAL] Rank 0 | epoch "), F.expr("event_id div 100"), F.lit(", segment 0-400, mean "), F.when(F.col("event_id") % 2 == 0, "train").otherwise("validation"), F.lit(" loss = "), F.format_string("%.3f", F.round("value", 3)))
-    got = R.eval_curve(e.select(F.concat(F.lit("r"), F.col("user_id") % 3).alias("run_id"), m.alias("message")))
+    got = R.eval_curve(R.parse_records(_logs(s, d)))
     return got.select("run_id", "epoch", "seg_start", "seg_end", *[rounded(F.col(c)).alias(c) for c in ("train", "validation", "gap")])
 
 
-@query("r7_checkpoint_catalog", f"WITH c AS (SELECT DISTINCT {RUN} AS run_id, CAST(event_id // 500 AS INT) AS epoch, event_id AS end_idx, event_id % 9 = 0 AS preempt FROM events), p AS (SELECT 'ck/v1.' || run_id || '.epoch_' || epoch || '.end_idx_' || end_idx || CASE WHEN preempt THEN '.preempt' ELSE '' END AS path, 'v1' AS prefix, * FROM c) SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC, end_idx DESC) = 1 AS latest FROM p")
+_CATALOG = REC + """, k AS (SELECT run_id, ts, CAST(event_id // 400 AS INT) AS epoch, event_id AS end_idx, event_id % 16 <> 7 AS preempt FROM r WHERE event_id % 8 = 7),
+p AS (SELECT 'chkpts/v1.' || run_id || '.epoch_' || epoch || '.end_idx_' || end_idx AS path, run_id, epoch, end_idx, preempt FROM k WHERE NOT preempt
+UNION ALL SELECT 'chkpts/v1.' || run_id || '.preempt', run_id, b[1], b[2], true FROM (SELECT run_id, arg_max((epoch, end_idx), (ts, epoch, end_idx)) AS b FROM k WHERE preempt GROUP BY run_id))
+SELECT path, 'v1' AS prefix, run_id, epoch, end_idx, preempt, row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC, end_idx DESC, preempt DESC) = 1 AS latest FROM p"""
+
+
+@query("r7_checkpoint_catalog", _CATALOG)
 def r7(s, d):
-    run = F.concat(F.lit("2024_0101_00"), F.lpad(F.col("user_id") % 60, 2, "0"))
-    path = F.concat(F.lit("ck/v1."), run, F.lit(".epoch_"), F.expr("event_id div 500"), F.lit(".end_idx_"), F.col("event_id"), F.when(F.col("event_id") % 9 == 0, ".preempt").otherwise(""))
-    return R.checkpoint_catalog(table(s, d, "events").select(path.alias("path")))
+    """The folders that the logs tell of, a preemptive one of each run among them, with the place of its last record."""
+    saves = R.checkpoint_saves(R.parse_records(_logs(s, d)))
+    return R.checkpoint_catalog(saves.select("path").distinct(), saves)
 
 
 @query("r8_run_time", "SELECT event_id, date_trunc('second', ts) AS ts, CAST(strftime(ts, '%Y%m%d%H%M%S') AS BIGINT) AS packed, date_trunc('second', ts) AS unpacked FROM events")

@@ -346,14 +346,30 @@ def test_best_checkpoints_skip_missing_losses(spark):
 
 # --- run logs ---
 LOG = """starting
-01/02/2024 03:04:05 [RANK 3] INFO train
-[LOSS:TRAIN] rank=3 | iteration=7 | segment=0-100 | learning_rate=0.001,0.002 | grad_norm=1.5 | mean_train_loss=0.25 | tokens_per_sec=1e3 | mfu=0.4 | grad_accum_steps=4
-01/02/2024 03:04:06 [RANK 3] WARNING train
+01/02/2024 03:04:05 [RANK 3] INFO __main__
+rank=3 | logevent=LOSS:TRAIN | iteration=7 | segment=0-100 | learning_rate=0.001,0.002 | grad_norm=1.500000 | mean_train_loss=0.250000 | tokens_per_sec=1.0e+03 | mfu_per_iteration=0.412 | grad_nosync_counter=4
+01/02/2024 03:04:06 [RANK 3] WARNING __main__
 two lines
 of = text
 
-01/02/2024 03:04:07 INFO single
-[LOSS:EVAL] Rank 0 | epoch 2, segment 0-400, mean validation loss = nan
+01/02/2024 03:04:07 INFO __main__
+[RANK 0] LOSS:EVAL - epoch 2, seg 0-400, mean validation loss = nan
+01/02/2024 03:04:08 INFO __main__
+[RANK 0] LOSS:EVAL - epoch 2, seg 0-400, mean train loss = 0.12345678
+01/02/2024 03:04:09 [RANK 1] INFO __main__
+rank=1 | iteration=8 | logevent=DYNAMICS:ACT | name=stages.0.act | preact.mean=-0.5 | preact.std=1e-05 | act.mean=0.25 | act.std=nan
+01/02/2024 03:04:09 [RANK 1] INFO __main__
+rank=1 | iteration=8 | logevent=DYNAMICS:PARAMS | type=encoder | name=stem.weight | update=-3.5
+01/02/2024 03:04:09 [RANK 2] INFO __main__
+rank=2 | iteration=8 | logevent=DYNAMICS:PARAMS | type=encoder | name=stem.weight | update=-inf
+01/02/2024 03:04:10 [RANK 0] INFO __main__
+Saving checkpoint at a.b/v1.2024_0102_0304_05.epoch_2.end_idx_400.
+01/02/2024 03:04:11 [RANK 0] INFO __main__
+[RANK 0] Saving preemptive checkpoint (epoch 2, end_idx 300) at a.b/2024_0102_0304_05.preempt.
+01/02/2024 03:04:12 [RANK 1] INFO __main__
+[RANK 1] Saving preemptive checkpoint (epoch 3, end_idx 100) at a.b/2024_0102_0304_05.preempt.
+01/02/2024 03:04:12 [RANK 0] INFO __main__
+[RANK 0] Saving preemptive metadata (epoch 3, end_idx 100) at meta.txt.
 """
 
 
@@ -365,18 +381,27 @@ def test_run_log(spark, tmp_path):
     assert log.select("run_id", "file_rank").first() == ("2024_0102_0304_05", 3)
     records = R.parse_kv(R.parse_records(log))
     rows = records.orderBy("ts").collect()
-    assert [(r["rank"], r.level, r.logger, r.ts) for r in rows] == [(3, "INFO", "train", datetime(2024, 1, 2, 3, 4, 5)), (3, "WARNING", "train", datetime(2024, 1, 2, 3, 4, 6)), (None, "INFO", "single", datetime(2024, 1, 2, 3, 4, 7))]
-    assert rows[1].message == "two lines\nof = text"
-    curve = R.train_curve(records).first()
-    assert (curve.iteration, curve.learning_rate, curve.tokens_per_sec, curve.accum, curve.segment) == (7, 0.001, 1000.0, 4, "0-100")
-    ev = R.eval_curve(records).first()
-    assert ev.epoch == 2 and ev.train is None and math.isnan(ev.validation)
+    assert [(r["rank"], r.level, r.logger, r.ts) for r in rows[:3]] == [(3, "INFO", "__main__", datetime(2024, 1, 2, 3, 4, 5)), (3, "WARNING", "__main__", datetime(2024, 1, 2, 3, 4, 6)), (None, "INFO", "__main__", datetime(2024, 1, 2, 3, 4, 7))]
+    assert rows[1].message == "two lines\nof = text" and len(rows) == 11
+    curve = R.train_curve(records).collect()
+    assert [(r.iteration, r.learning_rates, r.learning_rate, r.grad_norm, r.loss, r.tokens_per_sec, r.mfu, r.accum, r.segment, r["rank"]) for r in curve] == [(7, [0.001, 0.002], 0.001, 1.5, 0.25, 1000.0, 0.412, 4, "0-100", 3)]
+    (ev,) = R.eval_curve(records).collect()
+    assert (ev.epoch, ev.seg_start, ev.seg_end, ev.train) == (2, 0, 400, 0.12345678) and math.isnan(ev.validation)
+    (act,) = R.activation_stats(records).collect()
+    assert (act.iteration, act.name, act.pre_mean, act.pre_std, act.post_mean) == (8, "stages.0.act", -0.5, 1e-05, 0.25) and math.isnan(act.post_std)
+    assert [tuple(r) for r in R.param_update_curve(records).collect()] == [("2024_0102_0304_05", 8, "encoder", "stem.weight", -3.5, 1)]
+    saves = R.checkpoint_saves(records)
+    assert sorted((r.path, r.preempt, r.epoch, r.end_idx) for r in saves.collect()) == [("a.b/2024_0102_0304_05.preempt", True, 2, 300), ("a.b/2024_0102_0304_05.preempt", True, 3, 100), ("a.b/v1.2024_0102_0304_05.epoch_2.end_idx_400", False, 2, 400)]
+    paths = saves.select("path").distinct().unionByName(spark.createDataFrame([("a.b/2024_0102_0304_05.epoch_2.end_idx_9.preempt",), ("a.b/note.txt",)], "path string"))
+    catalog = {(r.path.rsplit("/", 1)[1], r.prefix, r.epoch, r.end_idx, r.preempt, r.latest) for r in R.checkpoint_catalog(paths, saves).collect()}
+    assert catalog == {("2024_0102_0304_05.preempt", "", 3, 100, True, True), ("v1.2024_0102_0304_05.epoch_2.end_idx_400", "v1", 2, 400, False, False)}
+    assert {(r.preempt, r.epoch, r.latest) for r in R.checkpoint_catalog(paths).collect()} == {(True, None, False), (False, 2, True)}
 
 
 def test_of_a_repeated_key_the_last_value_holds(spark):
-    df = spark.createDataFrame([("[X] a=1 | b= 2=3 | a=4 | no pair | =5",), ("plain",), (None,)], "message string")
+    df = spark.createDataFrame([("logevent=X | a=1 | b= 2=3 | a=4 | no pair | =5",), ("plain",), (None,)], "message string")
     rows = R.parse_kv(df).collect()
-    assert rows[0].logevent == "X" and rows[0].kv == {"a": "4", "b": "2=3", "": "5"}
+    assert rows[0].logevent == "X" and rows[0].kv == {"logevent": "X", "a": "4", "b": "2=3", "": "5"}
     assert rows[1].kv == {} and rows[1].logevent is None and not rows[2].kv
 
 
