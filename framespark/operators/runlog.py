@@ -47,6 +47,12 @@ def _number(key: str, to: str = "double") -> Column:
     return _text(key).try_cast(to)
 
 
+def _of(records: DataFrame, event: str) -> DataFrame:
+    """Records of an event. The plain search in the message is pushed below the parsing of pairs, so others aren't parsed."""
+    kept = records.where(F.col("message").contains(f"logevent={event}")) if "message" in records.columns else records
+    return kept.where(F.col("logevent") == event)
+
+
 def _rank() -> Column:
     """The header's rank, or that of the message where a single process wrote the header."""
     return F.coalesce("rank", _number("rank", "int")).alias("rank")
@@ -59,7 +65,7 @@ def train_curve(records: DataFrame, window: int = 5) -> DataFrame:
     last exchanged; smooth_loss is the mean of the last `window` iterations.
     """
     rates = F.transform(F.split(_text("learning_rate"), ","), lambda r: r.try_cast("double"))
-    got = records.where(F.col("logevent") == "LOSS:TRAIN").select(
+    got = _of(records, "LOSS:TRAIN").select(
         "run_id", _rank(), _number("iteration", "long").alias("iteration"), _text("segment").alias("segment"), rates.alias("learning_rates"), F.try_element_at(rates, F.lit(1)).alias("learning_rate"),
         _number("grad_norm").alias("grad_norm"), _number("mean_train_loss").alias("loss"), _number("tokens_per_sec").alias("tokens_per_sec"), _number("mfu_per_iteration").alias("mfu"), _number("grad_nosync_counter", "int").alias("accum"),
     )
@@ -69,7 +75,7 @@ def train_curve(records: DataFrame, window: int = 5) -> DataFrame:
 
 def activation_stats(records: DataFrame) -> DataFrame:
     """R4. (run_id, iteration, name, pre_mean, pre_std, post_mean, post_std) of DYNAMICS:ACT records, averaged over ranks: a module's values before and after its activation."""
-    got = records.where(F.col("logevent") == "DYNAMICS:ACT")
+    got = _of(records, "DYNAMICS:ACT")
     keys = {"pre_mean": "preact.mean", "pre_std": "preact.std", "post_mean": "act.mean", "post_std": "act.std"}
     flat = got.select("run_id", _number("iteration", "long").alias("iteration"), _text("name").alias("name"), *[_number(k).alias(c) for c, k in keys.items()])
     return flat.groupBy("run_id", "iteration", "name").agg(*[F.avg(c).alias(c) for c in keys])
@@ -77,7 +83,7 @@ def activation_stats(records: DataFrame) -> DataFrame:
 
 def param_update_curve(records: DataFrame) -> DataFrame:
     """R5. (run_id, iteration, type, name, update, ranks) of DYNAMICS:PARAMS records: log10 of the relative size of each parameter's update, averaged over the ranks that logged a finite one. A parameter without any has a null update and 0 ranks."""
-    got = records.where(F.col("logevent") == "DYNAMICS:PARAMS")
+    got = _of(records, "DYNAMICS:PARAMS")
     update = _number("update")
     finite = F.when(~F.isnan(update) & (F.abs(update) != float("inf")), update)
     flat = got.select("run_id", _number("iteration", "long").alias("iteration"), _text("type").alias("type"), _text("name").alias("name"), finite.alias("update"))
