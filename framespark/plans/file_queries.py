@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators import shards as B
 from ..operators import transforms as T
+from ..operators.index import locate
 from ..operators.runlog import parse_records
 from ..sources import io as S
+from ..sources import items as I
 from ..streaming import streams as W
 from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, rounded, scratch, table, total
-from .queries import EV, RUN, _batches, _logs, query
+from .queries import EV, ORACLE_SQL, RUN, _batches, _logs, query
 
 
 @query("s1_read_manifest", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INT) AS file_id, 's' || s_suppkey AS path FROM supplier")
@@ -46,8 +48,41 @@ def s3(s, d):
     return found.select(F.regexp_extract("store", "([^/]+)$", 1).alias("store"), "files", ((F.col("bytes") > 0) & F.col("modified").isNotNull()).alias("filled"))
 
 
-def _write_stores(s, d, path: str, names: tuple[str, str], tile: tuple[int, ...], label_planes: int) -> None:
-    """Frames as zarr stores, one a file, in chunks of 16 frames cut into tiles; labels stacked `label_planes` times, in zlib."""
+def blosc_frame(data: bytes, size: int, codec: str, bits: bool, block: int) -> bytes:
+    """A Blosc frame of elements of `size` bytes; full blocks have a stream for each byte of an element if the codec is lz4."""
+    import struct
+
+    import pyarrow as pa
+
+    split, starts, body = codec == "lz4" and block // size >= 128, [], b""
+    count = -(-len(data) // block)
+    for i in range(count):
+        part = np.frombuffer(data[i * block : (i + 1) * block], np.uint8)
+        n = len(part) // size
+        head, tail = part[: n * size].reshape(n, size), part[n * size :]
+        if not bits:
+            part = np.concatenate([head.T.ravel(), tail])
+        elif n % 8 == 0:
+            part = np.concatenate([np.packbits(np.unpackbits(head, axis=1, bitorder="little").T, axis=1, bitorder="little").ravel(), tail])
+        starts.append(16 + 4 * count + len(body))
+        for stream in np.split(part, size) if split and len(part) == block else [part]:
+            packed = pa.Codec("lz4_raw" if codec == "lz4" else codec).compress(stream.tobytes(), asbytes=True)
+            packed = packed if len(packed) < len(stream) else stream.tobytes()
+            body += struct.pack("<i", len(packed)) + packed
+    flags = (4 if bits else 1) | (0 if split else 16) | {"lz4": 1, "zstd": 4}[codec] << 5
+    return struct.pack("<BBBBIII", 2, 1, flags, size, len(data), block, 16 + 4 * count + len(body)) + struct.pack(f"<{count}i", *starts) + body
+
+
+#: How chunks of images and labels are packed: zarr's description of the codec, and the codec.
+PLAIN = ((None, bytes), ({"id": "zlib", "level": 1}, zlib.compress))
+BLOSC = (
+    ({"id": "blosc", "cname": "lz4", "clevel": 5, "shuffle": 1, "blocksize": 0}, lambda b: blosc_frame(b, 4, "lz4", False, 640)),
+    ({"id": "blosc", "cname": "zstd", "clevel": 5, "shuffle": 2, "blocksize": 0}, lambda b: blosc_frame(b, 4, "zstd", True, 256)),
+)
+
+
+def _write_stores(s, d, path: str, names: tuple[str, str], tile: tuple[int, ...], label_planes: int, packing=PLAIN) -> None:
+    """Frames as zarr stores, one a file, in chunks of 16 frames cut into tiles; labels stacked `label_planes` times."""
     planes = {names[0]: 1, names[1]: label_planes}
     shape = lambda name, n: [n, *([planes[name]] if len(tile) == 3 else []), 8, 8]
 
@@ -62,17 +97,17 @@ def _write_stores(s, d, path: str, names: tuple[str, str], tile: tuple[int, ...]
     def store(pdf):
         block = f"{path}/f{pdf['file_id'][0]}.zarr"
         pdf = pdf.sort_values("item_idx")
-        for name, column in zip(names, ("pixels", "label"), strict=True):
+        for name, column, (codec, pack) in zip(names, ("pixels", "label"), packing, strict=True):
             n = shape(name, len(pdf))
             values = np.stack(pdf[column].map(lambda v: np.asarray(v, "<f4").reshape(n[1:])))
             chunks = [16, *tile]
-            meta = {"zarr_format": 2, "shape": n, "chunks": chunks, "dtype": "<f4", "order": "C", "fill_value": 0, "filters": None, "compressor": {"id": "zlib", "level": 1} if name == names[1] else None}
+            meta = {"zarr_format": 2, "shape": n, "chunks": chunks, "dtype": "<f4", "order": "C", "fill_value": 0, "filters": None, "compressor": codec}
             put(f"{block}/{name}/.zarray", json.dumps(meta).encode())
             for at in np.ndindex(*[-(-a // b) for a, b in zip(n, chunks, strict=True)]):
                 part, full = values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks, strict=True))], np.zeros(chunks, "<f4")
                 full[tuple(slice(k) for k in part.shape)] = part
                 if full.any():  # what is all fill value is left out
-                    put(f"{block}/{name}/{'.'.join(map(str, at))}", zlib.compress(full.tobytes()) if meta["compressor"] else full.tobytes())
+                    put(f"{block}/{name}/{'.'.join(map(str, at))}", pack(full.tobytes()))
         return pdf[["file_id"]].head(1)
 
     f = frames(s, d).withColumn("label", F.flatten(F.array_repeat("label", label_planes)))
@@ -91,6 +126,43 @@ def s5(s, d):
     return digest(got.withColumn("both", F.concat("pixels", "label")), "both", *_INGESTED.split(", "))
 
 
+@query("s5_ingest_blosc", ORACLE_SQL["s5_ingest_containers"])
+def s5_blosc(s, d):
+    """The same in Blosc frames: lz4 shuffled by bytes with split blocks, and zstd shuffled by bits."""
+    path = scratch(s, "containers")
+    _write_stores(s, d, path, ("images", "labels"), (8, 8), 1, BLOSC)
+    got = S.ingest_containers(s, path).withColumn("file_id", F.regexp_extract("store", r"f(\d+)\.zarr$", 1).cast("int"))
+    return digest(got.withColumn("both", F.concat("pixels", "label")), "both", *_INGESTED.split(", "))
+
+
+def _stores(s, d, path: str):
+    """Stores in Blosc frames, and their manifest."""
+    _write_stores(s, d, path, ("images", "labels"), (8, 3), 1, BLOSC)
+    return manifest(s, d).select("file_id", F.concat(F.lit(f"{path}/f"), "file_id", F.lit(".zarr")).alias("path"))
+
+
+@query("x3_read_items", digest_sql("list_concat(px, lab)", "(SELECT user_id AS id, file_id, item_idx, CASE WHEN frame_id IS NULL THEN 'index out of range' END AS error, px, lab FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN f ON frame_id = user_id)", "id, file_id, item_idx, error"))
+def x3_items(s, d):
+    """The items that users of the events ask for by global id, each read from the chunk that holds it; ids beyond the last are errors."""
+    stores = _stores(s, d, scratch(s, "containers"))
+    ix = I.index_of_counts(stores, I.refresh_counts(stores))
+    ids = table(s, d, "events").select(F.col("user_id").alias("id")).distinct()
+    got = I.read_items(locate(ids, ix)).withColumn("file_id", F.regexp_extract("path", r"f(\d+)\.zarr$", 1).try_cast("int"))
+    return digest(got.withColumn("both", F.concat("pixels", "label")), "both", "id", "file_id", "item_idx", "error")
+
+
+@query("s10_refresh_counts", FR + "SELECT file_id, n, start, file_id % 3 = 0 AS counted FROM ix")
+def s10_delta(s, d):
+    """An index whose cache lacks some stores and is older than others: only those are counted."""
+    stores = _stores(s, d, scratch(s, "containers"))
+    cached = scratch(s, "counts")
+    before = F.when(F.col("file_id") % 2 == 0, F.col("modified") - F.expr("interval 1 day")).otherwise(F.col("modified"))
+    known = I.refresh_counts(stores).join(stores, "path")
+    known.where(F.col("file_id") % 6 != 3).withColumn("modified", F.when(F.col("file_id") % 3 == 0, before).otherwise(F.col("modified"))).write.parquet(cached)
+    counts = I.refresh_counts(stores, s.read.parquet(cached))
+    return I.index_of_counts(stores, counts).join(counts.select("path", "counted"), "path").select("file_id", "n", "start", "counted")
+
+
 @query("s6_ingest_distill", digest_sql("list_concat(list_transform(range(16), lambda i: (lab[(i // 4) * 16 + (i % 4) * 2 + 1] + lab[(i // 4) * 16 + (i % 4) * 2 + 2] + lab[(i // 4) * 16 + (i % 4) * 2 + 9] + lab[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4), list_transform(range(16), lambda i: (lab[(i // 4) * 16 + (i % 4) * 2 + 1] + lab[(i // 4) * 16 + (i % 4) * 2 + 2] + lab[(i // 4) * 16 + (i % 4) * 2 + 9] + lab[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4))", "f", "file_id, item_idx"))
 def s6(s, d):
     """Containers whose targets have two channels, each of which a transform acts on."""

@@ -9,11 +9,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import gauss, u
 from ..schema import FRAMES
+from .blosc import decode_blosc
 
 HEADERS = ("directory_path", "path")
 #: The first line of a log record.
@@ -76,11 +78,22 @@ def stacked(path: str, image: np.ndarray, label: np.ndarray):
             yield path, i, *image[i].shape[-2:], image[i].astype(np.float32).ravel(), label[i].astype(np.float32).ravel(), None
 
 
+def zstandard_bytes(data: bytes) -> bytes:
+    """All of a zstd stream, whether its header tells the size or not."""
+    return pa.CompressedInputStream(pa.BufferReader(data), "zstd").read()
+
+
 def decode_chunk(data: bytes, meta: dict) -> np.ndarray:
-    """A chunk of a zarr v2 array; codecs other than none, zlib and gzip are an error."""
+    """A chunk of a zarr v2 array; codecs other than none, zlib, gzip, lz4, zstd and blosc are an error."""
     codec = (meta.get("compressor") or {}).get("id")
     if codec in ("zlib", "gzip"):
         data = zlib.decompress(data, 47)
+    elif codec == "blosc":
+        data = decode_blosc(data)
+    elif codec == "zstd":
+        data = zstandard_bytes(data)
+    elif codec == "lz4":  # a length, then a raw block
+        data = pa.Codec("lz4_raw").decompress(data[4:], struct.unpack("<I", data[:4])[0]).to_pybytes()
     elif codec is not None:
         raise ValueError(f"codec {codec} can't be read")
     return np.frombuffer(data, meta["dtype"]).reshape(meta["chunks"], order=meta.get("order", "C"))
