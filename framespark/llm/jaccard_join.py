@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, map_batches, materialize, table
-from .near_dedup import WordHashes, components, joining, mixed, one_of_each, set_digests, shingles, texts_near
+from .near_dedup import LOWER_BYTES, WordHashes, components, joining, mixed, one_of_each, set_digests, texts_near
 
 #: Words in a shingle and percent of the query.
 QUERY_SHINGLE, QUERY_PERCENT = 4, 85
@@ -37,12 +37,43 @@ PART = 2000
 #: One more token must be shared for so many in a set (l = 1 + n // STEP).
 STEP = 32
 #: Buckets of tokens by leading bits, of which heavy ones come last in the order; a task reports so many, and so many are kept.
-BUCKET_BITS, REPORTED, HEAVY = 20, 4096, 1 << 16
+BUCKET_BITS, REPORTED, HEAVY = 24, 1 << 16, 1 << 18
 #: Times the mean of all buckets, and occurrences, from which a bucket is heavy.
 TIMES, LEAST = 8, 64
 #: Classes that a task remembers to send each once.
 SEEN = 1 << 20
 _U = np.uint64
+#: Odd factors of the words of a shingle by place, drawn once: shingles have so many words at most.
+_FACTORS = np.random.default_rng(31).integers(0, 2**63, 64).astype(_U) * _U(2) + _U(1)
+
+
+def shingle_sets(texts: list[str | None], k: int, hashes: WordHashes) -> list[np.ndarray]:
+    """Sorted hashes of the distinct k-word shingles of each text; of the whole sequence if it is shorter; none without words."""
+    words = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() for t in texts]
+    sizes = np.array([len(w) for w in words])
+    ids = np.concatenate([np.zeros(0, _U), *(hashes.of(w) for w in words)])
+    padded = np.concatenate([ids, np.zeros(k, _U)])
+    value = np.full(len(ids), k, _U)
+    for i in range(k):
+        value += padded[i : i + len(ids)] * _FACTORS[i]
+    value = mixed(value)
+    out, at = [], 0
+    for n in sizes.tolist():
+        if n >= k:
+            out.append(np.unique(value[at : at + n - k + 1]))
+        elif n:
+            short = _U(n)
+            for i in range(n):
+                short = mixed(short + ids[at + i : at + i + 1] * _FACTORS[i])
+            out.append(short)
+        else:
+            out.append(np.zeros(0, _U))
+        at += n
+    return out
+
+
+def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
+    return shingle_sets([text], k, hashes)[0]
 
 
 def bucket(tokens: np.ndarray) -> np.ndarray:
@@ -54,15 +85,15 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     seeds = np.random.default_rng(29).integers(0, 2**63, VALUES).astype(_U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
+        hashes, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int32)
         names = ["doc_id", "n", "h1", "h2", "m", "heavy"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
-                sets = [shingles(t, k, hashes) for t in texts[at : at + 256]]
+                sets = shingle_sets(texts[at : at + 256], k, hashes)
                 sizes = np.array([len(s) for s in sets])
                 every, full = np.concatenate(sets), sizes > 0
-                counts += np.bincount(bucket(every), minlength=len(counts))
+                np.add.at(counts, bucket(every), 1)
                 values = np.zeros((len(sets), VALUES), np.int64)
                 if len(every):
                     starts = (np.cumsum(sizes) - sizes)[full]
@@ -73,7 +104,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sizes), pa.array(h1.copy().view(np.int64)), pa.array(h2.copy().view(np.int64)), m, pa.nulls(len(sets), pa.binary())], names=names)
         top = np.flatnonzero(counts > TIMES * counts.mean() + TIMES)
         top = top[np.argsort(-counts[top], kind="stable")[:REPORTED]]
-        many = np.stack([top, counts[top]], axis=1).tobytes() + np.array([-1, counts.sum()]).tobytes()
+        many = np.stack([top, counts[top].astype(np.int64)], axis=1).tobytes() + np.array([-1, counts.sum(dtype=np.int64)]).tobytes()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([None], pa.list_(pa.int64())), pa.array([many], pa.binary())], names=names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -115,7 +146,7 @@ def links_in_groups(rows: DataFrame, texts: DataFrame, keys: list[str], k: int,
     def run(group: pa.Table) -> pa.Table:
         hashes = WordHashes()
         ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
-        sets = [shingles(t, k, hashes) for t in group.column("text").to_pylist()]
+        sets = shingle_sets(group.column("text").to_pylist(), k, hashes)
         names, members = np.unique(component, return_counts=True)
         left = np.flatnonzero(component != names[np.argmax(members)])
         # either member of a pair outside the largest component meets all others
@@ -166,18 +197,15 @@ def prefixes(texts: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
         hashes, seen = WordHashes(), set()
         for batch in batches:
             tok, c, at = [], [], []
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text, k, hashes)
-                if not len(tokens):
-                    continue
-                h1, h2 = set_digests([tokens])
-                if (both := (int(h1[0]), int(h2[0]))) in seen:
+            sets = [s for s in shingle_sets(batch.column(0).to_pylist(), k, hashes) if len(s)]
+            for tokens, h1, h2 in zip(sets, *set_digests(sets), strict=True):
+                if (both := (int(h1), int(h2))) in seen:
                     continue
                 seen.add(both)
                 longest = prefix_lengths(len(tokens), percent)[1]
                 first = tokens[np.argsort(held.value[bucket(tokens)], kind="stable")[:longest]]
                 tok.append(first)
-                c.append(np.full(len(first), h1[0]))
+                c.append(np.full(len(first), h1))
                 at.append((len(tokens) << 32) + np.arange(len(first)))
             if len(seen) > SEEN:
                 seen.clear()
@@ -218,7 +246,7 @@ def unions(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         hashes = WordHashes()
-        every = np.unique(np.concatenate([shingles(t, k, hashes) for t in group.column("text").to_pylist()]))
+        every = np.unique(np.concatenate(shingle_sets(group.column("text").to_pylist(), k, hashes)))
         return pa.table({"grp": group.column("grp")[:1], "tokens": pa.array([every.tobytes()], pa.binary())})
 
     with_texts = members.join(texts_near(texts, members.select("id")), "id").select("grp", "text")
@@ -256,7 +284,7 @@ def opened(asked: DataFrame, members: DataFrame, texts: DataFrame, k: int, perce
     def run(group: pa.Table) -> pa.Table:
         hashes = WordHashes()
         ids, component, query = (group.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "query"))
-        sets = [shingles(t, k, hashes) for t in group.column("text").to_pylist()]
+        sets = shingle_sets(group.column("text").to_pylist(), k, hashes)
         links = joining(sets, component, np.flatnonzero(query), np.flatnonzero(~query), percent)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in links], pa.int64())})
 
@@ -278,6 +306,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     are linked with nothing. Rows with a null doc_id are linked with nothing, component null; repeated doc_ids are in one component
     with whatever either of their texts is linked to. An empty table gives none; texts of any length are read whole; other columns are ignored.
     """
+    if not 0 < k <= len(_FACTORS):
+        raise ValueError(f"shingles have 1 to {len(_FACTORS)} words")
     signed = materialize(signatures(docs, k, id_col, text_col), "join_signatures")
     rows = signed.where("n >= 0").select("doc_id", "n", "h1", "h2", "m")
     classes = materialize(rows.where("doc_id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("m").alias("m")), "join_classes")

@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framespark.llm import clustering, phrases
+from framespark.llm import clustering, jaccard_join, phrases
+from framespark.llm.near_dedup import WordHashes
 
 
 # --- clustering ---
@@ -131,7 +132,7 @@ def test_phrases(spark, least, longest, inside):
     rows = prose(least)
     docs = spark.createDataFrame([(t, g, 1, "k", 2) for t, g in rows], "text string, lang string, n int, word string, id int").repartition(5)
     want = mined(rows, least, longest, 30, inside)
-    for head in (phrases.HEAD, 3, 0):  # all keys by broadcast, some and all of them by the join
+    for head in (phrases.HEAD, 3, 0) if longest == 5 else (3,):  # all keys by broadcast, some and all of them by the join
         got = phrases.mine_phrases(docs, least, longest, 30, inside, head=head)
         assert sorted(tuple(r[n] for n in NAMES) for r in got.collect()) == want
     assert len(want) > 20 or longest == 2
@@ -193,3 +194,110 @@ def test_queries_equal_their_sql(spark, sf_dir, module, sql, query):
     names = [c[0] for c in want.description]
     got = query(spark, sf_dir).select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+# --- Jaccard join ---
+def joined(rows, k, percent):
+    """{doc_id: (n, component)} by all pairs."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    parent, reps, sizes = {}, {}, defaultdict(set)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def join(a, b):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
+        s = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+        sizes[i].add(len(s))
+        if i is None:
+            continue
+        parent.setdefault(i, i)
+        if s:
+            join(i, reps.setdefault(s, i))
+    sets, links = list(reps.items()), 0
+    for x in range(len(sets)):
+        for y in range(x):
+            both = len(sets[x][0] & sets[y][0])
+            if both and 100 * both >= percent * (len(sets[x][0]) + len(sets[y][0]) - both):
+                join(sets[x][1], sets[y][1])
+                links += 1
+    return {(i, n, None if i is None else root(i)) for i, ns in sizes.items() for n in ns}, links
+
+
+def crowd(seed, families=6, size=25):
+    """Families of near copies around the limit, a template that many share without being similar, copies and odd texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    texts = [None, "", " \t\n", "one", "ONE", "one two", "one two three", "one  two\tthree", "x" * 5000, "é 日本 \u00a0 x y z"]
+    for f in range(families):
+        base = [word() for _ in range(rng.choice([6, 30, 90, 250]))]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 60 + f % 3))):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 2)] = [word()] * rng.randint(0, 2)
+            texts.append(" ".join(w))
+    template = [word() for _ in range(120)]
+    for _ in range(60):
+        own = [word() for _ in range(rng.choice([12, 14, 30]))]
+        texts.append(" ".join(template[: rng.choice([100, 120])] + own))
+    rng.shuffle(texts)
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    return rows + [rows[20]] * 30 + [(5000, rows[30][1]), (5000, rows[60][1]), (None, rows[40][1]), (None, None)]
+
+
+@pytest.mark.parametrize("k,percent", [(4, 85), (2, 70)])
+def test_jaccard_join(spark, k, percent):
+    rows = crowd(k)
+    docs = spark.createDataFrame([(i, t, 1, 2, "x", 3) for i, t in rows], "doc_id long, text string, n int, id int, grp string, component int").repartition(6)
+    want, links = joined(rows, k, percent)
+    assert links > 50
+    for weight, part in ((jaccard_join.WEIGHT, jaccard_join.PART), (1500, 10)):  # small groups: links across them must be found by the matrix
+        got = jaccard_join.jaccard_join(docs, k, percent, weight=weight, part=part).collect()
+        assert len(got) == len(rows)
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_the_matrix_alone_finds_all_links(spark, monkeypatch):
+    """Without groups found beforehand every set is a group of its own."""
+    rows = crowd(11, 4, 15)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "families", lambda classes, *_: spark.createDataFrame([], "a long, b long"))
+    want, _ = joined(rows, 4, 85)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs, 4, 85).collect()} == want
+
+
+def test_jaccard_join_of_nothing_and_of_long_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_join.jaccard_join(docs).collect()} == {(1, 0, 1), (2, 0, 2)}
+    assert jaccard_join.jaccard_join(docs.limit(0)).collect() == []
+    rng = random.Random(1)
+    long = " ".join(str(rng.randrange(10**9)) for _ in range(220_000))  # over 2 MB
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "y" * 2_000_000), (4, long[: len(long) // 2])], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_join(docs, 4, 85).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
+def test_prefixes_of_similar_sets_share_enough():
+    """The bound behind the matrix, for all sizes and the least overlap that links."""
+    for percent in (70, 80, 85, 95):
+        for n in range(1, 150):
+            for s in range(n, n * 100 // percent + 1):
+                least = jaccard_join.least_shared(n, s, percent)
+                small, _, shared = jaccard_join.prefix_lengths(n, percent)
+                _, large, _ = jaccard_join.prefix_lengths(s, percent)
+                assert 100 * least >= percent * (n + s - least) and shared <= least <= n
+                assert n - least + shared <= small and s - least + shared <= large  # l shared tokens lie in both
+
+
+def test_shingles_are_whole_words_in_order():
+    hashes = WordHashes()
+    sets = jaccard_join.shingle_sets(["a b c d e", "A  b\tc d", "b a c d", "a b", "", None, "ab", "a b c d a b c d"], 4, hashes)
+    assert [len(s) for s in sets] == [2, 1, 1, 1, 0, 0, 1, 4]
+    assert sets[1][0] in sets[0] and sets[1][0] in sets[7] and len({int(s[0]) for s in sets[1:4]} | {int(sets[6][0])}) == 4
+    assert all(np.array_equal(x, jaccard_join.shingles(t, 4, hashes)) for x, t in zip(sets, ["a b c d e", "A  b\tc d", "b a c d", "a b", "", None, "ab", "a b c d a b c d"], strict=True))
