@@ -20,8 +20,8 @@ MAX_RULES = 1000
 MAX_BLOCKS = 1 << 16
 #: Rows from which a URL is hot, and the parts that its rows are spread over.
 HOT_ROWS, SALTS = 10_000, 16
-#: Pages of fewer bytes of HTML are thin; their URLs make the list of the query.
-THIN_BYTES = 1300
+#: Pages of fewer bytes of HTML are thin; hosts with so many percent of the usual share of them make the list of the query.
+THIN_BYTES, THIN_PERCENT = 1300, 125
 
 
 def host_of(url: Column) -> Column:
@@ -82,14 +82,23 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     return out.select("page_id", "host", "path", "canonical", "rule", "listed", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-def listed_thin(pages: DataFrame, least_bytes: int = THIN_BYTES, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """A list that URLs don't decide: canonical forms of the pages with little HTML. Another crawl of such a page is listed too."""
-    return pages.where(F.octet_length(html_col) < least_bytes).select(canonical(F.col(url_col)).alias("canonical"))
+def listed_of_thin_hosts(pages: DataFrame, least_bytes: int = THIN_BYTES, percent: int = THIN_PERCENT, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """A list that no column of a page decides: canonical forms of all pages of hosts with many thin pages.
+
+    A host is listed if its share of pages of fewer than `least_bytes` bytes of HTML is at least `percent` percent of that of all
+    pages, and it has any. Null HTML isn't thin; URLs without `://` have no host and aren't listed. Hosts are counted in
+    tasks first, and what joins the pages is one row a host.
+    """
+    read = pages.select(host_of(F.col(url_col)).alias("h"), canonical(F.col(url_col)).alias("canonical"), F.coalesce((F.octet_length(html_col) < least_bytes).cast("int"), F.lit(0)).alias("thin")).where("canonical is not null")
+    hosts = read.groupBy("h").agg(F.sum("thin").alias("thin"), F.count("*").alias("pages"))
+    whole = hosts.agg(F.sum("thin").alias("all_thin"), F.sum("pages").alias("all_pages"))  # one row
+    many = hosts.join(F.broadcast(whole), (F.col("thin") > 0) & (F.col("thin") * F.col("all_pages") * 100 >= F.col("all_thin") * F.col("pages") * percent)).select("h")
+    return read.select("h", "canonical").join(many, "h", "left_semi").select("canonical")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, listed_thin(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return filter_urls(pages, listed_of_thin_hosts(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 OP1_SQL = r"""
@@ -103,7 +112,8 @@ q AS (
 c AS (
   SELECT *, CASE WHEN whole THEN regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)?$', '') || regexp_replace(path, '/+$', '')
          || CASE WHEN k0 = '' THEN '' ELSE '?' || k0 END END AS canonical FROM q),
-l AS (SELECT DISTINCT canonical AS k FROM c WHERE bytes < 1300 AND canonical IS NOT NULL),
+h AS (SELECT host, count(*) AS pages, count(*) FILTER (bytes < 1300) AS thin FROM c WHERE canonical IS NOT NULL GROUP BY host),
+l AS (SELECT DISTINCT canonical AS k FROM c JOIN h USING (host) WHERE canonical IS NOT NULL AND thin > 0 AND thin * (SELECT sum(pages) FROM h) * 100 >= (SELECT sum(thin) FROM h) * pages * 125),
 r AS (
   SELECT c.*, l.k IS NOT NULL AS listed,
     CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'

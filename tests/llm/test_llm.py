@@ -77,10 +77,15 @@ def test_url_filter(spark):
     assert [len(r.canonical) for r in url_filter.filter_urls(long, listed).orderBy("page_id").collect()] == [2_000_007, 5]
 
 
-def test_thin_pages_list_other_crawls(spark):
-    pages = spark.createDataFrame([(1, "http://a.net/x", "short"), (2, "https://A.net/x/?utm_source=y", "long" * 1000), (3, "http://a.net/y", None)], "page_id long, url string, html string")
-    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.listed_thin(pages)).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow"}
+def test_hosts_with_thin_pages_are_listed_whole(spark):
+    long = "long" * 1000
+    rows = [("http://a.net/x", "short"), ("https://A.net/y", long), ("http://a.net:80/y/?utm_source=y", long), ("http://b.net/x", long), ("http://b.net/y", None), ("http://c.net/1", "short")] + [("http://c.net/2", long)] * 9 + [("none", "short"), (None, None)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: (r.listed, r.verdict) for r in url_filter.filter_urls(pages, url_filter.listed_of_thin_hosts(pages)).collect()}
+    # a.net has 1 of 3, c.net 1 of 10, all pages 2 of 15: pages 1 and 2 aren't thin themselves
+    assert {i for i, (listed, _) in got.items() if listed} == {0, 1, 2}
+    assert all(verdict == ("block" if listed else "allow") for listed, verdict in got.values())
+    assert url_filter.listed_of_thin_hosts(pages.limit(0)).count() == 0
 
 
 def test_bloom_has_no_false_negatives(spark):
