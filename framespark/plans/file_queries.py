@@ -192,7 +192,9 @@ def s9(s, d):
 def s11(s, d):
     path = scratch(s, "predictions")
     half = F.when(F.col("batch_id") % 2 == 0, "train").otherwise("validation")
-    S.write_predictions(_batches(s, d).select(F.col("rank").alias("step"), half.alias("eval_type"), "batch_id", "n", "loss"), path)
+    written = _batches(s, d).select(F.col("rank").alias("step"), half.alias("eval_type"), "batch_id", "n", "loss")
+    S.write_predictions(written, path)
+    S.write_predictions(written.where("step % 2 = 0"), path)  # a retry leaves one copy
     weighted = F.when(~F.isnan("loss"), F.col("loss") * (F.col("batch_id") % 97 + 1))
     got = s.read.parquet(path).groupBy("step", "eval_type").agg(F.sum("n").alias("n"), F.count("*").alias("batches"), F.count_if(F.isnan("loss")).alias("missing"), rounded(F.sum(weighted), 4).alias("losses"))
     return got.select("step", F.when(F.col("eval_type") == "train", 0).otherwise(1).cast("long").alias("half"), "n", "batches", "missing", "losses")
@@ -233,15 +235,17 @@ def w3(s, d):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(provider)
     s.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source, out, state = scratch(s, "stream_in"), scratch(s, "stream_out"), scratch(s, "stream_state")
-    loss = F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value"))
-    e = table(s, d, "events").select(F.concat(F.lit("r"), F.col("user_id") % 9).alias("run_id"), F.col("event_id").alias("step"), loss.alias("loss"))
-    half = e.agg(F.expr("max(step) div 2")).first()[0]
-    for part in (e.where(F.col("step") <= half), e.where(F.col("step") > half)):
-        part.repartition(3).write.mode("append").parquet(source)
-        stream = s.readStream.schema("run_id string, step long, loss double").parquet(source)
-        W.stream_best_loss(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    s.conf.set(provider, before)
+    try:
+        source, out, state = scratch(s, "stream_in"), scratch(s, "stream_out"), scratch(s, "stream_state")
+        loss = F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value"))
+        e = table(s, d, "events").select(F.concat(F.lit("r"), F.col("user_id") % 9).alias("run_id"), F.col("event_id").alias("step"), loss.alias("loss"))
+        half = e.agg(F.expr("max(step) div 2")).first()[0]
+        for part in (e.where(F.col("step") <= half), e.where(F.col("step") > half)):
+            part.repartition(3).write.mode("append").parquet(source)
+            stream = s.readStream.schema("run_id string, step long, loss double").parquet(source)
+            W.stream_best_loss(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(provider, before)
     return s.read.parquet(out)
 
 

@@ -269,8 +269,12 @@ def index_is_fresh(manifest: DataFrame, files: DataFrame, cached_at: Column) ->
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """S11. Input, target, output and loss of evaluated batches, in folders by step and eval_type."""
-    predictions.write.mode("append").partitionBy("step", "eval_type").parquet(path)
+    """S11. Input, target, output and loss of evaluated batches, in folders by step, eval_type and, if there is such a column, rank.
+
+    What is written again replaces the folders that it has rows for and leaves all others, so a step that is retried is there once.
+    """
+    keys = [c for c in ("step", "eval_type", "rank") if c in predictions.columns]
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:

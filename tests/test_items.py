@@ -115,3 +115,13 @@ def test_codecs_of_chunks():
         assert np.array_equal(S.decode_chunk(data, meta), values)
     with pytest.raises(ValueError):
         S.decode_chunk(raw, {"compressor": {"id": "lzma"}, "dtype": "<f4", "chunks": [2, 3, 4]})
+
+
+def test_predictions_written_again_are_there_once(spark, tmp_path):
+    path = str(tmp_path / "predictions")
+    rows = [(s, e, r, b, float(b)) for s in (1, 2) for e in ("train", "validation") for r in (0, 1) for b in range(3)]
+    first = spark.createDataFrame(rows, "step int, eval_type string, rank int, batch_id int, loss double")
+    S.write_predictions(first, path)
+    S.write_predictions(first.where("step = 2 and rank = 1").withColumn("loss", F.lit(9.0)), path)
+    got = spark.read.parquet(path).select(*first.columns).collect()
+    assert sorted(map(tuple, got)) == sorted((s, e, r, b, 9.0 if (s, r) == (2, 1) else x) for s, e, r, b, x in rows)
