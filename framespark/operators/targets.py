@@ -96,20 +96,20 @@ def masked_mse(targets: DataFrame, predictions: DataFrame) -> DataFrame:
     return both.agg((F.sum(square) / F.sum(F.size("target"))).alias("loss"), F.count("*").alias("patches"))
 
 
-def stitch_patches(patches: DataFrame, s: int, grid_h: int, grid_w: int, value: str = "pixels") -> DataFrame:
-    """L8. (frame_id, h, w, pixels): a grid of s x s patches as one map; a missing patch is zeros. A map gathers its own patches, which are grid_h * grid_w."""
+def stitch_patches(patches: DataFrame, s: int, grid_h: int, grid_w: int, value: str = "pixels", classes: int = 1) -> DataFrame:
+    """L8. (frame_id, c, h, w, pixels): a grid of s x s patches as one map for each class, maps one after another; a missing patch is zeros. A patch has s * s * classes values in the order (y, x, class). A frame gathers its own patches, which are grid_h * grid_w."""
     held = patches.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("patch").cast("int"), F.col(value).cast("array<double>")))).alias("p"))
     h, w = grid_h * s, grid_w * s
 
     def build(p: Column) -> Column:
         def one(i: Column) -> Column:
-            y, x = F.floor(i / w), i % w
+            k, y, x = F.floor(i / (h * w)), F.floor(i / w) % h, i % w
             own = F.try_element_at(p, (F.floor(y / s) * grid_w + F.floor(x / s)).cast("int"))
-            return F.coalesce(F.get(own, (y % s * s + x % s).cast("int")), F.lit(0.0))
+            return F.coalesce(F.get(own, ((y % s * s + x % s) * classes + k).cast("int")), F.lit(0.0))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), one)
+        return F.transform(F.sequence(F.lit(0), F.lit(classes * h * w - 1)), one)
 
-    return held.select("frame_id", F.lit(h).alias("h"), F.lit(w).alias("w"), let(F.col("p"), build).alias("pixels"))
+    return held.select("frame_id", F.lit(classes).alias("c"), F.lit(h).alias("h"), F.lit(w).alias("w"), let(F.col("p"), build).alias("pixels"))
 
 
 def max_pool_groups(units: DataFrame, stride: int, frame: str = "frame_id", pos: str = "pos", value: str = "value") -> DataFrame:

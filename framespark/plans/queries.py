@@ -586,6 +586,13 @@ def l8(s, d):
     return digest(L.stitch_patches(T.patchify(frames(s, d), 2, 2), 2, 4, 4))
 
 
+@query("l8_stitch_classes", digest_sql("list_concat(px, list_concat(list_transform(px, lambda v: v * 2), list_transform(px, lambda v: v * -3)))"))
+def l8_classes(s, d):
+    """Patches of three classes side by side, as a decoder gives them, become three maps."""
+    cut = T.patchify(frames(s, d), 2, 2).withColumn("pixels", F.flatten(F.transform(F.col("pixels").cast("array<double>"), lambda v: F.array(v, v * 2, v * -3))))
+    return digest(L.stitch_patches(cut, 2, 4, 4, classes=3))
+
+
 @query("l9_resize_mask", digest_sql("list_transform(range(20 * 12), lambda i: lab[(i // 12 * 8 // 20) * 8 + i % 12 * 8 // 12 + 1])"))
 def l9(s, d):
     return digest(T.resize_nearest(frames(s, d), 20, 12), "label")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framespark.operators import targets as L
 from framespark.operators.index import locate
 from framespark.plans.file_queries import blosc_frame
 from framespark.sources import io as S
@@ -125,3 +126,12 @@ def test_predictions_written_again_are_there_once(spark, tmp_path):
     S.write_predictions(first.where("step = 2 and rank = 1").withColumn("loss", F.lit(9.0)), path)
     got = spark.read.parquet(path).select(*first.columns).collect()
     assert sorted(map(tuple, got)) == sorted((s, e, r, b, 9.0 if (s, r) == (2, 1) else x) for s, e, r, b, x in rows)
+
+
+def test_stitched_classes(spark):
+    tokens = np.arange(6 * 4 * 3, dtype=float).reshape(6, 12)  # a grid of 2 x 3 patches of 2 x 2, three classes
+    rows = [(7, k, t.tolist()) for k, t in enumerate(tokens) if k != 4]
+    got = L.stitch_patches(spark.createDataFrame(rows, "frame_id long, patch int, pixels array<double>"), 2, 2, 3, classes=3).first()
+    tokens[4] = 0
+    want = tokens.reshape(2, 3, 2, 2, 3).transpose(4, 0, 2, 1, 3).reshape(3, 4, 6)
+    assert (got.c, got.h, got.w) == (3, 4, 6) and np.array_equal(np.array(got.pixels), want.ravel())
