@@ -23,6 +23,19 @@ def bucketed_position(df: DataFrame, key: Column, tie: str, by: list[str] | None
     return ranked.withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long")).select(*df.columns, name)
 
 
+def ordered_position(df: DataFrame, group: str, item: str, name: str = "pos", bucket: int = 1 << 16) -> DataFrame:
+    """Adds the rank (from 0) of each row in the order of two whole numbers (group, item).
+
+    Rows are ranked in buckets of `bucket` consecutive items; only the buckets' counts, one row each, are summed in one task.
+    """
+    keyed = df.withColumn("_bucket", F.floor(F.col(item) / bucket))
+    counts = keyed.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_g", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(item)) - 1
+    ranked = keyed.withColumn("_inside", inside).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return ranked.withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long")).select(*df.columns, name)
+
+
 def shard_of(pos: Column, n: Column, world: int) -> tuple[Column, Column]:
     """(rank, position in rank) when n rows are cut into `world` contiguous ranges whose sizes differ by one at most, the larger first."""
     q, r = F.floor(n / world), n % world

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import order_key, u
+from ..functions.rand import order_key, permuted, u
 from ..functions.rank import bucketed_position, shard_of
 
 
@@ -35,15 +35,18 @@ def ranks(ids: DataFrame, world: int, total: int, seed: int | None = None, id_co
     return ordered.select("frame_id", "pos", rank.alias("rank"), local.alias("local_pos"))
 
 
-def redistribute(spark: SparkSession, total: int, world: int, progress: int = 0, seed: int | None = None) -> DataFrame:
+def redistribute(spark: SparkSession, total: int, world: int, progress: int = 0, seed: int | None = None, keyed: bool = False) -> DataFrame:
     """X8. (frame_id, part, pos, rank, local_pos): ids not yet processed (from progress % total on) and those processed, each cut evenly over ranks; in a rank the remaining ones come first.
 
-    Without a seed positions are arithmetic on the id, without a sort; with one they are bucketed ranks.
+    Without a seed positions are arithmetic on the id, without a sort; with one they are bucketed ranks, or, keyed,
+    arithmetic on the id again: another order, in which nothing is shuffled.
     """
     at = progress % total if total else 0
     ids = spark.range(total).select(F.col("id").alias("frame_id"), F.when(F.col("id") >= at, "remaining").otherwise("processed").alias("part"))
     if seed is None:
         placed = ids.withColumn("pos", F.when(F.col("part") == "remaining", F.col("frame_id") - at).otherwise(F.col("frame_id")))
+    elif keyed:
+        placed = ids.withColumn("pos", F.when(F.col("part") == "remaining", permuted(F.col("frame_id") - at, total - at, seed)).otherwise(permuted(F.col("frame_id"), at, seed)))
     else:
         placed = bucketed_position(ids, order_key(seed, F.col("frame_id")), "frame_id", ["part"])
     n = F.when(F.col("part") == "remaining", total - at).otherwise(at)
@@ -55,10 +58,18 @@ def redistribute(spark: SparkSession, total: int, world: int, progress: int = 0,
     return out.select("frame_id", "part", "pos", "rank", (F.col("_l") + F.when(F.col("part") == "processed", before).otherwise(0)).alias("local_pos"))
 
 
-def shuffle_epoch(spark: SparkSession, total: int, world: int, step: int, every: int | None, seed: int = 0) -> DataFrame:
-    """X9. The assignment in force at a step: all ids anew with seed + epoch, where epoch counts the positive multiples of `every` reached; unshuffled before the first, and always without `every`."""
+def shuffle_epoch(spark: SparkSession, total: int, world: int, step: int, every: int | None, seed: int = 0, keyed: bool = False) -> DataFrame:
+    """X9. The assignment in force at a step: all ids anew with seed + epoch, where epoch counts the positive multiples of `every` reached; unshuffled before the first, and always without `every`. keyed: in an order that needs no shuffle."""
     epoch = step // every if every and every > 0 else 0
-    return redistribute(spark, total, world, 0, seed + epoch if epoch else None).withColumn("epoch", F.lit(epoch))
+    return redistribute(spark, total, world, 0, seed + epoch if epoch else None, keyed).withColumn("epoch", F.lit(epoch))
+
+
+def place_in_epoch(frames: DataFrame, total: int, world: int, epoch: int, seed: int = 0, id_col: str = "frame_id") -> DataFrame:
+    """X9. Adds rank, local_pos and epoch to any frames of 0 .. total - 1 by arithmetic on their ids: the keyed order of shuffle_epoch(). Other ids are left out."""
+    pos = permuted(F.col(id_col), total, seed + epoch) if epoch else F.col(id_col)
+    rank, local = shard_of(F.col("_pos"), F.lit(total), world)
+    placed = frames.where((F.col(id_col) >= 0) & (F.col(id_col) < total)).withColumn("_pos", pos)
+    return placed.withColumns({"rank": rank, "local_pos": local, "epoch": F.lit(epoch)}).drop("_pos")
 
 
 def segments(ids: DataFrame, seg_size: int, world: int = 1, total: int | None = None, start: int = 0, id_col: str = "frame_id") -> DataFrame:

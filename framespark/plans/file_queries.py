@@ -16,7 +16,7 @@ from ..sources import io as S
 from ..sources import items as I
 from ..streaming import streams as W
 from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, rounded, scratch, table, total
-from .queries import EV, ORACLE_SQL, RUN, _batches, _logs, query
+from .queries import EV, ORACLE_SQL, RUN, _batches, _keyed, _logs, query
 
 
 @query("s1_read_manifest", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INT) AS file_id, 's' || s_suppkey AS path FROM supplier")
@@ -218,6 +218,21 @@ def w1(s, d):
     return digest(s.read.parquet(out))
 
 
+_GOES = FR + ", g AS (SELECT *, file_id % 2 AS go FROM f), p AS (SELECT *, row_number() OVER (PARTITION BY go ORDER BY file_id, item_idx) - 1 AS pos, (SELECT count(*) FROM g) - count(*) OVER (PARTITION BY go) AS other FROM g), q AS (SELECT *, CASE go WHEN 0 THEN ntile(4) OVER (PARTITION BY go ORDER BY pos) ELSE ntile(3) OVER (PARTITION BY go ORDER BY pos) END - 1 AS rank FROM p)"
+
+
+@query("w1_stream_resume", _GOES + " SELECT file_id, item_idx, pos + go * other AS sample_id, CAST(rank AS INT) AS rank, row_number() OVER (PARTITION BY go, rank ORDER BY pos) - 1 AS local_pos, go AS batch_id FROM q")
+def w1_resume(s, d):
+    """Half of the files come first and go to four ranks; after a restart the others go to three."""
+    source, out, offsets, state = (scratch(s, f"stream_{name}") for name in ("in", "out", "offsets", "state"))
+    f = frames(s, d)
+    for go, world in enumerate((4, 3)):
+        f.where(F.col("file_id") % 2 == go).write.mode("append").parquet(source)
+        stream = W.stream_frames(s, source, [], 1 << 20)
+        W.stream_assigned(stream, W.replace_batch(out), world, offsets, state).awaitTermination()
+    return s.read.parquet(out).select("file_id", "item_idx", "sample_id", "rank", "local_pos", "batch_id")
+
+
 @query("w2_stream_progress", "SELECT CAST(user_id % 4 AS INT) AS rank, count(*) AS processed, count(*) // (100 * (1 + user_id % 4)) AS epochs FROM events GROUP BY user_id % 4")
 def w2(s, d):
     source, name = scratch(s, "stream_in"), f"progress_{abs(hash(scratch(s, 'n')))}"
@@ -254,13 +269,27 @@ def _epoch_sql(epoch: int, n: str = "(SELECT count(*) FROM embeddings)") -> str:
     return f"SELECT id AS frame_id, {epoch} AS epoch, rank, row_number() OVER (PARTITION BY rank ORDER BY pos) - 1 AS local_pos FROM (SELECT id, row_number() OVER (ORDER BY {order}) AS pos, CAST(ntile(4) OVER (ORDER BY {order}) - 1 AS INT) AS rank FROM (SELECT unnest(range({n})) AS id)) QUALIFY true"
 
 
-@query("w4_stream_epochs", " UNION ALL ".join(f"SELECT * FROM ({_epoch_sql(e)}) WHERE frame_id % 3 = {e}" for e in range(3)).replace(" QUALIFY true", ""))
-def w4(s, d):
-    """A third of the frames in each of three micro-batches: the first epoch in order, the others shuffled."""
+def _epochs(s, d, keyed):
     source, out, state = scratch(s, "stream_in"), scratch(s, "stream_out"), scratch(s, "stream_state")
     n = total(s, d)
     for k in range(3):
         s.range(n).where(F.col("id") % 3 == k).withColumnRenamed("id", "frame_id").write.mode("append").parquet(source)
         stream = s.readStream.schema("frame_id long").parquet(source)
-        W.stream_epochs(stream, n, 4, 1, lambda df, b: df.write.mode("append").parquet(out), SEED, state).awaitTermination()
+        W.stream_epochs(stream, n, 4, 1, lambda df, b: df.write.mode("append").parquet(out), SEED, state, keyed).awaitTermination()
     return s.read.parquet(out).select("frame_id", "epoch", "rank", "local_pos")
+
+
+@query("w4_stream_epochs", " UNION ALL ".join(f"SELECT * FROM ({_epoch_sql(e)}) WHERE frame_id % 3 = {e}" for e in range(3)).replace(" QUALIFY true", ""))
+def w4(s, d):
+    """A third of the frames in each of three micro-batches: the first epoch in order, the others shuffled."""
+    return _epochs(s, d, False)
+
+
+_N = "SELECT count(*) FROM embeddings"
+_IN_ORDER = f"SELECT id AS frame_id, CAST(ntile(4) OVER (ORDER BY id) - 1 AS INT) AS rank, id FROM (SELECT unnest(range(({_N}))) AS id)"
+
+
+@query("w4_stream_epochs_keyed", f"SELECT frame_id, 0 AS epoch, rank, local_pos FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY id) - 1 AS local_pos FROM ({_IN_ORDER})) WHERE frame_id % 3 = 0" + "".join(f" UNION ALL SELECT frame_id, {e}, rank, local_pos FROM ({_keyed(_N, str(SEED + e), 4)}) WHERE frame_id % 3 = {e}" for e in (1, 2)))
+def w4_keyed(s, d):
+    """The same in the keyed order: what arrives is placed by arithmetic on its ids."""
+    return _epochs(s, d, True)

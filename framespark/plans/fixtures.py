@@ -79,6 +79,17 @@ def u_sql(seed, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'({k})::VARCHAR' for k in keys)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def permuted_sql(n: str, seed: str) -> str:
+    """SQL of rand.permuted() for all of 0 .. n - 1 (n a query): (id, pos), by as many steps as the walks need."""
+    bits = lambda k, v: f"('0x' || substr(md5('{seed}:{k}:' || {v}::BIGINT::VARCHAR), 1, 8))::BIGINT"
+    step = "SELECT id, walk, n, a, b, v % a AS p0, v // a AS q0 FROM r WHERE walk = 0 OR v >= n"
+    for k, (half, other) in enumerate([("p0", "q0"), ("q0", "p1"), ("p1", "q1"), ("q1", "p2")]):
+        new, size = f"{half[0]}{int(half[1]) + 1}", "a" if half[0] == "p" else "b"
+        step = f"SELECT *, ({half} + {bits(k, other)}) % {size} AS {new} FROM ({step})"
+    grid = f"SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, ceil(sqrt(n))::BIGINT AS a FROM ({n}) AS t(n))"
+    return f"(WITH RECURSIVE g AS ({grid}), r AS (SELECT id, 0 AS walk, id AS v, n, a, b FROM (SELECT unnest(range(n)) AS id, n, a, b FROM g) UNION ALL SELECT id, walk + 1, q2 * a + p2, n, a, b FROM ({step})) SELECT id, v AS pos FROM r WHERE walk > 0 AND v < n)"
+
+
 def moved_sql(h: int, w: int, y: str, x: str, px: str = "px", ih: int = 8, iw: int = 8) -> str:
     """SQL for one-channel frames of h x w that take pixel (y, x) of the input, expressions of oy and ox, or 0."""
     y, x = (s.replace("oy", f"(i // {w})").replace("ox", f"(i % {w})") for s in (y, x))

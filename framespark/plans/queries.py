@@ -18,7 +18,7 @@ from ..operators import shards as B
 from ..operators import targets as L
 from ..operators import transforms as T
 from ..sources import io as S
-from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, rounded, scratch, table, total, u_sql
+from .fixtures import FR, SEED, digest, digest_sql, frames, index, manifest, moved_sql, permuted_sql, rounded, scratch, table, total, u_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,6 +154,16 @@ def x9(s, d):
     return B.shuffle_epoch(s, table(s, d, "lineitem").count(), 4, 25, 10, SEED).select("frame_id", "rank", "local_pos", "epoch")
 
 
+def _keyed(n: str, seed: str, world: int) -> str:
+    """Ids in the keyed order, cut evenly over ranks."""
+    return f"SELECT id AS frame_id, CAST(rank AS INT) AS rank, row_number() OVER (PARTITION BY rank ORDER BY pos) - 1 AS local_pos FROM (SELECT *, ntile({world}) OVER (ORDER BY pos) - 1 AS rank FROM {permuted_sql(n, seed)})"
+
+
+@query("x9_shuffle_epoch_keyed", "SELECT *, 2 AS epoch FROM (" + _keyed("SELECT count(*) FROM lineitem", "44", 4) + ")")
+def x9b(s, d):
+    return B.shuffle_epoch(s, table(s, d, "lineitem").count(), 4, 25, 10, SEED, keyed=True).select("frame_id", "rank", "local_pos", "epoch")
+
+
 @query("x10_segments", "WITH t AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS id, count(*) OVER () AS n FROM lineitem) SELECT id AS frame_id, id // 400 AS seg, id // 400 * 400 AS seg_start, least(id // 400 * 400 + 400, n) AS seg_end FROM t")
 def x10(s, d):
     n = table(s, d, "lineitem").count()

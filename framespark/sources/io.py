@@ -280,10 +280,18 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """S12. (run_id, file_rank, value) of rank log files <run_id>/rank<r>.log: a row for each record, its header line and the lines up to the next one. Lines before the first header are one row.
 
-    Files are read by lines, in splits of any size, so a long log is no row of its own; parse_records() reads the records.
+    Files are read by lines, in splits of any size. A split counts its headers, and the sum over the splits before it in the
+    file numbers its records; lines before its first header belong to the record that the splits before left open. So a long
+    log is sorted split by split and has as many tasks. parse_records() reads the records.
     """
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("_at"))
-    in_order = Window.partitionBy("_f").orderBy("_at")
-    head = F.last(F.when(F.col("value").rlike(f"^{RECORD_HEADER}$"), F.col("_at")), ignorenulls=True).over(in_order)
-    records = lines.withColumn("_head", head).groupBy("_f", "_head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda r: r["value"]), "\n").alias("value"))
+    at = {"_f": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_nth": F.monotonically_increasing_id()}
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", *[c.alias(k) for k, c in at.items()])
+    lines = lines.withColumn("_is_head", F.col("value").rlike(f"^{RECORD_HEADER}$"))
+    splits = lines.groupBy(F.col("_f").alias("_sf"), F.col("_block").alias("_sb")).agg(F.count_if("_is_head").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_sf").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("_before", F.coalesce(before, F.lit(0)))
+    so_far = F.count_if("_is_head").over(Window.partitionBy("_f", "_block").orderBy("_nth"))
+    numbered = lines.withColumn("_so_far", so_far).join(splits, (F.col("_f") == F.col("_sf")) & (F.col("_block") == F.col("_sb")))
+    each = numbered.groupBy("_f", (F.col("_before") + F.col("_so_far")).alias("_record")).agg(F.array_sort(F.collect_list(F.struct("_block", "_nth", "value"))).alias("_lines"))
+    records = each.select("_f", F.array_join(F.transform("_lines", lambda r: r["value"]), "\n").alias("value"))
     return records.select(F.regexp_extract("_f", r"([^/]+)/[^/]*$", 1).alias("run_id"), F.regexp_extract("_f", r"rank_?(\d+)\.log$", 1).try_cast("int").alias("file_rank"), "value")
