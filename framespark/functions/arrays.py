@@ -38,6 +38,41 @@ def plane(h: Column | int, w: Column | int) -> Callable[[Column], tuple[Column,
     return split
 
 
+def whole(pixels: Column, n: Column) -> Column:
+    """Pixels as doubles, n at least; null and absent ones are 0."""
+    px = pixels.cast("array<double>")
+    filled = F.when(F.exists(px, lambda v: v.isNull()), F.transform(px, lambda v: F.coalesce(v, F.lit(0.0)))).otherwise(px)
+    return F.when(F.size(px) < n, F.concat(filled, F.array_repeat(F.lit(0.0), (n - F.size(px)).cast("int")))).otherwise(filled)
+
+
+def window(b: Column, oh: Column | int, ow: Column | int, top: Column, left: Column) -> Column:
+    """Windows of oh x ow, with their corner at (top, left), of the planes of a bound struct (px, c, h, w); outside is 0.
+
+    A row of a window is a slice of px between runs of zeros, so nothing is looked up pixel by pixel.
+    """
+    oh, ow, top, left = ((F.lit(v) if isinstance(v, int) else v).cast("int") for v in (oh, ow, top, left))
+    values = {"oh": oh, "ow": ow, "top": top, "x0": F.greatest(left, F.lit(0)), "zeros": F.least(F.greatest(-left, F.lit(0)), ow), "n": F.greatest(F.least(b["w"], left + ow) - F.greatest(left, F.lit(0)), F.lit(0))}
+
+    def build(v: Column) -> Column:
+        none = F.array_repeat(F.lit(0.0), v["ow"])
+
+        def row(i: Column) -> Column:
+            y = i % v["oh"] + v["top"]
+            start = (F.floor(i / v["oh"]) * b["h"] + y) * b["w"] + v["x0"] + 1
+            strip = F.concat(F.array_repeat(F.lit(0.0), v["zeros"]), F.slice(b["px"], start.cast("int"), v["n"]), F.array_repeat(F.lit(0.0), v["ow"] - v["zeros"] - v["n"]))
+            return F.when((v["n"] > 0) & (y >= 0) & (y < b["h"]), strip).otherwise(none)
+
+        return F.when(b["c"] * v["oh"] * v["ow"] > 0, F.flatten(F.transform(F.sequence(F.lit(0), b["c"] * v["oh"] - 1), row))).otherwise(F.array().cast("array<double>"))
+
+    return let_all(values, build)
+
+
+def planes(pixels: Column, c: Column | int = 1) -> dict[str, Column]:
+    """What window() wants to have bound, of a frame's row."""
+    c = F.lit(c) if isinstance(c, int) else c
+    return {"px": whole(pixels, c * F.col("h") * F.col("w")), "c": c.cast("int"), "h": F.col("h").cast("int"), "w": F.col("w").cast("int")}
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import gather, let_all
+from ..functions.arrays import gather, let_all, planes, window
 
 
 def apply_mask(df: DataFrame, mask: DataFrame, mask_value: float = float("nan"), on: str = "panel") -> DataFrame:
@@ -85,10 +85,10 @@ def to_mosaic(panels: DataFrame, geom: DataFrame) -> DataFrame:
 
 def from_mosaic(mosaics: DataFrame, geom: DataFrame) -> DataFrame:
     """D7. (event, panel, h, w, pixels): the canvas cut back into panels by their bounds."""
-    both = mosaics.select("event", F.col("w").alias("mw"), "pixels").crossJoin(F.broadcast(geom))  # a detector's panels
+    both = mosaics.select("event", "h", "w", "pixels").crossJoin(F.broadcast(geom.select("panel", "x_min", "y_min", "x_max", "y_max")))  # a detector's panels
     h, w = F.col("y_max") - F.col("y_min"), F.col("x_max") - F.col("x_min")
-    given = {"w": w, "mw": F.col("mw"), "y0": F.col("y_min"), "x0": F.col("x_min")}
-    cut = gather(F.col("pixels"), h * w, lambda i, b: (b["y0"] + F.floor(i / b["w"])) * b["mw"] + b["x0"] + i % b["w"], given)
+    values = {**planes(F.col("pixels")), "oh": h, "ow": w, "top": F.col("y_min"), "left": F.col("x_min")}
+    cut = let_all(values, lambda b: window(b, b["oh"], b["ow"], b["top"], b["left"]))
     return both.select("event", "panel", h.alias("h"), w.alias("w"), cut.alias("pixels"))
 
 

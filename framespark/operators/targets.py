@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let, let_all
 from ..functions.rand import u
-from .transforms import patchify
+from .transforms import patch_grid, patchify
 
 
 def one_hot(classes: Column, k: int) -> Column:
@@ -52,6 +52,26 @@ def mask_units(units: DataFrame, ratio: float, seed: int = 0, frame: str = "fram
     return units.withColumn("keep", F.row_number().over(order) <= F.floor(n * (1 - ratio) + 1e-9))
 
 
+def mask_bits(units: Column | int, ratio: float, seed: int = 0, frame: str = "frame_id") -> Column:
+    """L4. The same mask in the frame's row: an array of longs, in which bit i % 64 of word i div 64 is 1 if unit i is kept. No rows, window or join."""
+    n = (F.lit(units) if isinstance(units, int) else units).cast("int")
+
+    def build(b: Column) -> Column:
+        draws = F.transform(F.sequence(F.lit(0), b["n"] - 1), lambda i: F.struct(u(seed, b["f"], i).alias("u"), i.alias("i")))
+        kept = F.slice(F.array_sort(draws), F.lit(1), F.floor(b["n"] * (1 - ratio) + 1e-9).cast("int"))
+        word = lambda k, j: F.aggregate(F.filter(k, lambda d: F.floor(d["i"] / 64) == j), F.lit(0).cast("long"), lambda a, d: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), d["i"] % 64)))
+        return F.when(b["n"] > 0, let(kept, lambda k: F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(b["n"] / 64) - 1), lambda j: word(k, j)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let_all({"n": n, "f": F.col(frame)}, build)
+
+
+def hidden_units(bits: Column, units: Column | int) -> Column:
+    """L4. Numbers of the units that a packed mask doesn't keep, in order; units beyond the mask's words are in neither."""
+    n = (F.lit(units) if isinstance(units, int) else units).cast("long")
+    hidden = lambda b: F.filter(F.sequence(F.lit(0).cast("long"), b["n"] - 1), lambda i: F.getbit(F.get(b["bits"], F.floor(i / 64).cast("int")), (i % 64).cast("int")) == 0)
+    return let_all({"n": n, "bits": bits}, lambda b: F.when(b["n"] > 0, hidden(b)).otherwise(F.array().cast("array<bigint>")))
+
+
 def _standard(values: Column, eps: float = 1e-6) -> Column:
     def build(v: Column) -> Column:
         mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
@@ -65,9 +85,20 @@ def _channels_last(px: Column, c: Column, size: int) -> Column:
     return let_all({"px": px, "c": c}, lambda b: F.transform(F.sequence(F.lit(0), b["c"] * size - 1), lambda i: F.get(b["px"], (i % b["c"] * size + F.floor(i / b["c"])).cast("int"))))
 
 
-def patch_targets(frames: DataFrame, s: int, mask: DataFrame | None = None, norm: bool = True) -> DataFrame:
-    """L5. (frame_id, patch, target): s x s patches that the mask doesn't keep (all without a mask), values in the order (y, x, channel), standardised by the patch's sample variance if wanted. mask: (frame_id, unit, keep)."""
-    cut = patchify(frames.select("frame_id", "c", "h", "w", "pixels"), s, s)
+def _hidden_patches(frames: DataFrame, s: int, bits: Column, also: dict[str, Column] | None = None) -> DataFrame:
+    ny, nx = patch_grid(s, s)
+    more = {f"_{x}": a for x, a in (also or {}).items()}
+    own = frames.select("frame_id", "c", "h", "w", "pixels", hidden_units(bits, ny * nx).alias("_hidden"), *[a.alias(x) for x, a in more.items()])
+    return patchify(own, s, s, F.col("_hidden"), {x: F.col(f"_{x}") for x in also or {}}).drop("_hidden", *more)
+
+
+def patch_targets(frames: DataFrame, s: int, mask: DataFrame | None = None, norm: bool = True, bits: Column | None = None) -> DataFrame:
+    """L5. (frame_id, patch, target): s x s patches that the mask doesn't keep (all without a mask), values in the order (y, x, channel), standardised by the patch's sample variance if wanted.
+
+    mask: (frame_id, unit, keep), which is joined; bits: a packed mask in the frame's row, with which only the hidden
+    patches are cut and nothing is shuffled.
+    """
+    cut = _hidden_patches(frames, s, bits) if bits is not None else patchify(frames.select("frame_id", "c", "h", "w", "pixels"), s, s)
     if mask is not None:
         hidden = mask.where(~F.col("keep")).select(F.col("frame_id").alias("_f"), F.col("unit").alias("_u"))
         cut = cut.join(hidden, (F.col("frame_id") == F.col("_f")) & (F.col("patch") == F.col("_u")))
@@ -96,6 +127,15 @@ def masked_mse(targets: DataFrame, predictions: DataFrame) -> DataFrame:
     return both.agg((F.sum(square) / F.sum(F.size("target"))).alias("loss"), F.count("*").alias("patches"))
 
 
+def masked_mse_in_rows(frames: DataFrame, s: int, bits: Column, prediction: Column, norm: bool = True) -> DataFrame:
+    """L7. The same from frames that have their predictions beside them: an array that holds at place p the values of patch p. Patches without a prediction don't count. Only the sums are shuffled."""
+    cut = _hidden_patches(frames, s, bits, {"prediction": prediction}).where("prediction is not null")
+    values = _channels_last(F.col("pixels"), F.col("c"), s * s)
+    both = cut.select((_standard(values) if norm else values).alias("target"), "prediction")
+    square = F.aggregate(F.zip_with("target", "prediction", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    return both.agg((F.sum(square) / F.sum(F.size("target"))).alias("loss"), F.count("*").alias("patches"))
+
+
 def stitch_patches(patches: DataFrame, s: int, grid_h: int, grid_w: int, value: str = "pixels", classes: int = 1) -> DataFrame:
     """L8. (frame_id, c, h, w, pixels): a grid of s x s patches as one map for each class, maps one after another; a missing patch is zeros. A patch has s * s * classes values in the order (y, x, class). A frame gathers its own patches, which are grid_h * grid_w."""
     held = patches.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("patch").cast("int"), F.col(value).cast("array<double>")))).alias("p"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import gather, let, let_all, mean_and_variance
+from ..functions.arrays import gather, let, let_all, mean_and_variance, planes, window
 from ..functions.rand import gauss, u
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -36,6 +36,16 @@ def _mapped(df: DataFrame, h: Column | int, w: Column | int, source: Callable[[C
     return df.select(*[moved(x).alias(x) if x in ("pixels", "label") else hc.cast("int").alias(x) if x == "h" else wc.cast("int").alias(x) if x == "w" else F.col(x) for x in df.columns])
 
 
+def _cut(df: DataFrame, h: Column | int, w: Column | int, top: Column, left: Column) -> DataFrame:
+    """Frames of h x w whose corner lies at (top, left) of the input; outside is 0."""
+    hc, wc = (F.lit(v) if isinstance(v, int) else v for v in (h, w))
+
+    def moved(x: str) -> Column:
+        return F.when(F.col(x).isNotNull(), let_all({**planes(F.col(x), F.col("c")), "oh": hc, "ow": wc, "top": top, "left": left}, lambda b: window(b, b["oh"], b["ow"], b["top"], b["left"])))
+
+    return df.select(*[moved(x).alias(x) if x in ("pixels", "label") else hc.cast("int").alias(x) if x == "h" else wc.cast("int").alias(x) if x == "w" else F.col(x) for x in df.columns])
+
+
 def _inside(y: Column, x: Column, b: Column, start: Column) -> Column:
     return F.when((y >= 0) & (y < b["h"]) & (x >= 0) & (x < b["w"]), start + y * b["w"] + x)
 
@@ -56,15 +66,15 @@ def pad(df: DataFrame, h: int, w: int, style: str = "center") -> DataFrame:
         raise ValueError(f"pad style {style}")
     oh, ow = F.greatest("h", F.lit(h)), F.greatest("w", F.lit(w))
     half = lambda o, s: F.floor((o - s) / 2) if style == "center" else F.lit(0)
-    return _mapped(df, oh, ow, lambda y, x, b, s: _inside(y - half(b["oh"], b["h"]), x - half(b["ow"], b["w"]), b, s))
+    return _cut(df, oh, ow, -half(oh, F.col("h")), -half(ow, F.col("w")))
 
 
 def crop(df: DataFrame, h: int, w: int, style: str = "center") -> DataFrame:
     """T2. Cuts frames to h x w around the centre or from the top left; a smaller frame is filled with zeros at the right and bottom."""
     if style not in ("center", "top-left"):
         raise ValueError(f"crop style {style}")
-    off = lambda s, o: F.floor(F.greatest(s - o, F.lit(0)) / 2) if style == "center" else F.lit(0)
-    return _mapped(df, h, w, lambda y, x, b, s: _inside(y + off(b["h"], b["oh"]), x + off(b["w"], b["ow"]), b, s))
+    off = lambda s, o: F.floor(F.greatest(F.col(s) - o, F.lit(0)) / 2) if style == "center" else F.lit(0)
+    return _cut(df, h, w, off("h", h), off("w", w))
 
 
 def downscale_mean(df: DataFrame, fy: int = 2, fx: int = 2) -> DataFrame:
@@ -158,17 +168,38 @@ def random_rotate(df: DataFrame, angle_max: float = 360.0, seed: int = 0, key: s
 def random_shift(df: DataFrame, frac_y: float = 0.01, frac_x: float = 0.01, seed: int = 0, key: str = "frame_id") -> DataFrame:
     """T6. Shifts by trunc(U(-h * f, h * f)) in each axis; what comes in is 0."""
     by = lambda name, size, f: ((2 * u(seed, F.col(key), F.lit(name)) - 1) * F.col(size) * f).cast("int")
-    return _mapped(df, F.col("h"), F.col("w"), lambda y, x, b, s: _inside(y - b["sy"], x - b["sx"], b, s), {"sy": by("sy", "h", frac_y), "sx": by("sx", "w", frac_x)})
+    return _cut(df, F.col("h"), F.col("w"), -by("sy", "h", frac_y), -by("sx", "w", frac_x))
 
 
-def patchify(df: DataFrame, p: int, stride: int) -> DataFrame:
-    """T7. One row a patch: frames are padded around to multiples of p, then cut into p x p windows at a stride; patch counts row by row."""
+def patch_grid(p: int, stride: int) -> tuple[Column, Column]:
+    """Numbers of patches down and across a frame of h x w that is padded to multiples of p."""
     up = lambda s: F.ceil(F.col(s) / p) * p
-    half = lambda s: F.floor((up(s) - F.col(s)) / 2)
-    ny, nx = F.floor((up("h") - p) / stride) + 1, F.floor((up("w") - p) / stride) + 1
-    out = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), ny * nx - 1)).alias("patch"))
-    given = {"top": F.floor(F.col("patch") / nx) * stride - half("h"), "left": F.col("patch") % nx * stride - half("w")}
-    return _mapped(out, p, p, lambda y, x, b, s: _inside(y + b["top"], x + b["left"], b, s), given)
+    return F.floor((up("h") - p) / stride) + 1, F.floor((up("w") - p) / stride) + 1
+
+
+def patch_arrays(x: str, p: int, stride: int, wanted: Column | None = None) -> Column:
+    """T7. The patches of a pixel column as an array of arrays in the frame's row, all or those whose numbers are wanted."""
+    half = lambda s: F.floor((F.ceil(F.col(s) / p) * p - F.col(s)) / 2)
+    ny, nx = patch_grid(p, stride)
+    wanted = F.sequence(F.lit(0).cast("long"), ny * nx - 1) if wanted is None else wanted
+    values = {**planes(F.col(x), F.col("c")), "nx": nx, "t": half("h"), "l": half("w"), "wanted": wanted}
+    each = lambda b: F.transform(b["wanted"], lambda k: window(b, p, p, F.floor(k / b["nx"]) * stride - b["t"], k % b["nx"] * stride - b["l"]))
+    return F.when(F.col(x).isNotNull(), let_all(values, each))
+
+
+def patchify(df: DataFrame, p: int, stride: int, wanted: Column | None = None, also: dict[str, Column] | None = None) -> DataFrame:
+    """T7. One row a patch: frames are padded around to multiples of p, then cut into p x p windows at a stride; patch counts row by row.
+
+    A frame's patches are made in its row before they become rows, so no row of a patch carries the frame. wanted: numbers
+    of the patches to make; also: further arrays of the frame, of which each patch gets its element.
+    """
+    ny, nx = patch_grid(p, stride)
+    numbers = F.sequence(F.lit(0).cast("long"), ny * nx - 1) if wanted is None else wanted
+    cut = [x for x in ("pixels", "label") if x in df.columns]
+    parts = [numbers.alias("patch"), *[F.coalesce(patch_arrays(x, p, stride, numbers), F.array().cast("array<array<double>>")).alias(x) for x in cut], *[let_all({"n": numbers, "a": a}, lambda b: F.transform(b["n"], lambda k: F.get(b["a"], k.cast("int")))).alias(x) for x, a in (also or {}).items()]]
+    out = df.select(*[x for x in df.columns if x not in (*cut, "h", "w")], F.explode(F.arrays_zip(*parts)).alias("_p"))
+    own = {"h": F.lit(p), "w": F.lit(p), **{x: F.col(f"_p.{x}") for x in cut}}
+    return out.select(*[own.get(x, F.col(x)).alias(x) for x in df.columns], "_p.patch", *[f"_p.{x}" for x in also or {}])
 
 
 def _scaled(c: str, mean: Column, std: Column) -> Column:
@@ -208,8 +239,7 @@ def polar_crops(df: DataFrame, hv: int, wv: int, sigma: float = 0.33, n: int = 1
     clamp = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
     cy = clamp(r * F.cos(theta)) * (F.col("h") - vh) / 2 + F.col("h") / 2
     cx = clamp(r * F.sin(theta)) * (F.col("w") - vw) / 2 + F.col("w") / 2
-    given = {"top": (cy - F.floor(vh / 2)).cast("int"), "left": (cx - F.floor(vw / 2)).cast("int")}
-    return _mapped(out, vh, vw, lambda y, x, b, s: _inside(y + b["top"], x + b["left"], b, s), given)
+    return _cut(out, vh, vw, (cy - F.floor(vh / 2)).cast("int"), (cx - F.floor(vw / 2)).cast("int"))
 
 
 def merge_batch_patch(df: DataFrame, n: int, child: str = "crop") -> DataFrame:

@@ -570,6 +570,12 @@ def l4(s, d):
     return _unit_mask(s, d)
 
 
+@query("l4_mask_bits", _UNITS + " SELECT frame_id, string_agg(unit::VARCHAR, ',' ORDER BY unit) AS hidden FROM m WHERE NOT keep GROUP BY frame_id")
+def l4_bits(s, d):
+    hidden = L.hidden_units(L.mask_bits(16, 0.6, SEED), 16)
+    return frames(s, d).select("frame_id", F.array_join(F.transform(hidden, lambda i: i.cast("string")), ",").alias("hidden"))
+
+
 _TARGETS = _UNITS + ", t AS (SELECT m.frame_id, unit AS patch, list_transform(range(4), lambda i: px[(unit // 4 * 2 + i // 2) * 8 + unit % 4 * 2 + i % 2 + 1]) AS t0 FROM m JOIN f USING (frame_id) WHERE NOT keep), tt AS (SELECT frame_id, patch, t0, list_transform(t0, lambda v: (v - a) / sqrt(q + 1e-6)) AS v FROM (SELECT *, list_avg(t0) AS a, list_var_samp(t0) AS q FROM t))"
 
 
@@ -578,6 +584,12 @@ def l5(s, d):
     return digest(L.patch_targets(frames(s, d), 2, _unit_mask(s, d)), "target", "frame_id", "patch")
 
 
+@query("l5_patch_targets_bits", ORACLE_SQL["l5_patch_targets"])
+def l5_bits(s, d):
+    """Masks in the frames' rows: no join."""
+    return digest(L.patch_targets(frames(s, d), 2, bits=L.mask_bits(16, 0.6, SEED)), "target", "frame_id", "patch")
+
+
 @query("l6_patch_targets_3d", FR + f", k AS (SELECT frame_id // 4 AS video, frame_id % 4 // 2 * 4 + p AS patch, list_transform(range(16), lambda i: px[(p // 2 * 4 + i // 4) * 8 + p % 2 * 4 + i % 4 + 1]) AS v FROM (SELECT *, unnest(range(4)) AS p FROM f WHERE frame_id % 2 = 0)) SELECT video, patch, {SUMS} FROM k")
 def l6(s, d):
     f = frames(s, d).withColumn("video", F.expr("frame_id div 4")).withColumn("t", F.col("frame_id") % 4)
@@ -591,6 +603,12 @@ def l7(s, d):
     return L.masked_mse(L.patch_targets(f, 2, _unit_mask(s, d)), raw).select(rounded(F.col("loss")).alias("loss"), "patches")
 
 
+@query("l7_masked_mse_bits", ORACLE_SQL["l7_masked_mse"])
+def l7_bits(s, d):
+    got = L.masked_mse_in_rows(frames(s, d), 2, L.mask_bits(16, 0.6, SEED), T.patch_arrays("pixels", 2, 2))
+    return got.select(rounded(F.col("loss")).alias("loss"), "patches")
+
+
 @query("l8_stitch_patches", digest_sql("px"))
 def l8(s, d):
     return digest(L.stitch_patches(T.patchify(frames(s, d), 2, 2), 2, 4, 4))
