@@ -15,9 +15,24 @@ def apply_mask(df: DataFrame, mask: DataFrame, mask_value: float = float("nan"),
     return df.join(m, F.col(on) == F.col("_p"), "left").withColumn("pixels", masked).drop("_p", "_mask")
 
 
+#: Panels that a detector can have: what is broadcast is a few numbers for each.
+MAX_PANELS = 1 << 16
+
+
+def panel_list(table: DataFrame, *columns: str) -> DataFrame:
+    """One row: the panels of a mask or a geometry as an array of structs, each once, to be broadcast. Running it fails beyond MAX_PANELS."""
+    got = table.agg(F.count("*").alias("n"), F.collect_list(F.struct(*columns)).alias("all"))
+    too_many = F.raise_error(F.concat(F.lit("a detector of "), F.col("n").cast("string"), F.lit(f" panels, more than {MAX_PANELS}")))
+    return got.select(F.when(F.col("n") <= MAX_PANELS, F.array_distinct("all")).otherwise(too_many).alias("_panels"))
+
+
 def prepare_events(events: DataFrame, panels: DataFrame, mask: DataFrame) -> DataFrame:
-    """D2. (idx, event, panel, h, w, pixels): every panel of every listed event, in the mask's panels; a missing image is zeros, masked pixels are 0. mask: (panel, h, w, mask)."""
-    asked = events.select("idx", "event").crossJoin(F.broadcast(mask.select("panel", "h", "w", "mask")))  # a detector's panels
+    """D2. (idx, event, panel, h, w, pixels): every panel of every listed event, in the mask's panels; a missing image is zeros, masked pixels are 0. mask: (panel, h, w, mask), a row for each panel.
+
+    Only the list of panels is broadcast, up to MAX_PANELS numbers; masks are joined by panel.
+    """
+    asked = events.select("idx", "event").crossJoin(F.broadcast(panel_list(mask, "panel"))).select("idx", "event", F.explode("_panels.panel").alias("_k"))
+    asked = asked.join(mask.select("panel", "h", "w", "mask"), F.col("_k").eqNullSafe(F.col("panel"))).drop("_k")
     px = panels.select(F.col("event").alias("_e"), F.col("panel").alias("_p"), F.col("pixels").cast("array<double>").alias("_px"))
     got = asked.join(px, (F.col("event") == F.col("_e")) & (F.col("panel") == F.col("_p")), "left")
     filled = F.coalesce("_px", F.array_repeat(F.lit(0.0), F.size("mask")))
@@ -84,12 +99,20 @@ def to_mosaic(panels: DataFrame, geom: DataFrame) -> DataFrame:
 
 
 def from_mosaic(mosaics: DataFrame, geom: DataFrame) -> DataFrame:
-    """D7. (event, panel, h, w, pixels): the canvas cut back into panels by their bounds."""
-    both = mosaics.select("event", "h", "w", "pixels").crossJoin(F.broadcast(geom.select("panel", "x_min", "y_min", "x_max", "y_max")))  # a detector's panels
-    h, w = F.col("y_max") - F.col("y_min"), F.col("x_max") - F.col("x_min")
-    values = {**planes(F.col("pixels")), "oh": h, "ow": w, "top": F.col("y_min"), "left": F.col("x_min")}
-    cut = let_all(values, lambda b: window(b, b["oh"], b["ow"], b["top"], b["left"]))
-    return both.select("event", "panel", h.alias("h"), w.alias("w"), cut.alias("pixels"))
+    """D7. (event, panel, h, w, pixels): the canvas cut back into panels by their bounds, 0 beyond it; a canvas without pixels gives panels without. geom: up to MAX_PANELS rows of other bounds."""
+    panels = panel_list(geom, "panel", "x_min", "y_min", "x_max", "y_max")
+    both = mosaics.select("event", "h", "w", "pixels").crossJoin(F.broadcast(panels))
+
+    def cut(b: Column) -> Column:
+        """All panels in the mosaic's row: no row of a panel carries the mosaic."""
+
+        def one(g: Column) -> Column:
+            h, w = g["y_max"] - g["y_min"], g["x_max"] - g["x_min"]
+            return F.struct(g["panel"].alias("panel"), h.alias("h"), w.alias("w"), window(b, h, w, g["y_min"], g["x_min"]).alias("pixels"))
+
+        return F.transform(b["panels"], one)
+
+    return both.select("event", F.inline(let_all({**planes(F.col("pixels")), "panels": F.col("_panels")}, cut)))
 
 
 def peaks_to_mosaic(peaks: DataFrame, geom: DataFrame) -> DataFrame:

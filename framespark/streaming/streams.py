@@ -59,7 +59,7 @@ def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
 def stream_progress(samples: DataFrame, assigned: DataFrame) -> DataFrame:
     """W2. (rank, processed, epochs) so far, in update or complete mode. assigned: a static (rank, assigned), a row for each rank."""
     a = assigned.select(F.col("rank").alias("_r"), "assigned")
-    counts = samples.join(F.broadcast(a), F.col("rank") == F.col("_r")).groupBy("rank", "assigned").agg(F.count("*").alias("processed"))
+    counts = samples.join(a, F.col("rank") == F.col("_r")).groupBy("rank", "assigned").agg(F.count("*").alias("processed"))
     return counts.select("rank", "processed", F.floor(F.col("processed") / F.greatest("assigned", F.lit(1))).alias("epochs"))
 
 

@@ -82,3 +82,20 @@ def test_targets_of_packed_masks_need_no_shuffle(spark, tmp_path):
     got = L.masked_mse_in_rows(guesses, 2, bits, F.col("guess")).first()
     counted = [np.array(t) for (_, p), t in want.items() if p != 3]
     assert got.patches == len(counted) and got.loss == pytest.approx(np.mean([(t - 0.5) ** 2 for t in counted]))
+
+
+def test_more_panels_than_the_bound_fail(spark, monkeypatch):
+    monkeypatch.setattr(D, "MAX_PANELS", 2)
+    mosaic = spark.createDataFrame([(1, 1, 1, [1.0])], "event int, h int, w int, pixels array<double>")
+    geom = spark.createDataFrame([(k, 0, 0, 1, 1) for k in range(3)], "panel int, x_min int, y_min int, x_max int, y_max int")
+    assert D.from_mosaic(mosaic, geom.limit(2)).count() == 2
+    with pytest.raises(Exception, match="a detector of 3 panels"):
+        D.from_mosaic(mosaic, geom).collect()
+
+
+def test_events_get_the_masks_of_their_panels(spark):
+    events = spark.createDataFrame([(0, 7), (1, 7), (2, 8)], "idx int, event long")
+    panels = spark.createDataFrame([(7, 0, [1.0, 2.0])], "event long, panel int, pixels array<double>")
+    mask = spark.createDataFrame([(0, 1, 2, [0, 1]), (1, 1, 2, [1, 1])], "panel int, h int, w int, mask array<int>")
+    rows = {(r.idx, r.panel): r.pixels for r in D.prepare_events(events, panels, mask).collect()}
+    assert rows == {(i, p): [0.0, 2.0] if (i < 2 and p == 0) else [0.0, 0.0] for i in range(3) for p in range(2)}
