@@ -10,14 +10,15 @@ are. A manifest lists the files of each new shard.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_unsigned, new_path, table
 
 OLD_SHARDS, NEW_SHARDS = 6, 8
-#: Groups of files and blocks in a shard, at most.
-GROUPS, BLOCKS = 128, 2048
+#: Groups of files and blocks in a shard, and blocks in all shards, at most.
+GROUPS, BLOCKS, ALL_BLOCKS = 128, 2048, 1 << 18
 LAW = "bytes"
 LAYOUT = "doc_id long, text string, old int"
 
@@ -32,54 +33,71 @@ def old_shard(doc_id: Column, shards: int) -> Column:
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
-    """Units from each supply to each capacity, of least total cost, all supply placed: successive shortest paths on a graph of shards."""
+    """Units from each supply to each capacity, of least total cost (costs of 0 or more), all supply placed.
+
+    Successive shortest paths on a graph of shards. A round finds the shortest distances (Bellman-Ford, a matrix at a time:
+    used arcs have negative cost backwards). Distances never fall from round to round, so where the shortest path is an arc,
+    all arcs as short are filled in that round. With a cost of one for each byte that leaves its shard two rounds do, whatever
+    the number of shards.
+    """
     if sum(supply) > sum(capacity):
         raise ValueError("the new shards hold less than the old ones have")
     n, m = len(supply), len(capacity)
-    flow = [[0] * m for _ in range(n)]
-    left, room = list(supply), list(capacity)
-    while any(left):
-        # distances over old shards 0..n-1 and new shards n..n+m-1 (Bellman-Ford: used arcs have negative cost backwards)
-        far = [0 if x else float("inf") for x in left] + [float("inf")] * m
-        came = [-1] * (n + m)
-        for _ in range(n + m):
-            moved = False
-            for i in range(n):
-                for j in range(m):
-                    if far[i] + cost[i][j] < far[n + j]:
-                        far[n + j], came[n + j], moved = far[i] + cost[i][j], i, True
-                    if flow[i][j] and far[n + j] - cost[i][j] < far[i]:
-                        far[i], came[i], moved = far[n + j] - cost[i][j], n + j, True
-            if not moved:
+    costs = np.array(cost, np.float64).reshape(n, m)
+    flow = np.zeros((n, m), np.int64)
+    left, room = np.array(supply, np.int64), np.array(capacity, np.int64)
+    while left.any():
+        # distances of old and new shards, and the shard before each on its path: changed by nearer ones only, so paths have no circles
+        far, came = np.where(left > 0, 0.0, np.inf), np.full(n, -1)
+        there, via = np.full(m, np.inf), np.full(m, -1)
+        while True:
+            reach = far[:, None] + costs
+            first = reach.argmin(axis=0)
+            nearer = (best := reach[first, np.arange(m)]) < there
+            if not nearer.any():
                 break
-        end = min((n + j for j in range(m) if room[j]), key=lambda x: (far[x], x))
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        steps = list(zip(path, path[1:], strict=False))
-        amount = min([left[path[0]], room[end - n], *[flow[b][a - n] for a, b in steps if a >= n]])
-        for a, b in steps:
-            if a < n:
-                flow[a][b - n] += amount
-            else:
-                flow[b][a - n] -= amount
-        left[path[0]] -= amount
-        room[end - n] -= amount
-    return flow
+            there, via = np.where(nearer, best, there), np.where(nearer, first, via)
+            back = np.where(flow > 0, there - costs, np.inf)
+            last = back.argmin(axis=1)
+            nearer = (best := back[np.arange(n), last]) < far
+            far, came = np.where(nearer, best, far), np.where(nearer, last, came)
+        end = int(np.where(room > 0, there, np.inf).argmin())
+        if came[via[end]] < 0:
+            for i in np.flatnonzero(left):
+                for j in np.flatnonzero((costs[i] == there[end]) & (room > 0)):
+                    amount = min(left[i], room[j])
+                    flow[i, j] += amount
+                    left[i] -= amount
+                    room[j] -= amount
+                    if not left[i]:
+                        break
+            continue
+        arcs, j = [], end  # (old, new, 1 to use it, -1 to give it back)
+        while True:
+            i = int(via[j])
+            arcs.append((i, j, 1))
+            if came[i] < 0:
+                break
+            j = int(came[i])
+            arcs.append((i, j, -1))
+        amount = min([left[i], room[end], *[flow[a, b] for a, b, way in arcs if way < 0]])
+        for a, b, way in arcs:
+            flow[a, b] += way * amount
+        left[i] -= amount
+        room[end] -= amount
+    return flow.tolist()
 
 
 def place_blocks(sizes: dict[tuple[int, int, int], int], flow: list[list[int]]) -> dict[tuple[int, int, int], int]:
     """New shard of each block (old shard, group, block): whole groups, the largest first, where a flow holds them; then blocks, of as few groups as will do, to the nearest half block; the rest at home."""
     out: dict[tuple[int, int, int], int] = {}
     carry: dict[int, int] = {}  # what a shard still lacks of the flows so far
-    for old in sorted({k[0] for k in sizes}):
+    by_old: dict[int, dict[int, list[tuple[int, int]]]] = {}
+    for (old, group, block), size in sizes.items():
+        by_old.setdefault(old, {}).setdefault(group, []).append((size, block))
+    for old, groups in sorted(by_old.items()):
         home = old < len(flow[old])
         left = {j: amount + carry.pop(j, 0) for j, amount in enumerate(flow[old]) if j != old and amount}
-        groups: dict[int, list[tuple[int, int]]] = {}
-        for (o, group, block), size in sizes.items():
-            if o == old:
-                groups.setdefault(group, []).append((size, block))
         most = lambda: max(left, key=lambda j: (left[j], -j))
         rest = []
         for group in sorted(groups, key=lambda g: (-sum(s for s, _ in groups[g]), g)):
@@ -107,16 +125,16 @@ def lay_out(docs: DataFrame, path: str, shards: int = OLD_SHARDS, id_col: str =
     docs.select(doc_id.alias("doc_id"), F.col(text_col).cast("string").alias("text"), old_shard(doc_id, shards).alias("old")).write.option("compression", "zstd").partitionBy("old").parquet(path)
 
 
-def _blocks(layout: DataFrame, groups: int) -> DataFrame:
+def _blocks(layout: DataFrame, groups: int, blocks: int) -> DataFrame:
     """The rows of a layout with their file, its group, their place in it and their block."""
     file = F.col("_metadata.file_path")
     keyed = layout.select("doc_id", "text", "old", file.alias("file"), F.col("_metadata.row_index").alias("nth"))
-    group, block = F.pmod(F.xxhash64(F.substring_index("file", "/", -1)), F.lit(groups)), F.pmod(F.xxhash64("nth", "file"), F.lit(BLOCKS // groups))
+    group, block = F.pmod(F.xxhash64(F.substring_index("file", "/", -1)), F.lit(groups)), F.pmod(F.xxhash64("nth", "file"), F.lit(blocks // groups))
     return keyed.select("*", group.cast("int").alias("group"), block.cast("int").alias("block"))
 
 
 def reshard_plan(rows: DataFrame, old_shards: int, new_shards: int) -> list[tuple[int, int, int, int, bool]]:
-    """(old shard, group, block, new shard, whether the group's files are written anew) of each block: at most old_shards * BLOCKS rows."""
+    """(old shard, group, block, new shard, whether the group's files are written anew) of each block: at most ALL_BLOCKS rows."""
     got = {(r[0], r[1], r[2]): r[3] for r in rows.groupBy("old", "group", "block").agg(F.sum(size_of(F.col("text")))).collect()}
     supply = [0] * old_shards
     for (old, *_), size in got.items():
@@ -137,10 +155,11 @@ def reshard(spark: SparkSession, old_path: str, out: str, old_shards: int = OLD_
     texts of any length are too; an empty layout gives an empty table.
     """
     layout = spark.read.schema(LAYOUT).parquet(old_path)
-    groups = min(GROUPS, max(1, len(layout.inputFiles()) // old_shards))
-    rows = _blocks(layout, groups)
+    blocks = max(1, min(BLOCKS, ALL_BLOCKS // old_shards))
+    groups = min(GROUPS, blocks, max(1, len(layout.inputFiles()) // old_shards))
+    rows = _blocks(layout, groups, blocks)
     plan = reshard_plan(rows, old_shards, new_shards)
-    at = F.broadcast(spark.createDataFrame(plan, "old int, group int, block int, shard int, anew boolean"))  # old_shards * BLOCKS rows
+    at = F.broadcast(spark.createDataFrame(plan, "old int, group int, block int, shard int, anew boolean"))  # ALL_BLOCKS rows
     placed = rows.join(at, ["old", "group", "block"])
     placed.where("anew").select("doc_id", "text", "old", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(out)
     written = spark.read.schema(LAYOUT + ", shard int").parquet(out).select("doc_id", "text", "old", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"), "shard", F.lit(True).alias("rewritten"))
