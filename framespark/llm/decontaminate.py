@@ -29,7 +29,8 @@ MAX_BITS = 1 << 25
 PIECE = 1 << 20
 #: Distinct shingles that a task counts before it hands them on.
 MAX_COUNTS = 1 << 20
-SALTS = 4
+#: Parts of a prefix's places, at least; one that many documents have gets a part for each so many of them. Counts of so many such prefixes are broadcast (1 MB), the most frequent first.
+SALTS, PART, HOT_KEYS = 4, 100_000, 1 << 16
 #: ASCII other than letters and digits separates words; A-Z become lower case; bytes of other characters stay.
 WORD_BYTES = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
 _U = np.uint64
@@ -195,7 +196,7 @@ def places(rows: DataFrame, kinds: list[int], words) -> DataFrame:
     return map_batches(rows, run, "row long, doc_id long, n_words long, at long, key long, around string, back int")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bits: int = MAX_BITS, salts: int = SALTS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bits: int = MAX_BITS, salts: int = SALTS, part: int = PART) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits) of every row of docs, of whole texts.
 
     hits: (start, end) in words of each place where a window occurs, in order. Null texts have no words. Items with null or
@@ -218,12 +219,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counts = document_counts(rows.select("text"), kinds, spark.sparkContext.broadcast(shingle_filter(known, max_bits)))
     counts = materialize(counts.join(known, "key"), "bench_counts")
     rarest = parts.join(counts, "key", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "key")).alias("p"))
-    prefix = materialize(windows.select("window", "size", "set").join(rarest, "window").select("window", "size", "set", "p.offset", "p.key"), "bench_prefix")
+    prefix = materialize(windows.select("window", "size", "set").join(rarest, "window").select("window", "size", "set", "p.n", "p.offset", "p.key"), "bench_prefix")
     words = spark.sparkContext.broadcast(shingle_filter(prefix.select("key").distinct(), max_bits))
     found = materialize(places(rows, kinds, words), "bench_places")
-    # salted, so that a passage in many documents is spread over tasks
-    spread = prefix.select(F.col("key").alias("pk"), "offset", "window", "size", "set", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("ps"))
-    met = found.where("at is not null").withColumn("s", F.pmod("row", F.lit(salts)).cast("int")).join(spread, (F.col("key") == F.col("pk")) & (F.col("s") == F.col("ps")))
+    # salted by the prefix's own count, so that a passage in many documents is spread over as many tasks as it needs
+    many = prefix.groupBy(F.col("key").alias("hot")).agg(F.max("n").alias("n")).select("hot", F.ceil(F.col("n") / part).cast("int").alias("parts")).where(F.col("parts") > salts)
+    many = F.broadcast(many.orderBy(F.desc("parts"), "hot").limit(HOT_KEYS))
+    parted = lambda df: df.join(many, F.col("key") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(salts))).drop("hot")
+    spread = parted(prefix).select(F.col("key").alias("pk"), "offset", "window", "size", "set", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ps"))
+    met = parted(found.where("at is not null")).withColumn("s", F.pmod(F.xxhash64("row", "at"), F.col("parts")).cast("int")).join(spread, (F.col("key") == F.col("pk")) & (F.col("s") == F.col("ps")))
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
     same = F.array_join(F.slice(F.split("around", " "), F.col("back") - F.col("offset") + 1, F.col("size")), " ") == F.col("window")
