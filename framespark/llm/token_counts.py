@@ -25,6 +25,8 @@ MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 #: Pre-tokens of the broadcast part of the table: so many at most, of so many characters at most, about 130 bytes each in a worker.
 FREQUENT, FREQUENT_CHARS = 300_000, 40
+#: Longer ones (lines of scripts without spaces, URLs, base64) join them if the sample has them so often, up to so many bytes in all.
+LONG_LEAST, LONG_BYTES = 16, 16 << 20
 #: Documents, about, in whose texts frequent pre-tokens are looked for.
 SAMPLE = 20_000
 #: Pre-tokens that a task counts before it hands them on.
@@ -97,19 +99,25 @@ def piece_counts(words: DataFrame, path: str) -> DataFrame:
     return map_batches(words.select("w"), run, "w string, pieces int")
 
 
-def frequent_pieces(texts: DataFrame, path: str, most: int = FREQUENT, chars: int = FREQUENT_CHARS) -> dict[str, int]:
-    """Pieces of the most frequent pre-tokens: those above the lowest power of two that leaves `most` at most."""
-    found = materialize(frequencies(texts).where(F.length("w") <= chars), "token_frequencies")
-    by_size = sorted(((r.e, r["count"]) for r in found.groupBy(F.floor(F.log2("n")).alias("e")).count().collect()), reverse=True)  # 63 rows at most
-    least, total = 63, 0
-    for e, n in by_size:
-        total += n
-        if total > most:
-            break
-        least = e
-    got = piece_counts(found.where(F.col("n") >= 1 << least), path).toArrow() if least < 63 else None
+def frequent_pieces(texts: DataFrame, path: str, most: int = FREQUENT, chars: int = FREQUENT_CHARS, long_bytes: int = LONG_BYTES) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens: those above the lowest power of two that leaves `most` at most. Longer ones than `chars` have a bound of bytes of their own."""
+    wanted = (F.length("w") <= chars) | (F.col("n") >= LONG_LEAST)
+    found = materialize(frequencies(texts).where(wanted), "token_frequencies")
+    is_long, size = F.length("w") > chars, F.floor(F.log2("n"))
+    by_size = found.groupBy(is_long.alias("long"), size.alias("e")).agg(F.count("*").alias("number"), F.sum(F.octet_length("w")).alias("bytes")).collect()  # 126 rows at most
+    out: dict[str, int] = {}
+    for is_it, most_bytes in ((False, float("inf")), (True, long_bytes)):
+        least, number, held = 63, 0, 0
+        for r in sorted((r for r in by_size if r.long == is_it), key=lambda r: -r.e):
+            number, held = number + r.number, held + r.bytes
+            if number > most or held > most_bytes:
+                break
+            least = r.e
+        if least < 63:
+            got = piece_counts(found.where((is_long == F.lit(is_it)) & (F.col("n") >= 1 << least)), path).toArrow()
+            out.update(zip(got.column("w").to_pylist(), got.column("pieces").to_pylist(), strict=True))
     discard(found)
-    return dict(zip(got.column("w").to_pylist(), got.column("pieces").to_pylist(), strict=True)) if got is not None else {}
+    return out
 
 
 def bags(rows: DataFrame, known) -> DataFrame:
@@ -153,7 +161,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, id_col: s
     held = materialize(bags(rows, known), "token_bags")
     rest = held.select("row", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("row", F.col("e.words").alias("w"), F.col("e.counts").alias("n"))
     pieces = materialize(piece_counts(rest.select("w").distinct(), path), "token_pieces")
-    # no pre-token of the rest is in a large share of the rows, unless the sample misses it; skewed joins are split at run time
+    # no pre-token of the rest is in a large share of the rows, however long, unless the sample misses it or LONG_BYTES is full; skewed joins are split at run time
     more = rest.join(pieces, "w").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     n_tokens = F.col("tokens") + F.coalesce("more", F.lit(0))
     return held.select("row", "doc_id", "n_bytes", "tokens").join(more, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

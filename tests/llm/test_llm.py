@@ -310,6 +310,20 @@ def test_token_counts(spark, docs, rows):
     assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(model.encode(t)) for i, t in enumerate(some)}
 
 
+def test_long_pretokens_of_many_texts_are_broadcast(spark):
+    """A line without spaces in most texts, one in few and one that passes the bound of bytes."""
+    path = token_counts.model_path(token_counts.MODEL)
+    often, seldom, large = "\u8a9e" * 300, "x/" * 300, "y=" * 40_000
+    texts = [f"{often} word {i}" + f" {seldom}" * (i < 9) + f" {large}" * (i < 40) for i in range(90)]
+    some = spark.createDataFrame([(t,) for t in texts], "text string")
+    kept = token_counts.frequent_pieces(some, path, long_bytes=10_000)
+    assert often in kept and "word" in kept and seldom not in kept and large not in kept
+    assert large in token_counts.frequent_pieces(some, path)
+    model = token_counts.load_pieces(path)
+    got = token_counts.count_tokens(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), path)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
@@ -493,6 +507,22 @@ def test_min_cost_flow_matches_enumeration():
 
 
 # --- near duplicates ---
+def test_a_thousand_shards_are_planned_in_bulk():
+    """1,000 shards of uneven sizes to 1,200 of even ones: no more bytes leave their shard than must, and blocks follow the flow."""
+    rng = random.Random(7)
+    supply = [rng.randint(10**9, 10**10) for _ in range(1000)]
+    total = sum(supply)
+    capacity = [total * (j + 1) // 1200 - total * j // 1200 for j in range(1200)]
+    flow = sharding.min_cost_flow(supply, capacity, [[int(i != j) for j in range(1200)] for i in range(1000)])
+    assert [sum(r) for r in flow] == supply and [sum(c) for c in zip(*flow, strict=True)] == capacity
+    assert sum(flow[i][i] for i in range(1000)) == sum(map(min, supply, capacity))
+    sizes = {(i, g, b): s // 256 for i, s in enumerate(supply) for g in range(16) for b in range(16)}
+    to, held = sharding.place_blocks(sizes, flow), Counter()
+    for block, new in to.items():
+        held[new] += sizes[block]
+    assert to.keys() == sizes.keys() and max(abs(held[j] - capacity[j]) for j in range(1200)) < 0.02 * total / 1200
+
+
 def shingle_set(text, k):
     w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -677,9 +707,10 @@ def test_decontamination_of_a_passage_in_most_documents(spark):
     rows = [(i, line(20) + " " + (passage if i % 3 else "") + " " + line(5) + " zzz" * (i % 7 == 0) + " q1" * (i % 2), None) for i in range(300)]
     rows += [rows[1], (None, passage, None)]
     long = (passage + " ") * 25_000
-    got = decontaminate.decontaminate(frame(spark, [*rows, (999, long, None)]), spark.createDataFrame(items, "item_id string, text string")).collect()
-    assert sorted(map(str, ((*r,)[:-1] for r in got if r.doc_id != 999))) == sorted(map(str, brute_hits(rows, items)))
-    assert [(r.n_words, r.n_hit) for r in got if r.doc_id == 999] == [(350_000, 350_000)]
+    for part in (decontaminate.PART, 20):  # prefixes with the parts of any prefix, and with more by their counts
+        got = decontaminate.decontaminate(frame(spark, [*rows, (999, long, None)]), spark.createDataFrame(items, "item_id string, text string"), part=part).collect()
+        assert sorted(map(str, ((*r,)[:-1] for r in got if r.doc_id != 999))) == sorted(map(str, brute_hits(rows, items)))
+        assert [(r.n_words, r.n_hit) for r in got if r.doc_id == 999] == [(350_000, 350_000)]
 
 
 def test_decontamination_on_documents(spark, sf_dir):
