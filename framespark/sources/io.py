@@ -6,10 +6,13 @@ import json
 import math
 import struct
 import zlib
+from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,24 +110,76 @@ def zarr_layout(text: str) -> dict:
     return meta
 
 
-def array_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(folder, meta): the .zarray texts at any depth of the stores below `path`. Spark's readers leave out hidden files, so they are opened through its file system, one small file for each array; folders of chunks aren't listed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI as Spark writes them (without escapes), and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(quote(path, safe=":/@?=&,+%"))
+    return fs.LocalFileSystem(), path
+
+
+def read_file(path: str) -> bytes | None:
+    """None where there is no such file."""
+    system, at = file_system(path)
+    try:
+        with system.open_input_stream(at) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+def array_metadata(spark: SparkSession, path: str, spread: int = 2) -> DataFrame:
+    """(folder, meta): the .zarray texts at any depth of the stores below `path`.
+
+    Folders are listed and metadata is opened in tasks. The first `spread` levels of folders are dealt over tasks one after the other, what lies
+    deeper is walked by the task that has its folder. A folder of chunks isn't listed: its .zarray tells it.
+    """
+    jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    found, folders = [], [fs.makeQualified(root)]
-    while folders:
-        folder = folders.pop()
-        at = jvm.org.apache.hadoop.fs.Path(folder, ".zarray")
-        if ".zarr" in folder.toString() and fs.exists(at):
-            stream = fs.open(at)
-            try:
-                found.append((folder.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            finally:
-                stream.close()
-        else:
-            folders += [s.getPath() for s in fs.listStatus(folder) if s.isDirectory()]
-    return spark.createDataFrame(found, "folder string, meta string")
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+
+    def below(folder: str) -> tuple[str | None, list[str]]:
+        """The folder's .zarray or, where it isn't an array, its folders."""
+        if ".zarr" in folder and (data := read_file(f"{folder}/.zarray")) is not None:
+            return data.decode(), []
+        system, at = file_system(folder)
+        if system.get_file_info(at).type != fs.FileType.Directory:  # a path that is a file
+            return None, []
+        return None, [f"{folder}/{f.base_name}" for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.Directory]
+
+    def level(folder: str, meta: str | None) -> list[tuple[str, str | None]]:
+        found, more = (meta, []) if meta is not None else below(folder)
+        return [(f, None) for f in more] if found is None else [(folder, found)]
+
+    def walk(folder: str, meta: str | None) -> Iterator[tuple[str, str | None]]:
+        folders = [folder]
+        while folders:
+            at = folders.pop()
+            found, more = (meta, []) if meta is not None else below(at)
+            folders += more
+            if found is not None:
+                yield at, found
+
+    def batches(step):
+        def run(it):
+            rows = []
+            for pdf in it:
+                for folder, meta in zip(pdf["folder"], pdf["meta"], strict=True):
+                    for row in step(folder, meta):
+                        rows.append(row)
+                        if len(rows) == 1000:
+                            yield pd.DataFrame(rows, columns=["folder", "meta"])
+                            rows = []
+            yield pd.DataFrame(rows, columns=["folder", "meta"])
+
+        return run
+
+    columns = "folder string, meta string"
+    out = spark.createDataFrame([(root, None)], columns)
+    for _ in range(spread):
+        out = out.mapInPandas(batches(level), columns).repartition("folder")
+    return out.mapInPandas(batches(walk), columns)
 
 
 def ingest_containers(spark: SparkSession, path: str, image: str = "images", label: str = "labels") -> DataFrame:

@@ -12,31 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .io import decode_chunk, zarr_layout
+from .io import decode_chunk, file_system, read_file, zarr_layout
 
 ITEM = "id long, path string, item_idx long, c int, label_c int, h int, w int, pixels array<float>, label array<float>, chunks array<string>, error string"
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-    return fs.LocalFileSystem(), path
-
-
-def read_file(path: str) -> bytes | None:
-    """None where there is no such file."""
-    system, at = file_system(path)
-    try:
-        with system.open_input_stream(at) as f:
-            return f.read()
-    except FileNotFoundError:
-        return None
-
-
 class Array:
     """An array of a store: its layout, and chunks that are opened once."""
 

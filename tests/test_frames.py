@@ -536,6 +536,26 @@ def test_zarr_tiles_groups_and_absent_chunks(spark, tmp_path):
     assert "filters" in rows["d.zarr", -1].error and "not a chunk" in rows["e.zarr", -1].error
 
 
+def test_array_metadata_is_found_in_tasks(spark, tmp_path):
+    """Stores at several depths, in folders with spaces, without chunks; the driver lists nothing when the reader is made."""
+    found = {spread: S.array_metadata(spark, str(tmp_path), spread) for spread in (0, 1, 2)}
+    meta = json.dumps({"shape": [2, 2, 2], "chunks": [1, 2, 2], "dtype": "<f4", "fill_value": 3.0, "zarr_format": 2, "compressor": None})
+    for at in ("a.zarr", "run 1/b.zarr", "run 1/day/2/c d.zarr/group", "run 1/plain"):
+        for name in ("images", "labels"):
+            (tmp_path / at / name / "0").mkdir(parents=True)
+            (tmp_path / at / name / ".zarray").write_text(meta)
+            (tmp_path / at / name / "0" / ".zarray").write_text("not listed")
+    (tmp_path / "x.safetensors").write_bytes(b"broken")
+    want = sorted((f"file:{tmp_path}/{at}/{name}", meta) for at in ("a.zarr", "run 1/b.zarr", "run 1/day/2/c d.zarr/group") for name in ("images", "labels"))
+    for spread, df in found.items():
+        assert sorted(map(tuple, df.collect())) == want, spread
+    assert S.array_metadata(spark, str(tmp_path / "x.safetensors")).count() == 0
+    assert len(S.array_metadata(spark, str(tmp_path / "a.zarr")).collect()) == 2
+    rows = {(r.store.split(f"{tmp_path}/")[-1], r.item_idx): (r.pixels, r.error) for r in S.ingest_containers(spark, str(tmp_path)).collect()}
+    for at in ("a.zarr", "run 1/b.zarr", "run 1/day/2/c d.zarr/group"):
+        assert rows[at, 0] == rows[at, 1] == ([3.0] * 4, None)
+
+
 def test_frames_and_predictions(spark, tmp_path):
     f = frame(spark, RAMP, RAMP)
     f.write.parquet(str(tmp_path / "f"))
