@@ -161,7 +161,7 @@ def moved(vectors: DataFrame, centroids: np.ndarray, dims: int) -> np.ndarray:
     total = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
     by = parts.select("cluster", "n", F.posexplode("s").alias("i", "s")).groupBy("cluster", "i").agg(total("n"), total("s"))
     out = centroids.copy()
-    for r in by.toLocalIterator():  # k * dims rows
+    for r in by.collect():  # k * dims rows, in one job: an iterator has a job for each shuffle partition
         out[r["cluster"], r["i"]] = int(r["s"]) // int(r["n"])
     tree.destroy()
     return out

@@ -86,6 +86,25 @@ def test_clusters(spark):
         clustering.cluster(few, 8, 3, 65)
 
 
+def test_a_round_of_clusters_takes_no_job_for_each_shuffle_partition(spark):
+    name, group = "spark.sql.shuffle.partitions", "one round"
+    before, adaptive = spark.conf.get(name), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    vectors = spark.createDataFrame([(i, [i % 7, i % 5]) for i in range(100)], "vec_id long, v array<long>")
+    spark.conf.set(name, "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        new = clustering.moved(vectors, np.array([[0, 0], [6, 4]], np.int64), 2)
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    near = [min((0, 1), key=lambda c: ((i % 7 - 6 * c) ** 2 + (i % 5 - 4 * c) ** 2, c)) for i in range(100)]
+    mean = lambda c, m: sum(i % m for i in range(100) if near[i] == c) // near.count(c)
+    assert new.tolist() == [[mean(c, 7), mean(c, 5)] for c in (0, 1)]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 10
+
+
 # --- phrases ---
 def mined(rows, least, longest, top, inside=100):
     """Plain counting of all phrases."""
