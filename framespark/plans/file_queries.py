@@ -81,6 +81,10 @@ BLOSC = (
 )
 
 
+#: Frames in a chunk, and those that a task packs at once.
+FRAMES_IN_CHUNK, FRAMES_IN_GROUP = 16, 256
+
+
 def _write_stores(s, d, path: str, names: tuple[str, str], tile: tuple[int, ...], label_planes: int, packing=PLAIN) -> None:
     """Frames as zarr stores, one a file, in chunks of 16 frames cut into tiles; labels stacked `label_planes` times."""
     planes = {names[0]: 1, names[1]: label_planes}
@@ -94,24 +98,35 @@ def _write_stores(s, d, path: str, names: tuple[str, str], tile: tuple[int, ...]
         with system.open_output_stream(at) as out:
             out.write(data)
 
+    chunks = [FRAMES_IN_CHUNK, *tile]
+
+    def describe(it):
+        for pdf in it:
+            for file_id, n in zip(pdf["file_id"], pdf["n"], strict=True):
+                for name, (codec, _) in zip(names, packing, strict=True):
+                    meta = {"zarr_format": 2, "shape": shape(name, int(n)), "chunks": chunks, "dtype": "<f4", "order": "C", "fill_value": 0, "filters": None, "compressor": codec}
+                    put(f"{path}/f{file_id}.zarr/{name}/.zarray", json.dumps(meta).encode())
+            yield pdf[["file_id"]]
+
     def store(pdf):
+        """The chunks of some of a file's frames, which begin with the first of a chunk."""
         block = f"{path}/f{pdf['file_id'][0]}.zarr"
         pdf = pdf.sort_values("item_idx")
-        for name, column, (codec, pack) in zip(names, ("pixels", "label"), packing, strict=True):
+        first = int(pdf["item_idx"].iloc[0]) // FRAMES_IN_CHUNK
+        for name, column, (_, pack) in zip(names, ("pixels", "label"), packing, strict=True):
             n = shape(name, len(pdf))
             values = np.stack(pdf[column].map(lambda v: np.asarray(v, "<f4").reshape(n[1:])))
-            chunks = [16, *tile]
-            meta = {"zarr_format": 2, "shape": n, "chunks": chunks, "dtype": "<f4", "order": "C", "fill_value": 0, "filters": None, "compressor": codec}
-            put(f"{block}/{name}/.zarray", json.dumps(meta).encode())
             for at in np.ndindex(*[-(-a // b) for a, b in zip(n, chunks, strict=True)]):
                 part, full = values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks, strict=True))], np.zeros(chunks, "<f4")
                 full[tuple(slice(k) for k in part.shape)] = part
                 if full.any():  # what is all fill value is left out
-                    put(f"{block}/{name}/{'.'.join(map(str, at))}", pack(full.tobytes()))
+                    put(f"{block}/{name}/{'.'.join(map(str, (first + at[0], *at[1:])))}", pack(full.tobytes()))
         return pdf[["file_id"]].head(1)
 
     f = frames(s, d).withColumn("label", F.flatten(F.array_repeat("label", label_planes)))
-    f.groupBy("file_id").applyInPandas(store, "file_id int").count()
+    f.groupBy("file_id").agg(F.count("*").alias("n")).mapInPandas(describe, "file_id int").count()
+    # items are numbered without gaps, so a group is whole chunks and doesn't grow with its file
+    f.groupBy("file_id", F.expr(f"item_idx div {FRAMES_IN_GROUP}")).applyInPandas(store, "file_id int").count()
 
 
 _INGESTED = "file_id, item_idx, c, label_c, h, w, error"

@@ -182,6 +182,14 @@ def array_metadata(spark: SparkSession, path: str, spread: int = 2) -> DataFrame
     return out.mapInPandas(batches(walk), columns)
 
 
+#: Pixels in an Arrow batch of frames, about, before it is sent: 16 MB.
+OUT_PIXELS = 1 << 22
+
+
+def arrow_rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
+
+
 def ingest_containers(spark: SparkSession, path: str, image: str = "images", label: str = "labels") -> DataFrame:
     """S5, S6. (store, item_idx, c, label_c, h, w, pixels, label, error): frames of the zarr v2 stores and safetensors files below `path`, one row a frame. A file that can't be read is a row with an error.
 
@@ -200,30 +208,31 @@ def ingest_containers(spark: SparkSession, path: str, image: str = "images", lab
     odd = named.where((F.col("folder") == "") | (~wanted & F.col("folder").rlike(rf"\.zarr/(.*/)?({image}|{label})/")))
     odd = odd.select(F.regexp_extract("path", r"^(.*?\.zarr)/", 1).alias("store"), F.lit(-1).cast("long").alias("item_idx"), F.concat(F.lit("not a chunk of a zarr v2 array: "), "path").alias("error"))
     chunks = named.where(wanted).join(metas, "folder", "left").select("folder", "chunk", "content", "meta")
-    columns = ["folder", "item_idx", "at", "dims", "tile", "error"]
 
-    def tiles(it):
-        for pdf in it:
-            for r in pdf.itertuples():
-                at = [int(i) for i in r.chunk.replace("/", ".").split(".")]
+    def tiles(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):  # a chunk at a time, so Python holds no more than Arrow's batch and one chunk
+                r = dict(zip(batch.schema.names, (c[i].as_py() for c in batch.columns), strict=True))
+                at = [int(k) for k in r["chunk"].replace("/", ".").split(".")]
                 span = range(0)
                 try:
-                    if r.meta is None:
+                    if r["meta"] is None:
                         raise ValueError("no .zarray")
-                    meta = zarr_layout(r.meta)
+                    meta = zarr_layout(r["meta"])
                     shape, size = meta["shape"], meta["chunks"]
                     if len(at) != len(shape):
                         raise ValueError("not a chunk of a stack")
-                    start, *offset = (i * s for i, s in zip(at, size, strict=True))
+                    start, *offset = (k * n for k, n in zip(at, size, strict=True))
                     if any(o >= n for o, n in zip(offset, shape[1:], strict=True)):
                         continue
                     span = range(start, min(start + size[0], shape[0]))
-                    block = decode_chunk(r.content, meta)[:, *[slice(n - o) for o, n in zip(offset, shape[1:], strict=True)]].astype(np.float32)
-                    rows = ((r.folder, i, offset, list(block.shape[1:]), block[i - start].ravel(), None) for i in span)
+                    block = decode_chunk(r["content"], meta)[:, *[slice(n - o) for o, n in zip(offset, shape[1:], strict=True)]].astype(np.float32)
+                    rows = [(r["folder"], k, offset, list(block.shape[1:]), block[k - start].ravel(), None) for k in span]
                 except Exception as e:  # noqa: BLE001  a bad file must not end the job
-                    why = f"chunk {r.chunk}: {e}"
-                    rows = [(r.folder, i, [], [], None, why) for i in (-1 - at[0], *span)]
-                yield pd.DataFrame(list(rows), columns=columns)  # of one chunk
+                    why = f"chunk {r['chunk']}: {e}"
+                    rows = [(r["folder"], k, [], [], None, why) for k in (-1 - at[0], *span)]
+                if rows:
+                    yield arrow_rows(rows, cut_types)  # of one chunk
 
     def expected(it):
         for pdf in it:
@@ -234,37 +243,49 @@ def ingest_containers(spark: SparkSession, path: str, image: str = "images", lab
                     rows, why = 0, str(e)
                 yield pd.DataFrame([(r.folder, rows, why)], columns=["folder", "frames", "error"])
 
-    def frames(it):
-        for pdf in it:
-            out_rows = []
-            for r in pdf.itertuples():
+    def frames(batches):
+        for batch in batches:
+            out_rows, held = [], 0
+            column = batch.column(batch.schema.get_field_index("tiles"))
+            ends, each = column.offsets.to_pylist(), column.values
+            where, sizes, errors = each.field("at"), each.field("dims"), each.field("error")
+            # pixels stay in Arrow's buffer until they are copied into their frame
+            values, starts = each.field("tile").values.to_numpy(zero_copy_only=False), each.field("tile").offsets.to_numpy()
+            keys = [batch.column(batch.schema.get_field_index(k)) for k in ("folder", "item_idx", "meta")]
+            for i in range(batch.num_rows):
+                folder, item_idx, text = (k[i].as_py() for k in keys)
+                own = range(ends[i], ends[i + 1])
                 try:
-                    if bad := [t["error"] for t in r.tiles if t["error"]]:
+                    if bad := [e for t in own if (e := errors[t].as_py())]:
                         raise ValueError("; ".join(sorted(bad)))
-                    meta = zarr_layout(r.meta)
+                    meta = zarr_layout(text)
                     *c, h, w = shape = meta["shape"][1:]
-                    if len(r.tiles) < math.prod(-(-n // k) for n, k in zip(shape, meta["chunks"][1:], strict=True)) and meta.get("fill_value") is None:
+                    if len(own) < math.prod(-(-n // k) for n, k in zip(shape, meta["chunks"][1:], strict=True)) and meta.get("fill_value") is None:
                         raise ValueError("chunks are absent and there is no fill_value")
                     out = np.full(shape, float(meta.get("fill_value") or 0), np.float32)
-                    for t in r.tiles:
-                        out[tuple(slice(o, o + n) for o, n in zip(t["at"], t["dims"], strict=True))] = np.asarray(t["tile"], np.float32).reshape(t["dims"])
-                    row = (r.folder, r.item_idx, math.prod(c), h, w, out.ravel(), None)
+                    for t in own:
+                        dims = sizes[t].as_py()
+                        out[tuple(slice(o, o + n) for o, n in zip(where[t].as_py(), dims, strict=True))] = values[starts[t] : starts[t + 1]].reshape(dims)
+                    row = (folder, item_idx, math.prod(c), h, w, out.ravel(), None)
+                    held += out.size
                 except Exception as e:  # noqa: BLE001
-                    row = (r.folder, r.item_idx, None, None, None, None, str(e))
+                    row = (folder, item_idx, None, None, None, None, str(e))
                 out_rows.append(row)
-                if len(out_rows) == 64:
-                    yield pd.DataFrame(out_rows, columns=["folder", "item_idx", "c", "h", "w", "px", "error"])
-                    out_rows = []
+                if len(out_rows) == 64 or held > OUT_PIXELS:
+                    yield arrow_rows(out_rows, frame_types)
+                    out_rows, held = [], 0
             if out_rows:
-                yield pd.DataFrame(out_rows, columns=["folder", "item_idx", "c", "h", "w", "px", "error"])
+                yield arrow_rows(out_rows, frame_types)
 
-    cut = chunks.mapInPandas(tiles, "folder string, item_idx long, at array<int>, dims array<int>, tile array<float>, error string")
+    cut_types = {"folder": pa.string(), "item_idx": pa.int64(), "at": pa.list_(pa.int32()), "dims": pa.list_(pa.int32()), "tile": pa.list_(pa.float32()), "error": pa.string()}
+    frame_types = {"folder": pa.string(), "item_idx": pa.int64(), "c": pa.int32(), "h": pa.int32(), "w": pa.int32(), "px": pa.list_(pa.float32()), "error": pa.string()}
+    cut = chunks.mapInArrow(tiles, "folder string, item_idx long, at array<int>, dims array<int>, tile array<float>, error string")
     held = cut.where("item_idx >= 0").groupBy("folder", "item_idx").agg(F.collect_list(F.struct("at", "dims", "tile", "error")).alias("tiles"))
     arrays = metas.where(wanted)
     sizes = arrays.mapInPandas(expected, "folder string, frames long, error string")
     items = sizes.where("frames > 0").select("folder", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("item_idx")).join(arrays, "folder")
     whole = items.join(held, ["folder", "item_idx"], "left").withColumn("tiles", F.coalesce("tiles", F.array()))
-    cut_frames = whole.mapInPandas(frames, "folder string, item_idx long, c int, h int, w int, px array<float>, error string").withColumns({"store": parts("folder")[0], "array": parts("folder")[1]})
+    cut_frames = whole.mapInArrow(frames, "folder string, item_idx long, c int, h int, w int, px array<float>, error string").withColumns({"store": parts("folder")[0], "array": parts("folder")[1]})
     side = lambda name, to: cut_frames.where(F.col("array") == name).select("store", "item_idx", F.col("c").alias(f"c_{to}"), F.col("h").alias(f"h_{to}"), F.col("w").alias(f"w_{to}"), F.col("px").alias(to), F.col("error").alias(f"e_{to}"))
     both = side(image, "pixels").join(side(label, "label"), ["store", "item_idx"], "full")
     from_zarr = both.select("store", "item_idx", F.col("c_pixels").alias("c"), F.col("c_label").alias("label_c"), F.coalesce("h_pixels", "h_label").alias("h"), F.coalesce("w_pixels", "w_label").alias("w"), "pixels", "label", F.coalesce("e_pixels", "e_label").alias("error"))

@@ -659,3 +659,23 @@ def test_synthetic_frames(spark):
 def test_let_binds_once(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
     assert df.select(A.let(F.col("v"), lambda v: F.size(v) + v[0]).alias("r")).first().r == 3.0
+
+
+def test_stores_are_written_and_read_in_pieces_of_bounded_size(spark, tmp_path):
+    import re
+    import sys
+
+    from framespark.plans import file_queries as Q
+
+    rows = [(i, [float(i % 50 + k) for k in range(64)], 0) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def pack(data):
+        assert len(sys._getframe(1).f_locals["pdf"]) <= 256  # frames that the task holds
+        return data
+
+    Q._write_stores(spark, str(tmp_path), str(tmp_path / "stores"), ("images", "labels"), (5, 3), 1, ((None, pack), (None, pack)))
+    got = S.ingest_containers(spark, str(tmp_path / "stores"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"MapInPandas [^\n]*\b(tile|px)#", plan)  # pixels are no Python objects
+    assert sorted((r.item_idx, list(r.pixels), r.error) for r in got.collect()) == [(i, v, None) for i, v, _ in rows]
