@@ -41,19 +41,12 @@ SHARD_SCHEMA = "part int, ids_before long, n_ids long, first_doc long, last_doc
 #: A space before one of these characters always begins a pre-token of the byte-level pattern, so a text can be cut there.
 SAFE = r"[!-~\xa1-\xac\xae-ᙿ]"
 CUT = re.compile(f"(?= {SAFE})")
-#: The last white space before one of them is a pre-token of its own too. Texts without this are lines of words with single spaces.
-UNSAFE = re.compile(rf"[ \n](?!{SAFE})")
+#: Words, with the line break before them if there is one, of texts that are lines of words with single spaces. Elsewhere white space is a pre-token of its own.
+OPENS = re.compile(rf"\n?{SAFE}")
 #: A word's letters and the ASCII marks after them are pre-tokens of their own.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class Words(dict):
-    """ids by word; words that it lacks are noted in `new`."""
-
-    def __missing__(self, word: str) -> None:
-        self.new.append(word)
-
-
 class Encoder:
     """ids of texts as the tokenizers library gives them; each distinct word is encoded once while it is remembered."""
 
@@ -67,8 +60,7 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(self.library.get_vocab_size(), bool)
         self.spaced[[i for w, i in self.library.get_vocab().items() if w.startswith("\u0120")]] = True  # the byte-level sign of a space
-        self.words = Words()  # ids of words with a space before them or, if they begin with it, a line break
-        self.words.new = []
+        self.words: dict[str, bytes] = {}  # of words with a space before them or, if they begin with it, a line break
         self.pieces: dict[str, bytes] = {}  # of pieces as they are
         self.line = self.plain(["\n"])[0]
 
@@ -88,15 +80,16 @@ class Encoder:
         whole, bare, tails = [], [], []
         for w in new:
             if w[:1] != "\n":
-                b = w.rstrip(MARKS)
-                if len(b) < len(w) and b[-1:] < "ɐ" and b[-1:].isalpha():
-                    whole.append(w)
-                    tails.append(w[len(b) :])
-                    w = b
+                if not w.isalpha():
+                    b = w.rstrip(MARKS)
+                    if len(b) < len(w) and b[-1:] < "ɐ" and b[-1:].isalpha():
+                        whole.append(w)
+                        tails.append(w[len(b) :])
+                        w = b
                 bare.append(w)
         self.piece(tails)
         bare = [w for w in set(bare) if w not in words]
-        plain = [w for w in bare if w.isalpha() and max(w) < "ɐ"]
+        plain = [w for w in bare if w.isalpha() and (w.isascii() or max(w) < "ɐ")]
         known = set(plain)
         for some, by in ((plain, self.letters), ([w for w in bare if w not in known], self.library)):
             for at in range(0, len(some), 2000):
@@ -117,27 +110,32 @@ class Encoder:
         if len(words) + len(self.pieces) > self.most:
             words.clear()
             self.pieces.clear()
-        cut, got = [], []
+        got, gaps, new = [], [], set()
         for t in texts:
             # a special string may hold cut points of its own
             if any(s in t for s in self.special):
                 self.piece([t])
-                cut.append(None)
                 got.append([self.line, self.pieces[t]])
-            elif UNSAFE.search(t):
+                continue
+            # each line begins with its break, the first one with one that is dropped below
+            some = ("\n" + t).replace("\n", " \n").split(" ")[1:]
+            ids = list(map(words.get, some))
+            at = [i for i, x in enumerate(ids) if x is None]
+            missing = [some[i] for i in at]
+            # words that don't open as they should are never remembered, so they are all met here
+            if "\n\n" in t or "\n " in t or t[-1:] == "\n" or not all(map(OPENS.match, (w for w in missing if w != "\n"))):
                 some = CUT.split(t)
                 self.piece(some)
-                cut.append(None)
-                got.append([self.line, *map(self.pieces.__getitem__, some)])
-            else:  # each line begins with its break, the first one with one that is dropped below
-                cut.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
-                got.append(list(map(words.__getitem__, cut[-1])))
-        if words.new:
-            self.learn(list(set(words.new)))
-            words.new = []
-            for some, ids in zip(cut, got, strict=True):
-                if some and None in ids:
-                    ids[:] = [words[w] if x is None else x for w, x in zip(some, ids, strict=True)]
+                ids = [self.line, *map(self.pieces.__getitem__, some)]
+            elif at:
+                new.update(missing)
+                gaps.append((ids, at, missing))
+            got.append(ids)
+        if new:
+            self.learn(list(new))
+            for ids, at, missing in gaps:
+                for i, w in zip(at, missing, strict=True):
+                    ids[i] = words[w]
         return [np.frombuffer(b"".join(ids), "<u4")[len(self.line) // 4 :] for ids in got]
 
 

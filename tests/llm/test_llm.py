@@ -364,6 +364,21 @@ def test_token_files_of_repeated_ids_and_a_long_text(spark, tmp_path):
     assert len({r.part for r in token_files.token_files(spark, out).collect()}) > 2
 
 
+def test_words_that_are_known_are_not_matched_again(monkeypatch):
+    path, tried = token_counts.model_path(token_files.MODEL), []
+    opens = token_files.OPENS
+    monkeypatch.setattr(token_files, "OPENS", type("Counted", (), {"match": staticmethod(lambda w: tried.append(w) or opens.match(w))}))
+    plain = ["one two,\nthree two...", " begins\nÉté words", "\nbreak first", "", "word"]
+    odd = [" ", "　wide first", "a 　b", "two  spaces", "ends ", "ends\n", "a\n\nb", "a \nb", "a\n b", "\n", "\n\n", "tab \tx", "a\n\u200bb c", "</s> x <|endoftext|> y"]
+    encoder = token_files.Encoder(path)
+    for texts in (plain, odd, plain + odd, odd + plain):
+        assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert tried
+    tried.clear()
+    encoder.encode(plain)
+    assert not tried
+
+
 def test_repair_goes_on_until_no_pair_is_frequent():
     rng = np.random.default_rng(2)
     for ids in (np.full(100_000, 5), rng.integers(0, 3, 5000), np.tile(rng.integers(0, 9, 40), 300), np.zeros(0, int), np.array([1])):
