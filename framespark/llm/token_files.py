@@ -10,6 +10,7 @@ Pairs never cross a document's end. Each round replaces many pairs at once, the
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,42 @@ CUT = re.compile(f"(?= {SAFE})")
 OPENS = re.compile(rf"\n?{SAFE}")
 #: A word's letters and the ASCII marks after them are pre-tokens of their own.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word that the pattern takes for letters, and marks after them.
+LETTERS = re.compile(rf"\n?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+([{re.escape(MARKS)}]*)")
+#: The byte-level sign of each byte: its own character if that prints, else the next one from U+0100 on.
+PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SIGNS = "".join(chr(b if b in PRINTS else 256 + b - sum(p < b for p in PRINTS)) for b in range(256))
+#: Words of letters that the model gets as one sequence.
+RUN = 16
+#: Characters of texts, about, that are encoded at once: each distinct word in them is looked up once.
+AT_ONCE = 1 << 20
+
+
+def in_signs(text: str) -> str:
+    return codecs.charmap_decode(text.encode(), "strict", SIGNS)[0]
+
+
+def crosses(entry: str) -> bool:
+    """Whether a vocabulary entry has letters beside a line break, or before a space."""
+    if not set(entry) <= set(SIGNS):
+        return False  # no text makes it
+    text = bytes(map(SIGNS.index, entry)).decode(errors="replace")
+    return ("\n" in text or " " in text[1:]) and any(c.isalpha() or c == "\ufffd" for c in text)
+
+
+def at_once(batches: Iterator[pa.RecordBatch], most: int = AT_ONCE) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of about so many characters; a longer text is alone."""
+    keys, texts, n = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if n and n + len(text) > most:
+                yield keys, texts
+                keys, texts, n = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            n += len(text) + 1
+    if texts:
+        yield keys, texts
 
 
 class Encoder:
@@ -54,12 +92,17 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.most = Tokenizer.from_file(path), max_words
-        # for words of letters alone, which the pattern doesn't cut
-        self.letters = Tokenizer.from_file(path)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocab, model, space, line = self.library.get_vocab(with_added_tokens=False), self.library.model, in_signs(" "), in_signs("\n")
+        # words of letters alone, which the pattern doesn't cut, stay apart in one sequence if no merge crosses the space or line break between them
+        self.letters = None
+        if line in vocab and not any((model.dropout, model.ignore_merges, model.continuing_subword_prefix, model.end_of_word_suffix)) and not any(map(crosses, vocab)):
+            self.letters = Tokenizer(model)
+            self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.spaced = np.zeros(self.library.get_vocab_size(), bool)
-        self.spaced[[i for w, i in self.library.get_vocab().items() if w.startswith("\u0120")]] = True  # the byte-level sign of a space
+        self.spaced[[i for w, i in vocab.items() if w.startswith(space)]] = True
+        self.opening = self.spaced.copy()
+        self.opening[[i for w, i in vocab.items() if w == line]] = True
         self.words: dict[str, bytes] = {}  # of words with a space before them or, if they begin with it, a line break
         self.pieces: dict[str, bytes] = {}  # of pieces as they are
         self.line = self.plain(["\n"])[0]
@@ -72,71 +115,97 @@ class Encoder:
         self.pieces.update(zip(new, self.plain(new), strict=True))
 
     def learn(self, new: list[str]) -> None:
-        """Encodes words many at a time, as one text, told apart by the spaces before them."""
+        """Encodes words many at a time, as one text, told apart by the spaces or line breaks before them."""
         words, pieces = self.words, self.pieces
-        starts = [w[1:] for w in new if w[:1] == "\n"]
-        self.piece(starts)
-        words.update(("\n" + w, self.line + pieces[w]) for w in starts)
-        whole, bare, tails = [], [], []
+        letters, others, starts, whole, tails = set(), set(), set(), [], []
         for w in new:
-            if w[:1] != "\n":
-                if not w.isalpha():
-                    b = w.rstrip(MARKS)
-                    if len(b) < len(w) and b[-1:] < "ɐ" and b[-1:].isalpha():
-                        whole.append(w)
-                        tails.append(w[len(b) :])
-                        w = b
-                bare.append(w)
-        self.piece(tails)
-        bare = [w for w in set(bare) if w not in words]
-        plain = [w for w in bare if w.isalpha() and (w.isascii() or max(w) < "ɐ")]
-        known = set(plain)
-        for some, by in ((plain, self.letters), ([w for w in bare if w not in known], self.library)):
+            if self.letters and (found := LETTERS.fullmatch(w)):
+                if tail := found[1]:
+                    whole.append(w)
+                    tails.append(tail)
+                    w = w[: -len(tail)]
+                    if w in words:
+                        continue
+                letters.add(w)
+                continue
+            bare = w[1:] if w[:1] == "\n" else w
+            b = bare.rstrip(MARKS)
+            if len(b) < len(bare) and b[-1:] < "ɐ" and b[-1:].isalpha():
+                whole.append(w)
+                tails.append(bare[len(b) :])
+                w = w[: -len(tails[-1])]
+            if w not in words:
+                (starts if w[:1] == "\n" else others).add(w)
+        self.piece([*tails, *(w[1:] for w in starts)])
+        words.update((w, self.line + pieces[w[1:]]) for w in starts)
+        for some, of in ((list(letters), self.learn_letters), (list(others), self.learn_words)):
             for at in range(0, len(some), 2000):
-                self.learn_words(some[at : at + 2000], by)
+                of(some[at : at + 2000])
         words.update((w, words[w[: -len(t)]] + pieces[t]) for w, t in zip(whole, tails, strict=True))
 
-    def learn_words(self, some: list[str], by) -> None:
-        ids = np.frombuffer(self.plain([" " + " ".join(some)], by)[0], "<u4")
-        heads = np.flatnonzero(self.spaced[ids])
+    def learn_letters(self, some: list[str]) -> None:
+        opened = [w if w[0] == "\n" else " " + w for w in some]
+        runs = "\n".join(in_signs("".join(opened[i : i + RUN])) for i in range(0, len(opened), RUN))
+        self.keep(some, opened, self.plain([runs], self.letters)[0], self.opening)
+
+    def learn_words(self, some: list[str]) -> None:
+        self.keep(some, [" " + w for w in some], self.plain([" " + " ".join(some)])[0], self.spaced)
+
+    def keep(self, some: list[str], opened: list[str], data: bytes, opens: np.ndarray) -> None:
+        """Keeps the ids of words, which begin where an id opens one; if those are not as many, each word is encoded alone."""
+        heads = np.flatnonzero(opens[np.frombuffer(data, "<u4")])
         if len(heads) == len(some):
-            data, cuts = ids.tobytes(), (heads * 4).tolist()
-            self.words.update(zip(some, [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
+            cuts = [*(heads * 4).tolist(), len(data)]
+            self.words.update(zip(some, [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         else:
-            self.words.update(zip(some, self.plain([" " + w for w in some]), strict=True))
+            self.words.update(zip(some, self.plain(opened), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = self.words
         if len(words) + len(self.pieces) > self.most:
             words.clear()
             self.pieces.clear()
-        got, gaps, new = [], [], set()
-        for t in texts:
-            # a special string may hold cut points of its own
-            if any(s in t for s in self.special):
-                self.piece([t])
-                got.append([self.line, self.pieces[t]])
-                continue
-            # each line begins with its break, the first one with one that is dropped below
-            some = ("\n" + t).replace("\n", " \n").split(" ")[1:]
-            ids = list(map(words.get, some))
-            at = [i for i, x in enumerate(ids) if x is None]
-            missing = [some[i] for i in at]
-            # words that don't open as they should are never remembered, so they are all met here
-            if "\n\n" in t or "\n " in t or t[-1:] == "\n" or not all(map(OPENS.match, (w for w in missing if w != "\n"))):
-                some = CUT.split(t)
-                self.piece(some)
-                ids = [self.line, *map(self.pieces.__getitem__, some)]
-            elif at:
-                new.update(missing)
-                gaps.append((ids, at, missing))
-            got.append(ids)
-        if new:
-            self.learn(list(new))
-            for ids, at, missing in gaps:
-                for i, w in zip(at, missing, strict=True):
-                    ids[i] = words[w]
-        return [np.frombuffer(b"".join(ids), "<u4")[len(self.line) // 4 :] for ids in got]
+        if not texts:
+            return []
+        # each line begins with its break, the first one with one that is dropped below
+        column, text = pa.array(texts, pa.large_string()), pa.large_string()
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", text), pc.replace_substring(column, "\n", " \n"), pa.scalar("", text)), " ")
+        coded, begins = split.values.dictionary_encode(), split.offsets.to_numpy()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(words.get, distinct))
+        at = [i for i, x in enumerate(ids) if x is None]
+        # words that don't open as they should are never remembered, so they are all met here; a break alone may only come first
+        wrong = [i for i in at if distinct[i] != "\n" and not OPENS.match(distinct[i])]
+        lone = pc.index(coded.dictionary, pa.scalar("\n", text)).as_py()
+        # a special string may hold cut points of its own
+        special = [any(s in t for s in self.special) for t in texts]
+        odd = np.array(special)
+        if wrong or lone >= 0:
+            ill = np.zeros(len(distinct), bool)
+            ill[[*wrong, lone] if lone >= 0 else wrong] = True
+            hits = ill[codes]
+            hits[begins[:-1]] &= codes[begins[:-1]] != lone
+            odd |= np.logical_or.reduceat(hits, begins[:-1])
+        if at:
+            if odd.any():
+                needed = np.zeros(len(distinct), bool)
+                needed[codes[np.repeat(~odd, np.diff(begins))]] = True
+                for i in at:
+                    ids[i] = b""
+                at = [i for i in at if needed[i]]
+            self.learn([distinct[i] for i in at])
+            for i in at:
+                ids[i] = words[distinct[i]]
+        taken = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(codes) + 1)[begins] // 4
+        flat = np.frombuffer(taken.buffers()[2], "<u4", ends[-1]) if ends[-1] else np.zeros(0, "<u4")
+        skip = len(self.line) // 4
+        got = [flat[i + skip : j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            some = [texts[i]] if special[i] else CUT.split(texts[i])
+            self.piece(some)
+            got[i] = np.frombuffer(b"".join(map(self.pieces.__getitem__, some)), "<u4")
+        return got
 
 
 _encoders: dict[str, Encoder] = {}
@@ -149,9 +218,6 @@ def encoder_for(path: str) -> Encoder:
 
 
 # --- Re-Pair ---------------------------------------------------------------------------------------------------------
-SLOT_BITS = 20
-
-
 def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of documents in them, left, right, lengths) of ids below base. Rule k makes symbol base + k.
 
@@ -173,13 +239,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_count: int = MI
     while len(at):
         follow = after[at]
         x, y = s[at], s[follow]
-        odd = odd_of_runs(at, follow, x == y)
-        pairs = x.astype(np.int64) << 32 | y
+        odd, bits = odd_of_runs(at, follow, x == y), n_symbols.bit_length()
+        pairs = x.astype(np.int64) << bits | y
         touched[:] = False
         if odd is not None:
             touched[at[odd]] = True
-            at, follow, pairs = at[~odd], follow[~odd], pairs[~odd]
-        some, counts, held, found = frequent(pairs, min_count)
+            pairs[odd] = -1
+        some, counts, held, found = frequent(pairs, 2 * bits, min_count)
         if not len(some):
             break
         at, follow = at[held], follow[held]
@@ -191,20 +257,21 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_count: int = MI
         wins[1:] = apart | more
         wins[:-1] &= apart | ~more
         # pairs that keep too few places wait for a later round
-        number = np.bincount(found[wins], minlength=len(some)) >= min_count
-        wins &= number[found]
-        won, second = at[wins], follow[wins]
-        s[won] = n_symbols + (np.cumsum(number) - 1)[found[wins]]
+        first = np.flatnonzero(wins)
+        which = found[first]
+        number = np.bincount(which, minlength=len(some)) >= min_count
+        enough = np.flatnonzero(number[which])
+        first, which = first[enough], which[enough]
+        won, second = at[first], follow[first]
+        s[won] = n_symbols + (np.cumsum(number) - 1)[which]
         opens[won] = opens[second]
-        gone[second] = True
+        opens[second], gone[second] = False, True
         third = after[second]
         after[won], before[third] = third, won
-        touched[at[~wins]] = True
-        touched[won] = True
+        touched[at] = True
         touched[before[won]] = True  # of the first symbol: the spare place at the end
-        at = np.flatnonzero(touched)
-        at = at[opens[at] & ~gone[at]]
-        a, b = some[number] >> 32, some[number] & 0xFFFFFFFF
+        at = np.flatnonzero(touched & opens)
+        a, b = some[number] >> bits, some[number] & (1 << bits) - 1
         so_far = np.concatenate(lengths)
         left.append(a)
         right.append(b)
@@ -228,32 +295,26 @@ def odd_of_runs(at: np.ndarray, follow: np.ndarray, equal: np.ndarray) -> np.nda
     return odd
 
 
-def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
-
-
-def frequent(pairs: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs that occur min_count times in order, their counts, where they are, which of them each of those is)."""
-    order = np.sort(pairs)
-    # in order, what begins a long enough run equals its min_count-th
-    many = np.flatnonzero(order[min_count - 1 :] == order[: max(0, len(order) - min_count + 1)])
-    if not len(many):
-        return order[:0], many, many, many
-    some = order[many]
-    heads = np.append(True, some[1:] != some[:-1])
-    some = some[heads]
-    counts = np.diff(np.append(np.flatnonzero(heads), len(many))) + min_count - 1
-    if len(pairs) < 1 << SLOT_BITS - 6:
-        found = np.minimum(np.searchsorted(some, pairs), len(some) - 1)
-    else:  # a table by hash is faster; pairs that share a slot are searched
-        table_, clash, own, slot, nth = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, bool), _slot(some), _slot(pairs), np.arange(len(some))
-        table_[own] = nth
-        found = table_[slot]
-        clash[own[table_[own] != nth]] = True
-        again = np.flatnonzero(clash[slot])
-        found[again] = np.minimum(np.searchsorted(some, pairs[again]), len(some) - 1)
-    held = np.flatnonzero(some[found] == pairs)
-    return some, counts, held, found[held]
+def frequent(pairs: np.ndarray, bits: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that occur min_count times in order, their counts, where they are, which of them each of those is) of pairs of so many bits; -1 is none."""
+    n = len(pairs)
+    place_bits = n.bit_length()
+    if bits + place_bits < 64:  # a sort of pairs with their places is faster than one of places by pair
+        order = pairs << place_bits
+        order |= np.arange(n)
+        order.sort()
+        places = order & (1 << place_bits) - 1
+        order >>= place_bits
+    else:
+        places = np.argsort(pairs, kind="stable")
+        order = pairs[places]
+    heads = np.flatnonzero(np.append(True, order[1:] != order[:-1])[:n])
+    counts = np.diff(np.append(heads, n))
+    many = (counts >= min_count) & (order[heads] >= 0)
+    found = np.empty(n, np.int32)
+    found[places] = np.repeat(np.where(many, np.cumsum(many, dtype=np.int32) - 1, -1).astype(np.int32), counts)
+    held = np.flatnonzero(found >= 0)
+    return order[heads[many]], counts[many], held, found[held]
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -312,16 +373,14 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = END_ID
             names, types = zip(*(x.split() for x in SHARD_SCHEMA.split(", ")), strict=True)
             return pa.RecordBatch.from_arrays([pa.array([v], kinds[t]) for v, t in zip(row, types, strict=True)], names=names)
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                for key, got in zip(keys[i : i + 64], encoder.encode(texts[i : i + 64]), strict=True):
-                    if total and total + len(got) + 1 > shard_ids:
-                        yield shard()
-                        docs_, ids, total, before = [], [], 0, before + total
-                    docs_.append(key)
-                    ids.append(np.append(got, np.uint32(end_id)))
-                    total += len(got) + 1
+        for keys, texts in at_once(batches):
+            for key, got in zip(keys, encoder.encode(texts), strict=True):
+                if total and total + len(got) + 1 > shard_ids:
+                    yield shard()
+                    docs_, ids, total, before = [], [], 0, before + total
+                docs_.append(key)
+                ids.append(np.append(got, np.uint32(end_id)))
+                total += len(got) + 1
         if total:
             yield shard()
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,6 +380,35 @@ def test_words_that_are_known_are_not_matched_again(monkeypatch):
     assert not tried
 
 
+def test_distinct_words_are_looked_up_once_and_letters_are_encoded_in_runs():
+    path, asked, by_pattern = token_counts.model_path(token_files.MODEL), [], []
+    encoder = token_files.Encoder(path)
+    encoder.words = type("Counted", (dict,), {"get": lambda self, w: asked.append(w) or dict.get(self, w)})()
+    plain = encoder.plain
+    encoder.plain = lambda texts, by=None: by_pattern.extend(texts if by is None else []) or plain(texts, by)
+    texts = ["one two Éà où... nº ª\nthree"] * 50 + ["three\nÉà one", "", "à"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) == len(set(asked)) and sorted(by_pattern) == ["", "..."]
+    rng = random.Random(6)
+    for _ in range(300):
+        some = ["".join(rng.choice(["the", "à", "º", "ĳ", "ɐ", "ж", "'s", "...", "7", " ", " ", " ", "\n", "\xa0", "\t", "　", "\u0301", "Ġ", "Ċ", "Â"]) for _ in range(rng.randrange(9))) for _ in range(20)]
+        assert [x.tolist() for x in encoder.encode(some)] == [e.ids for e in encoder.library.encode_batch(some, add_special_tokens=False)]
+    assert encoder.encode([]) == []
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4], "t": ["a" * 9, "", "b" * 30, "c"]})
+    assert [k for k, _ in token_files.at_once(iter([batch, batch]), 12)] == [[1, 2], [3], [4, 1, 2], [3], [4]]
+
+
+def test_frequent_pairs_of_few_and_of_many_bits():
+    rng = np.random.default_rng(5)
+    for bits in (8, 34, 63):
+        pairs = rng.choice(np.append(rng.integers(0, 1 << bits, 40), -1), 900)
+        want = {p: n for p, n in sorted(Counter(pairs.tolist()).items()) if p >= 0 and n >= 20}
+        some, counts, held, found = token_files.frequent(pairs, bits, 20)
+        assert dict(zip(some.tolist(), counts.tolist(), strict=True)) == want
+        assert held.tolist() == [i for i, p in enumerate(pairs.tolist()) if p in want] and (some[found] == pairs[held]).all()
+    assert [len(x) for x in token_files.frequent(np.zeros(0, np.int64), 34, 8)] == [0] * 4
+
+
 def test_repair_goes_on_until_no_pair_is_frequent():
     rng = np.random.default_rng(2)
     for ids in (np.full(100_000, 5), rng.integers(0, 3, 5000), np.tile(rng.integers(0, 9, 40), 300), np.zeros(0, int), np.array([1])):
